@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import remove_repeated_lines
+from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 
 
@@ -13,6 +15,34 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_words", "n_removed", "kept AS kept_sha256")
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-
-SQL: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_lines(table(spark, sf_dir, "documents"), digest=True)
+    return out.selectExpr("doc_id", "n_lines", "n_dropped", "kept AS kept_sha256")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup)}
+
+SQL = {
+    "op3_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(words) - 48)) AS t(i)),
+        least AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+        hit AS (SELECT doc_id, i FROM win JOIN least USING (h) WHERE first < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, unnest(range(0, 50)) AS t(k)),
+        g AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id)""",
+    "op4_line_dedup": """
+        WITH l AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)),
+        k AS (SELECT doc_id, i, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        often AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last > doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last <= doc_id), '')) AS kept_sha256
+        FROM k LEFT JOIN often USING (key) GROUP BY doc_id""",
+}
