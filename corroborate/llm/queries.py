@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from . import langid, wfst
 from .line_dedup import remove_repeated_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 
+#: A public tokenizer's model; the path is a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), width=50, digest=True)
@@ -24,7 +28,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup)}
+def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, keep_ids=False, keep_text=False).drop("ids", "decoded")
+
+
+QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup)}
 
 SQL = {
     "op3_substring_dedup": """
