@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import langid, wfst
+from . import langid, warc, wfst
 from .line_dedup import remove_repeated_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -36,7 +36,11 @@ def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, keep_ids=False, keep_text=False).drop("ids", "decoded")
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup)}
+def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup, op8_warc_chunks)}
 
 SQL = {
     "op3_substring_dedup": """
@@ -57,4 +61,10 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last > doc_id) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last <= doc_id), '')) AS kept_sha256
         FROM k LEFT JOIN often USING (key) GROUP BY doc_id""",
+    "op8_warc_chunks": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
 }
