@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import ann_tree, langid, warc, wfst
+from . import ann_tree, decontaminate, langid, warc, wfst
 from .line_dedup import remove_repeated_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -45,7 +45,11 @@ def op10_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup, op8_warc_chunks, op10_kmeans_tree_ann)}
+def op9_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
 
 SQL = {
     "op3_substring_dedup": """
