@@ -5,8 +5,8 @@ a TF-IDF matrix A; terms in more than `common` of all passages weigh nothing, un
 right singular space comes from a randomised SVD: with a random matrix W, the passes Y = A W, G = Y'Y and Z = A'Y are sums
 over passages, added up in Spark; with the Cholesky factor R of G, B = R^-T Z' is A in the space that Y spans, and B's
 singular vectors V (terms by `rank`) stand for those of A.  Windows slide over the weighing words of each document, as long
-as the benchmark items of one length class need; a window whose cosine with an item is at least `cosine` is a candidate.  It
-counts if the longest common subsequence of the item and the words around the window holds `near` of the item's words, or
+as the benchmark items of one length class need; a window whose cosine with an item is at least `cosine`, and that holds as
+many of the item's weighing words as the checks below need at least, is a candidate.  It counts if the longest common subsequence of the item and the words around the window holds `near` of the item's words, or
 `fair` of them while the words around hold `answer` of the item's answer, the words of its last sentence.
 """
 
@@ -166,7 +166,7 @@ def subsequence(masks: dict[int, int], n: int, region: list[int]) -> int:
 class Items:
     """Benchmark items in the latent space, by the number of steps that a window needs to hold one."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray, fair: float):
         self.v = v * idf[:, None]
         self.weighs = idf > 0
         self.size: dict[int, int] = {}
@@ -180,8 +180,14 @@ class Items:
                 masks = self.masks[i] = {}
                 for k, w in enumerate(terms.tolist()):
                     masks[w] = masks.get(w, 0) | 1 << k
-                by.setdefault(-(-(max(1, int(self.weighs[terms].sum())) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0)))
-        self.classes = {steps: ([i for i, _ in part], _unit(np.stack([x for _, x in part])).T.astype(np.float32)) for steps, part in sorted(by.items())}
+                weighing = terms[self.weighs[terms]]
+                least = max(1, len(weighing) - int((1 - fair) * len(terms)))
+                by.setdefault(-(-(max(1, len(weighing)) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0), weighing, least))
+        self.classes = {}
+        for steps, part in sorted(by.items()):
+            names, vectors, weighing, least = zip(*part)
+            holds = np.unique(np.concatenate([w.astype(np.int64) << 32 | k for k, w in enumerate(weighing)]))
+            self.classes[steps] = list(names), _unit(np.stack(vectors)).T.astype(np.float32), np.searchsorted(holds >> 32, np.arange(TERMS + 1)), holds & 0xFFFFFFFF, np.array(least)
 
     def compare(self, item: int, region: list[int], fair: float) -> tuple[float, float]:
         """Share of the item in its longest common subsequence with the region (0 if below fair), share of its answer in the region."""
@@ -216,11 +222,19 @@ def _scan(shared, cosine: float, near: float, fair: float, answer: float):
             first = last - n_cells[row]
             sums = np.concatenate([np.zeros((1, items.v.shape[1])), np.cumsum(np.add.reduceat(items.v[terms], starts, axis=0), axis=0, dtype=np.float64)])
             cell = np.arange(len(starts))
-            for steps, (names, vectors) in items.classes.items():
+            of = np.repeat(cell, np.diff(np.append(starts, len(terms))))
+            for steps, (names, vectors, pointer, owner, least) in items.classes.items():
+                # how many words of each item each cell holds, summed up from the first cell
+                n = pointer[terms + 1] - pointer[terms]
+                word = np.repeat(np.arange(len(terms)), n)
+                column = owner[np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + pointer[terms][word]]
+                held = np.zeros((len(starts) + 1, len(names)), np.int32)
+                held[1:] = np.bincount(of[word] * len(names) + column, minlength=len(starts) * len(names)).reshape(-1, len(names))
+                np.cumsum(held, axis=0, out=held)
                 at = np.flatnonzero((cell + steps <= last) | (cell == first))  # whole, or its row's only window
                 ends = np.minimum(at + steps, last[at])
                 like = _unit((sums[ends] - sums[at]).astype(np.float32)) @ vectors
-                for w, k in np.argwhere(like >= cosine).tolist():
+                for w, k in np.argwhere((like >= cosine) & (held[ends] - held[at] >= least)).tolist():
                     c, e, r = int(at[w]), int(ends[w]), int(row[at[w]])
                     to = kept[(starts[e] if e < len(starts) else len(terms)) - 1]
                     low, high = (row_ends[r - 1] if r else 0), row_ends[r]
@@ -242,7 +256,7 @@ def _pairs(best: dict) -> pa.RecordBatch:
 PAIR = "id long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.6, near: float = 0.8, fair: float = 0.6, answer: float = 0.8, common: float = 0.005, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.15, near: float = 0.8, fair: float = 0.6, answer: float = 0.8, common: float = 0.005, block_bytes: int = 32 << 20) -> DataFrame:
     """(id, item_id, lcs_share, answer_share, cosine), one row for each document and benchmark item that it holds.
 
     Null or blank documents and items hold and match nothing; a null document id counts as the largest; rows that repeat an
@@ -260,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     v = latent_space(terms, idf)
     out = None
     for i in range(n):
-        shared = spark.sparkContext.broadcast(Items(part(i), idf, v))
+        shared = spark.sparkContext.broadcast(Items(part(i), idf, v, fair))
         found = terms.mapInArrow(_scan(shared, cosine, near, fair, answer), PAIR)
         out = found if out is None else out.union(found)
     best = out.groupBy("id", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m"))
