@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, utf8_rows
 
@@ -146,14 +147,14 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, order:
     return Trees(langs, order, {k: (p["gram"].to_numpy(np.int64).view(np.uint64), p["lang"].map(index).to_numpy(), p["n"].to_numpy(float)) for k, p in kept.groupby("k")})
 
 
-def _score(shared, cache_words: int):
+def _score(shared, text_col: str, cache_words: int):
     def run(batches):
         trees: Trees = shared.value
         cache: dict[bytes, int] = {}
         costs = np.empty((0, len(trees.langs)))
         for b in batches:
             preds, scores = [], []
-            for _, texts in blocks([None] * b.num_rows, utf8_rows(b.column("text")), 2 << 20):
+            for _, texts in blocks([None] * b.num_rows, utf8_rows(b.column(text_col)), 2 << 20):
                 every = [_words(t.decode()) if t and trees.langs and LETTER.search(t.decode()) else [] for t in texts]
                 distinct = set().union(*every)
                 if len(cache) + len(distinct) > cache_words:
@@ -183,10 +184,13 @@ def held_out(id_column):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 4 == 2
 
 
-def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 250_000) -> DataFrame:
-    """Per row: id, text, lang_pred, score.  Null texts and texts without a letter are `und` with score 0, as is everything if nothing was learned."""
+def predict(docs: DataFrame, trees: Trees, text_col: str = "text", cache_words: int = 250_000) -> DataFrame:
+    """docs with lang_pred and score added (replaced, if there).  Null texts and texts without a letter are `und` with score 0, as is
+    everything if nothing was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_score(shared, cache_words), "id long, text string, lang_pred string, score double")
+    rows = docs.drop("lang_pred", "score")
+    schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_score(shared, text_col, cache_words), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -196,4 +200,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows each return a row; other columns, whatever their names, are ignored.
     """
     trees = train(docs.filter(~held_out(docs[id_col])), id_col, text_col, lang_col)
-    return predict(docs, trees, id_col, text_col).select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return predict(rows, trees).select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
