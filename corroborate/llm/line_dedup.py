@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_back, utf8_rows, with_id, written
 
@@ -123,14 +124,14 @@ def _finish(least: int, digest: bool):
                     kept = [x for x in lines if (k := key_of(x, least)) is None or xxhash.xxh3_128_digest(k) not in drop]
                 left = b"\n".join(kept)
                 out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256(left).hexdigest() if digest else None if t is None else left.decode("utf-8")))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "n_lines", "n_dropped", "kept"])
+            columns = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))] + [b.column("rest")], ["id", "n_lines", "n_dropped", "kept", "rest"])
 
     return run
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, documents: int = 5, digest: bool = False, filter_bytes: int = 16 << 20) -> DataFrame:
-    """Per row: id, n_lines (before), n_dropped, kept (the text left, or its SHA-256 if digest).
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, documents: int = 5, digest: bool = False, carry: tuple[str, ...] = (), filter_bytes: int = 16 << 20) -> DataFrame:
+    """Per row: id, n_lines (before), n_dropped, kept (the text left, or its SHA-256 if digest), and rest, a struct of the columns in carry.
 
     Lines whose key (stripped, A-Z lower-cased, at least `least` code points) is found in at least `documents` documents go
     from all but the largest id that holds the key.  Null or empty text is one empty line (kept is null for null unless
@@ -138,13 +139,15 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     `filter_bytes` bounds the broadcast filter.
     """
     spark = docs.sparkSession
-    rows = with_id(docs, id_col, text=text_col)
+    rows = with_id(docs.withColumn("_rest", F.struct(F.lit(0).alias("_0"), *[docs[c] for c in carry])), id_col, text=text_col, rest="_rest")
     bits = filter_bytes * 8 // SEGMENTS
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     twice = rows.select("text").mapInArrow(_hashes(least), "segment int, seen binary, again binary").repartition(min(parts, SEGMENTS), "segment").mapInArrow(_two_filters(bits), "segment int, twice binary")
     shared = spark.sparkContext.broadcast({r.segment: bytes(r.twice) for r in twice.toLocalIterator()})  # at most filter_bytes
-    suspects = written(rows.mapInArrow(_suspects(least, bits, shared), "id long, digest binary"), "suspects")
+    suspects = written(rows.select("id", "text").mapInArrow(_suspects(least, bits, shared), "id long, digest binary"), "suspects")
     counted = suspects.distinct().groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= documents)
+    counted = written(counted.select("digest", "last"), "counted")  # so that the join below shuffles both sides anew and can be split where a line is very common
     gone = suspects.join(counted, "digest").filter("id < last").groupBy("id").agg(F.collect_set("digest").alias("gone"))
-    out = rows.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(_finish(least, digest), "id long, n_lines long, n_dropped long, kept string")
-    return out.select(id_back(id_col), "n_lines", "n_dropped", "kept")
+    found = rows.join(gone, "id", "left").select("id", "text", "gone", "rest")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), rows.schema["rest"]])
+    return found.mapInArrow(_finish(least, digest), schema).select(id_back(id_col), "n_lines", "n_dropped", "kept", "rest")
