@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import ann_tree, decontaminate, langid, warc, wfst
+from . import ann_tree, cotraining, decontaminate, langid, warc, wfst
 from .line_dedup import remove_repeated_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -28,6 +28,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op9_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ppm_langid, op5_sentencepiece_wfst, op3_substring_dedup, op4_line_dedup, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
+QUERIES = {f.__name__: f for f in (op1_cotraining_quality, op2_ppm_langid, op3_substring_dedup, op4_line_dedup, op5_sentencepiece_wfst, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
 
 SQL = {
     "op3_substring_dedup": """
