@@ -8,6 +8,7 @@ from .common import table
 from . import ann_tree, cotraining, decontaminate, langid, warc, wfst
 from .line_dedup import remove_repeated_lines
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeated_bytes
 from .substring_dedup import remove_repeated_windows
 
 #: A public tokenizer's model; the path is a parameter of the operator.
@@ -24,6 +25,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_lines", "n_dropped", "kept AS kept_sha256")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op9_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cotraining_quality, op2_ppm_langid, op3_substring_dedup, op4_line_dedup, op5_sentencepiece_wfst, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
+QUERIES = {f.__name__: f for f in (op1_cotraining_quality, op2_ppm_langid, op3_substring_dedup, op4_line_dedup, op5_sentencepiece_wfst, op6_suffix_dedup, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
 
 SQL = {
     "op3_substring_dedup": """
