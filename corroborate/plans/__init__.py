@@ -1 +1,15 @@
+"""Queries over the given tables, and the same in SQL."""
 
+
+def _modules():
+    from . import retrieval
+
+    return (retrieval,)
+
+
+def queries() -> dict:
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
