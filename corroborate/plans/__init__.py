@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from . import retrieval
+    from . import retrieval, spans
 
-    return (retrieval,)
+    return (retrieval, spans)
 
 
 def queries() -> dict:
