@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from . import retrieval, spans
+    from . import decisions, pages, retrieval, spans
 
-    return (retrieval, spans)
+    return (retrieval, spans, decisions, pages)
 
 
 def queries() -> dict:
