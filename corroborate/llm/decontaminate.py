@@ -164,7 +164,7 @@ def subsequence(masks: dict[int, int], n: int, region: list[int]) -> int:
 
 
 class Items:
-    """Benchmark items in the latent space, by the number of steps that a window needs to hold one."""
+    """Benchmark items in the latent space, with the number of steps that a window needs to hold each."""
 
     def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray, fair: float):
         self.v = v * idf[:, None]
@@ -183,11 +183,14 @@ class Items:
                 weighing = terms[self.weighs[terms]]
                 least = max(1, len(weighing) - int((1 - fair) * len(terms)))
                 by.setdefault(-(-(max(1, len(weighing)) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0), weighing, least))
-        self.classes = {}
-        for steps, part in sorted(by.items()):
-            names, vectors, weighing, least = zip(*part)
-            holds = np.unique(np.concatenate([w.astype(np.int64) << 32 | k for k, w in enumerate(weighing)]))
-            self.classes[steps] = list(names), _unit(np.stack(vectors)).T.astype(np.float32), np.searchsorted(holds >> 32, np.arange(TERMS + 1)), holds & 0xFFFFFFFF, np.array(least)
+        parts = [x for part in by.values() for x in part]
+        self.names = [x[0] for x in parts]
+        self.steps = np.repeat(np.array([*by], np.int64), [len(part) for part in by.values()])
+        self.vectors = _unit(np.array([x[1] for x in parts]).reshape(-1, v.shape[1]))
+        self.least = np.array([x[3] for x in parts], np.int64)
+        # the items that hold each term
+        holds = np.unique(np.concatenate([np.empty(0, np.int64), *[x[2].astype(np.int64) << 32 | k for k, x in enumerate(parts)]]))
+        self.pointer, self.owner = np.searchsorted(holds >> 32, np.arange(TERMS + 1)), holds & 0xFFFFFFFF
 
     def compare(self, item: int, region: list[int], fair: float) -> tuple[float, float]:
         """Share of the item in its longest common subsequence with the region (0 if below fair), share of its answer in the region."""
@@ -215,33 +218,42 @@ def _scan(shared, cosine: float, near: float, fair: float, answer: float):
             row_ends = np.cumsum(counts)
             edge = np.searchsorted(kept, row_ends)
             starts, row = _cells(np.diff(edge, prepend=0), STEP)
-            if not len(starts):
+            if not len(starts) or not items.names:
                 continue
             n_cells = np.bincount(row, minlength=len(ids))
             last = np.cumsum(n_cells)[row]
             first = last - n_cells[row]
             sums = np.concatenate([np.zeros((1, items.v.shape[1])), np.cumsum(np.add.reduceat(items.v[terms], starts, axis=0), axis=0, dtype=np.float64)])
-            cell = np.arange(len(starts))
-            of = np.repeat(cell, np.diff(np.append(starts, len(terms))))
-            for steps, (names, vectors, pointer, owner, least) in items.classes.items():
-                # how many words of each item each cell holds, summed up from the first cell
-                n = pointer[terms + 1] - pointer[terms]
-                word = np.repeat(np.arange(len(terms)), n)
-                column = owner[np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + pointer[terms][word]]
-                held = np.zeros((len(starts) + 1, len(names)), np.int32)
-                held[1:] = np.bincount(of[word] * len(names) + column, minlength=len(starts) * len(names)).reshape(-1, len(names))
-                np.cumsum(held, axis=0, out=held)
-                at = np.flatnonzero((cell + steps <= last) | (cell == first))  # whole, or its row's only window
-                ends = np.minimum(at + steps, last[at])
-                like = _unit((sums[ends] - sums[at]).astype(np.float32)) @ vectors
-                for w, k in np.argwhere((like >= cosine) & (held[ends] - held[at] >= least)).tolist():
-                    c, e, r = int(at[w]), int(ends[w]), int(row[at[w]])
-                    to = kept[(starts[e] if e < len(starts) else len(terms)) - 1]
-                    low, high = (row_ends[r - 1] if r else 0), row_ends[r]
-                    lcs, said = items.compare(names[k], every[max(low, kept[starts[c]] - MARGIN) : min(high, to + 1 + MARGIN)].tolist(), fair)
-                    if lcs >= near or (lcs >= fair and said >= answer):
-                        key = (ids[r], names[k])
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, said, float(like[w, k])))
+            # windows with enough of an item's words: those around `least` of its words in a row that fit in one
+            n = items.pointer[terms + 1] - items.pointer[terms]
+            word = np.repeat(np.arange(len(terms)), n)
+            item = items.owner[np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + items.pointer[terms][word]]
+            order = np.argsort(item, kind="stable")
+            item, cell = item[order], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))[word[order]]
+            to = np.arange(len(item)) + (items.least[item] - 1 if len(item) else 0)
+            fits = np.flatnonzero(to < len(item))
+            fits = fits[(item[to[fits]] == item[fits]) & (row[cell[to[fits]]] == row[cell[fits]])]
+            item, low, high = item[fits], cell[fits], cell[to[fits]]
+            steps = items.steps[item]
+            low, high = np.maximum(high - steps + 1, first[low]), low
+            n = np.maximum(high - low + 1, 0)
+            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item = np.repeat(item, n)
+            # a window is whole, or its row's only one
+            at = np.minimum(at, np.maximum(first[at], last[at] - items.steps[item]))
+            pair = np.unique(at * len(items.names) + item)
+            at, item = np.divmod(pair, len(items.names))
+            ends = np.minimum(at + items.steps[item], last[at])
+            like = (_unit(sums[ends] - sums[at]) * items.vectors[item]).sum(1)
+            near_to = np.flatnonzero(like >= cosine)
+            for c, e, k, cos in zip(at[near_to].tolist(), ends[near_to].tolist(), item[near_to].tolist(), like[near_to].tolist()):
+                r = int(row[c])
+                end = kept[(starts[e] if e < len(starts) else len(terms)) - 1]
+                low, high = (row_ends[r - 1] if r else 0), row_ends[r]
+                lcs, said = items.compare(items.names[k], every[max(low, kept[starts[c]] - MARGIN) : min(high, end + 1 + MARGIN)].tolist(), fair)
+                if lcs >= near or (lcs >= fair and said >= answer):
+                    key = (ids[r], items.names[k])
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, said, cos))
         if best:
             yield _pairs(best)
 
