@@ -19,9 +19,14 @@ PREFIXES = sorted((c + p for c in ("", "و", "ف") for p in ("", "ب", "ك", "ل
 SPACES = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def nfc(c: Column) -> Column:
+    """Unicode composition, which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return compose(c)
 
 
 def _tidy(c: Column) -> Column:
@@ -33,9 +38,9 @@ def norm_ar(c: Column, compose: bool = True) -> Column:
 
     compose=False leaves out Unicode composition (the only part that needs Python) for texts known to be composed.
     """
-    nfc = _nfc if compose else lambda x: x
-    bare = F.regexp_replace(nfc(c), f"[{TATWEEL}]|[{RETRIEVAL_MARKS}&&[\\p{{M}}]]", "")
-    return _tidy(F.translate(nfc(bare), *VARIANTS))
+    composed = nfc if compose else lambda x: x
+    bare = F.regexp_replace(composed(c), f"[{TATWEEL}]|[{RETRIEVAL_MARKS}&&[\\p{{M}}]]", "")
+    return _tidy(F.translate(composed(bare), *VARIANTS))
 
 
 def _comparison(text: str, fold: bool) -> str:
@@ -135,5 +140,6 @@ def cue_pattern(pattern: str) -> str:
 
 
 def register(spark) -> None:
-    """Python-backed keys for SQL users."""
-    spark.udf.register("nfc", _nfc)
+    """Keys for SQL users; one text at a time, so meant for small results."""
+    spark.udf.register("comparison_key", lambda x: None if x is None else _comparison(x, True))
+    spark.udf.register("nfc", lambda x: None if x is None else unicodedata.normalize("NFC", x))

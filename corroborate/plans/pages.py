@@ -80,12 +80,12 @@ def stage_summary(spark, sf_dir):
 
 def stage_windows(spark, sf_dir):
     out = telemetry.stage_windows(_events(spark, sf_dir), "6 hours")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "stage", "events", F.round("mean_elapsed", 4).alias("mean_elapsed"), "max_elapsed")
+    return out.select(F.unix_timestamp(F.col("window_start").cast("timestamp")).alias("window_start"), "stage", "events", F.round(F.col("mean_elapsed") * F.col("events"), 2).alias("total_elapsed"), "max_elapsed")
 
 
 def request_sessions(spark, sf_dir):
     out = telemetry.request_sessions(_events(spark, sf_dir), "2 hours")
-    return out.select(F.unix_micros("session_start").alias("session_start"), "request_id", "events", "failures", F.round("elapsed", 2).alias("elapsed"))
+    return out.select(F.unix_micros(F.col("session_start").cast("timestamp")).alias("session_start"), "request_id", "events", "failures", F.round("elapsed", 2).alias("elapsed"))
 
 
 def late_retry(spark, sf_dir):
@@ -116,7 +116,7 @@ SQL = {
         SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node""",
     "script_majority": "SELECT len(regexp_extract_all(text, '[ء-ي]')) > len(regexp_extract_all(text, '[A-Za-z]')) AS arabic, count(*) AS n FROM documents GROUP BY 1",
     "stage_summary": f"WITH {_EVENTS} SELECT request_id, count(*) AS events, count(*) FILTER (WHERE failed) AS failures, count(DISTINCT stage) AS stages, CAST(sum(k) AS BIGINT) AS k, round(sum(elapsed), 2) AS elapsed FROM e GROUP BY request_id",
-    "stage_windows": f"WITH {_EVENTS} SELECT CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_start, stage, count(*) AS events, round(avg(elapsed), 4) AS mean_elapsed, max(elapsed) AS max_elapsed FROM e GROUP BY ALL",
+    "stage_windows": f"WITH {_EVENTS} SELECT CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_start, stage, count(*) AS events, round(sum(elapsed), 2) AS total_elapsed, max(elapsed) AS max_elapsed FROM e GROUP BY ALL",
     "request_sessions": f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 7200000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY request_id ORDER BY ts)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY request_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
         SELECT min(epoch_us(ts)) AS session_start, request_id, count(*) AS events, count(*) FILTER (WHERE failed) AS failures, round(sum(elapsed), 2) AS elapsed FROM s GROUP BY request_id, n""",
