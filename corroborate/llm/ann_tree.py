@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample; every row is then put into its leaf.  A query walks the tree with a priority queue
 of nodes, nearest centre first, and so orders the leaves.  How many leaves it visits is calibrated: for some queries the
 true neighbours are found by brute force over all rows, and the visits widen until the leaves visited hold the wanted
-share of them.  Queries then meet rows leaf by leaf, large leaves in salted parts.
+share of them.  Queries then meet rows in bins of neighbouring leaves, large bins in salted parts.
 
 Equal vectors are indexed once with their smallest k + 1 identifiers; no others can be among the k nearest of anything.
 """
@@ -46,6 +46,19 @@ class Tree:
     def leaves(self) -> int:
         return sum(not c for c in self.children)
 
+    def bins(self, sizes: dict[int, int], most: int) -> dict[int, int]:
+        """Leaves, from left to right, put together until a bin would hold more than `most` rows."""
+        out, name, n, open_ = {}, 0, 0, [0]
+        while open_:
+            node = open_.pop()
+            open_ += self.children[node][::-1]
+            if not self.children[node] and sizes.get(node):
+                if n and n + sizes[node] > most:
+                    name, n = name + 1, 0
+                out[node] = name
+                n += sizes[node]
+        return out
+
     def leaf_of(self, rows: np.ndarray) -> np.ndarray:
         """The leaf that each row falls into, nearest centre by nearest centre."""
         out = np.zeros(len(rows), np.int64)
@@ -109,7 +122,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (size.n if size else -1))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 256, sample_rows: int = 20_000, calibrate: int = 100, part_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 256, sample_rows: int = 20_000, calibrate: int = 100, part_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query found, nearest first, ties to the smaller id;
     score is the Euclidean distance in double precision.
 
@@ -138,35 +151,53 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     n_asked = asked.count()
     visits = _calibrate(index, draw(asked.withColumnRenamed("query", "id"), calibrate, n_asked), tree, k, recall)
 
-    # each leaf's rows and queries in parts of bounded size; the counts are one row for each leaf of the tree
+    # neighbouring leaves share a bin of about part_rows rows, so that a query gets one short list from a bin
+    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # one row for each leaf of the tree
+    bins = tree.value.bins(sizes, part_rows)
+    where = spark.sparkContext.broadcast(bins)
+    held: dict[int, int] = {}
+    for leaf, n in sizes.items():
+        held[bins[leaf]] = held.get(bins[leaf], 0) + n
+    placed = spark.createDataFrame([(leaf, bins[leaf], -(-held[bins[leaf]] // (2 * part_rows))) for leaf in sizes], "leaf long, bin long, row_parts long")
+
     def walk(batches):
         for b in batches:
-            walks = [tree.value.visits(q, visits) for q in _matrix(b.column("v"))] if b.num_rows else []
-            n = [len(w) for w in walks]
-            take = np.repeat(np.arange(b.num_rows), n)
-            yield pa.RecordBatch.from_arrays([b.column("query").take(take), b.column("v").take(take), pa.array([x for w in walks for x in w], pa.int64())], ["query", "v", "leaf"])
-
-    walked = written(asked.mapInArrow(walk, "query long, v array<double>, leaf long"), "walked")
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / part_rows).alias("row_parts")).join(walked.groupBy("leaf").agg(F.ceil(F.count("*") / part_rows).alias("query_parts")), "leaf")
-    parts = written(parts, "parts")
+            rows_, bins_, lists = [], [], []
+            for i, q in enumerate(_matrix(b.column("v")) if b.num_rows else []):
+                by: dict[int, list[int]] = {}
+                for leaf in tree.value.visits(q, visits):
+                    if leaf in where.value:
+                        by.setdefault(where.value[leaf], []).append(leaf)
+                rows_ += [i] * len(by)
+                bins_ += by
+                lists += by.values()
+            yield pa.RecordBatch.from_arrays([b.column("query").take(pa.array(rows_, pa.int64())), b.column("v").take(pa.array(rows_, pa.int64())), pa.array(bins_, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["query", "v", "bin", "leaves"])
+
+    walked = written(asked.mapInArrow(walk, "query long, v array<double>, bin long, leaves array<long>"), "walked")
+    per_bin = placed.select("bin", "row_parts").distinct().join(walked.groupBy("bin").agg(F.ceil(F.count("*") / part_rows).alias("query_parts")), "bin")
+    parts = F.broadcast(written(per_bin, "parts"))  # fewer rows than the tree has leaves
     spread = lambda p: F.explode(F.sequence(F.lit(0).cast("long"), F.col(p) - 1))
-    left = walked.join(parts, "leaf").select("query", "v", "leaf", F.pmod(F.xxhash64("query"), "query_parts").alias("qp"), spread("row_parts").alias("rp"))
-    right = index.join(parts, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), "row_parts").alias("rp"), spread("query_parts").alias("qp"))
+    left = walked.join(parts, "bin").select("query", "v", "leaves", "bin", F.pmod(F.xxhash64("query"), "query_parts").alias("qp"), spread("row_parts").alias("rp"))
+    right = index.join(F.broadcast(placed.select("leaf", "bin")), "leaf").join(parts, "bin").select("id", "v", "leaf", "bin", F.pmod(F.xxhash64("id"), "row_parts").alias("rp"), spread("query_parts").alias("qp"))
 
     def meet(_, asks: pa.Table, have: pa.Table) -> pa.Table:
         out: list = [[], [], []]
         if asks.num_rows and have.num_rows:
+            have = have.sort_by("leaf")
             q, v = (_matrix(t.column("v").combine_chunks()) for t in (asks, have))
-            ids = have.column("id").to_numpy()
-            for query, x in zip(asks.column("query").to_pylist(), q):
-                other = ids != query
-                at, d = _nearest(x, v[other] if not other.all() else v, ids[other], k)
-                out[0] += [query] * len(at)
-                out[1] += ids[other][at].tolist()
+            ids, leaf = have.column("id").to_numpy(), have.column("leaf").to_numpy()
+            for query, x, leaves in zip(asks.column("query").to_pylist(), q, asks.column("leaves").to_pylist()):
+                low, high = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, "right")
+                at = np.concatenate([np.arange(i, j) for i, j in zip(low, high)])
+                at = at[ids[at] != query]
+                best, d = _nearest(x, v[at], ids[at], k)
+                out[0] += [query] * len(best)
+                out[1] += ids[at][best].tolist()
                 out[2] += d.tolist()
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = left.groupBy("leaf", "qp", "rp").cogroup(right.groupBy("leaf", "qp", "rp")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    keys = ["bin", "qp", "rp"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
