@@ -3,8 +3,8 @@
 Every word becomes one of 65,536 hashed terms; the terms of all documents are written once.  Passages of all documents form
 a TF-IDF matrix A; terms in more than `common` of all passages weigh nothing, unless a benchmark item has hardly others.  A's
 right singular space comes from a randomised SVD: with a random matrix W, the passes Y = A W, G = Y'Y and Z = A'Y are sums
-over passages, added up in Spark; with the Cholesky factor R of G, B = R^-T Z' is A in the space that Y spans, and B's
-singular vectors V (terms by `rank`) stand for those of A.  Windows slide over the weighing words of each document, as long
+over passages, added up in Spark; with G = U S U', B = S^-1/2 U' Z' is A in the space that Y spans, and B's singular
+vectors V (terms by `rank`) stand for those of A.  Windows slide over the weighing words of each document, as long
 as the benchmark items of one length class need; a window whose cosine with an item is at least `cosine`, and that holds as
 many of the item's weighing words as the checks below need at least, is a candidate.  It counts if the longest common subsequence of the item and the words around the window holds `near` of the item's words, or
 `fair` of them while the words around hold `answer` of the item's answer, the words of its last sentence.
@@ -140,8 +140,11 @@ def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = 32, over: int =
     got = {r.part: np.frombuffer(r.data, np.float64) for r in sums}
     g = got[0].reshape(width, width) if got else np.zeros((width, width))
     z = np.concatenate([got[i + 1] for i in range(parts)]).reshape(-1, width) if got else np.zeros((TERMS, width))
-    g = g + np.eye(width) * (1e-6 * max(np.trace(g), 1e-9) / width)
-    b = np.linalg.solve(np.linalg.cholesky(g), z.T)
+    scale, u = np.linalg.eigh((g + g.T) / 2)
+    sound = scale > 1e-6 * max(scale.max(), 1e-12)
+    if not sound.any():
+        return np.zeros((TERMS, rank), np.float32)
+    b = (u[:, sound] / np.sqrt(scale[sound])).T @ z.T
     power, u = np.linalg.eigh(b @ b.T)
     keep = np.argsort(power)[::-1][:rank]
     return ((b.T @ u[:, keep]) / np.sqrt(np.maximum(power[keep], 1e-12))).astype(np.float32)
