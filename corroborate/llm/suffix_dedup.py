@@ -4,7 +4,9 @@ Each window of `width` bytes is known by the least hash among its `GRAM`-byte st
 anchors at equal places.  Consecutive windows of one anchor form a segment of bytes.  Equal segments are found by their hash
 alone.  A segment that stands alone while other segments share its anchor may still share some windows with them: such
 segments, and one of each set of equal ones, go to shards by anchor, and a shard's suffix array (see suffix_sort) with its
-common-prefix values says which windows repeat.  All other segments are unique or settled, so that shards stay small.
+common-prefix values says which windows repeat.  All other segments are unique or settled, so that shards stay small.  A passage that very many
+rows share gives anchors of very many segments: equal ones are counted before any shuffle, and where those that differ are too
+many for a shard, the hashes of their windows are counted instead.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import _N, _SYMBOL, _powers, blocks, id_back, mixed, utf8_rows, wit
 from .suffix_sort import repeated_windows
 
 GRAM = 24
+#: An anchor is common if it has over one in so many of all segments; so there are fewer such anchors than this.
+COMMON_SHARE = 4096
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -138,31 +142,71 @@ def _finish(digest: bool):
     return run
 
 
+def _windows(width: int):
+    """A hash for each window of the segments."""
+
+    def run(batches):
+        for b in batches:
+            hashes, keys, starts, alone = [], [], [], []
+            for key, start, one, text in zip(b.column("key").to_pylist(), b.column("start").to_pylist(), b.column("alone").to_pylist(), b.column("bytes").to_pylist()):
+                sums, (_, inverse) = _prefix(np.frombuffer(text, np.uint8)), _powers("word")
+                hash_ = mixed((sums[width:] - sums[:-width]) * inverse[: len(text) - width + 1]).view(np.int64)
+                hashes.append(hash_)
+                keys.append(np.full(len(hash_), key, np.int64))
+                starts.append(start + np.arange(len(hash_), dtype=np.int32))
+                alone.append(np.full(len(hash_), one))
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(alone))], ["hash", "key", "start", "alone"])
+
+    return run
+
+
+def _judge_rare(found: DataFrame) -> DataFrame:
+    """Whether each segment stands alone, and whether it speaks for its equals among several of an anchor: one shuffle."""
+    order, whole = Window.partitionBy("anchor").orderBy("content"), Window.partitionBy("anchor")
+    seen = found.withColumns({"prev": F.lag("content").over(order), "next": F.lead("content").over(order), "low": F.min("content").over(whole), "high": F.max("content").over(whole)})
+    first = F.col("prev").isNull() | (F.col("prev") != F.col("content"))
+    alone = first & (F.col("next").isNull() | (F.col("next") != F.col("content")))
+    return seen.select("anchor", "key", "start", "n", alone.alias("alone"), (first & (F.col("low") < F.col("high"))).alias("compare")).filter("compare OR NOT alone")
+
+
+def _judge_common(found: DataFrame) -> DataFrame:
+    """The same for anchors of very many segments, by counts that are combined before the shuffle; joins on the content can be split."""
+    classes = written(found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start")).alias("one")), "classes")
+    several = classes.groupBy("anchor").agg((F.min("content") < F.max("content")).alias("several"))
+    known = written(classes.join(F.broadcast(several), "anchor").filter("several OR copies > 1"), "known")
+    return found.join(known, ["anchor", "content"]).select("anchor", "key", "start", "n", (F.col("copies") == 1).alias("alone"), (F.col("several") & (F.struct("key", "start") == F.col("one"))).alias("compare")).filter("compare OR NOT alone")
+
+
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<int>, ends array<int>"
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = 4 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = 4 << 20, crowd_bytes: int = 1 << 20, common_least: int = 16, memory_bytes: int = 64 << 20) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the bytes left) or their kept_sha256 if digest, starts and ends of the removed runs.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in this row or another; strings don't
     cross rows.  Null is empty; texts shorter than `width` lose nothing; of repeated rows, ids equal or not, every copy goes.
     Other columns are ignored.  A shard of `shard_bytes` is sorted at a time, its queues in memory up to `memory_bytes`.
+    Anchors of over `common_least` segments, and of over one in COMMON_SHARE of all, are counted before they are shuffled.
+    Anchors with over `crowd_bytes` to compare would crowd a shard: their windows are counted by hash instead.
     """
     rows = with_id(docs, id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
-    found = rows.select("key", "text").mapInArrow(_segment_rows(width), "anchor long, content long, key long, start int, n int")
-    order = Window.partitionBy("anchor").orderBy("content")
-    whole = Window.partitionBy("anchor")
-    seen = found.withColumns({"prev": F.lag("content").over(order), "next": F.lead("content").over(order), "low": F.min("content").over(whole), "high": F.max("content").over(whole)})
-    first = F.col("prev").isNull() | (F.col("prev") != F.col("content"))
-    alone = first & (F.col("next").isNull() | (F.col("next") != F.col("content")))
-    judged = written(seen.select("anchor", "key", "start", "n", alone.alias("alone"), (first & (F.col("low") < F.col("high"))).alias("compare")).filter("compare OR NOT alone"), "judged")
+    found = written(rows.select("key", "text").mapInArrow(_segment_rows(width), "anchor long, content long, key long, start int, n int"), "segments")
+    floor = max(common_least, found.count() // COMMON_SHARE)
+    common = found.groupBy("anchor").count().filter(F.col("count") > floor).select("anchor")  # fewer than COMMON_SHARE rows
+    judged = written(_judge_rare(found.join(F.broadcast(common), "anchor", "left_anti")).union(_judge_common(found.join(F.broadcast(common), "anchor", "left_semi"))), "judged")
     repeated = judged.filter("NOT alone").select("key", "start", (F.col("start") + F.col("n") + width - 1).alias("end"))
     compare = judged.filter("compare")
-    total = compare.agg(F.sum(F.col("n") + width)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
     parts = compare.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n", "alone")).alias("parts"))
-    bytes_ = rows.select("key", F.col("text").cast("binary").alias("text")).join(parts, "key").mapInArrow(_cut(width), "anchor long, key long, start int, alone boolean, bytes binary")
-    sorted_ = bytes_.groupBy(F.pmod(F.col("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard(width, memory_bytes), "key long, start int, end int")
-    gone = repeated.union(sorted_).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    bytes_ = written(rows.select("key", F.col("text").cast("binary").alias("text")).join(parts, "key").mapInArrow(_cut(width), "anchor long, key long, start int, alone boolean, bytes binary"), "compared")
+    sizes = bytes_.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"))
+    crowded = written(sizes.filter(F.col("size") > crowd_bytes).select("anchor"), "crowded")
+    total = bytes_.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    sorted_ = bytes_.join(crowded, "anchor", "left_anti").groupBy(F.pmod(F.col("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard(width, memory_bytes), "key long, start int, end int")
+    windows = written(bytes_.join(crowded, "anchor", "left_semi").mapInArrow(_windows(width), "hash long, key long, start int, alone boolean"), "windows")
+    twice = windows.groupBy("hash").count().filter("count > 1").select("hash")
+    counted = windows.filter("alone").join(twice, "hash", "left_semi").select("key", "start", (F.col("start") + width).alias("end"))
+    gone = repeated.union(sorted_).union(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     out = rows.join(gone, "key", "left").select("id", "text", "gone").mapInArrow(_finish(digest), RESULT)
     return out.select(id_back(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends")

@@ -13,6 +13,7 @@ from corroborate.llm.components import components
 from corroborate.llm.line_dedup import remove_repeated_lines
 from corroborate.llm.simhash import fingerprint, links, near_duplicates
 from corroborate.llm.substring_dedup import remove_repeated_windows
+from corroborate.llm import suffix_dedup
 from corroborate.llm.suffix_dedup import remove_repeated_bytes
 from corroborate.llm.suffix_sort import repeated_windows
 
@@ -101,9 +102,13 @@ def _bytes_expected(rows, width):
     return out
 
 
-def test_bytes(spark, docs):
+@pytest.mark.parametrize("common", [False, True])  # the second sends all anchors that repeat by the way of common ones
+def test_bytes(spark, docs, common, monkeypatch):
+    if common:
+        monkeypatch.setattr(suffix_dedup, "COMMON_SHARE", 1 << 60)
+    ways = {"crowd_bytes": 300, "common_least": 1} if common else {}
     rows = docs + [(900, "xyz" * 200), (901, None), (902, "")]
-    got = {r.doc_id: r for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=3000, memory_bytes=500).collect()}
+    got = {r.doc_id: r for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=3000, memory_bytes=500, **ways).collect()}
     for (i, _), (n, removed, spans, kept) in zip(rows, _bytes_expected(rows, 200)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (n, removed, spans, kept)
         assert len(got[i].starts) == spans
