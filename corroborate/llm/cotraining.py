@@ -42,13 +42,15 @@ def _share(n: int, of: int):
     return F.pmod(F.xxhash64(F.col("id"), F.lit("draw")), F.lit(1 << 30)) < F.lit(int(min(1.0, n / max(of, 1)) * (1 << 30)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", good=None, rounds: int = 3, labelled_rows: int = 8000, pool_rows: int = 8000, sure: float = 0.97, pseudo_weight: float = 0.3, words: int = 1 << 18) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", good=None, rounds: int = 3, labelled_rows: int = 8000, sure: float = 0.97, pseudo_weight: float = 0.3, words: int = 1 << 18) -> DataFrame:
     """(id, p_text, p_meta, score, keep) for every row: each view's own probability, the combined one, and score >= 0.5.
 
     `good` says of a row of labels whether the document is good (quality 1 and not toxic, unless given); labels with a null
-    there or a null id are ignored, of several labels of an id one that says no wins.  The fit's documented bounds: about
-    `labelled_rows` labelled and `pool_rows` unlabelled documents, drawn by a hash of the id; all documents are scored.  A null
-    text counts as empty, null metadata as a value of its own.  Without labels of both kinds score is null and keep true.
+    there or a null id are ignored, of several labels of an id one that says no wins.  The fit's documented bound: about
+    `labelled_rows` labelled documents, drawn by a hash of the id.  All documents without a label are the pool of every round,
+    and all documents are scored.  What a view is taught weighs `pseudo_weight` a row, and together at most `pseudo_weight` of
+    the labelled rows, so that labels count alike at every size.  A null text counts as empty, null metadata as a value of its
+    own.  Without labels of both kinds score is null and keep true.
     """
     good = F.expr("quality = 1 AND toxic = 0") if good is None else good
     said = labels.select(labels[id_col].cast("long").alias("id"), good.cast("double").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
@@ -57,12 +59,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     views = _views(docs, id_col, text_col, source_col, lang_col, words)
     if kinds < 2:
         return views.select(F.col("id").alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("keep"))
-    drawn = said.filter(_share(labelled_rows, n_labels))  # at most about labelled_rows rows, so it may be broadcast
+    views = written(views.join(said, "id", "left"), "views")
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(10))
-    known = written(views.join(F.broadcast(drawn), "id").withColumns({"weight": F.lit(1.0), "fold": fold}), "labelled")
+    known = written(views.filter("y is not null").filter(_share(labelled_rows, n_labels)).withColumns({"weight": F.lit(1.0), "fold": fold}), "labelled")
     train, rest = known.filter("fold < 7").drop("fold"), known.filter("fold >= 7").drop("fold")
-    total = docs.count()
-    pool = written(views.filter(_share(pool_rows, total)).join(F.broadcast(drawn.select("id")), "id", "left_anti"), "pool")
+    n_train, pool = train.count(), views.filter("y is null").drop("y")
     seen = {"text_view": train, "meta_view": train}
     strength = {"text_view": (0.001, 1.0), "meta_view": (0.001, 0.0)}  # few words matter, so the text's weights are sparse
     for turn in range(rounds + 1):
@@ -71,12 +72,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             break
         for view, other in (("text_view", "meta_view"), ("meta_view", "text_view")):
             p = F.element_at(vector_to_array(f"{view}_p"), 2)
-            own = models[view].transform(pool.select("id", "text_view", "meta_view")).withColumn("p", p).filter((p >= sure) | (p <= 1 - sure))
-            taught = own.select("id", "text_view", "meta_view", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0).alias("y"), F.lit(pseudo_weight).alias("weight"))
-            seen[other] = written(train.unionByName(taught), "taught")
+            own = models[view].transform(pool).withColumn("p", p).filter((p >= sure) | (p <= 1 - sure))
+            weight = pseudo_weight * min(1.0, n_train / max(own.count(), 1))
+            # not written: a copy of both views for every turn would be larger than the documents
+            taught = own.select("id", "text_view", "meta_view", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0).alias("y"), F.lit(weight).alias("weight"))
+            seen[other] = train.unionByName(taught)
     both = lambda rows: models["meta_view"].transform(models["text_view"].transform(rows)).withColumns({"text_logit": _logit("text_view"), "meta_logit": _logit("meta_view")})
     pair = VectorAssembler(inputCols=["text_logit", "meta_logit"], outputCol="pair")
     judge = _fit(pair.transform(both(rest)).select("pair", "y", "weight"), "pair", 0.001)
-    scored = judge.transform(pair.transform(both(views)))
+    scored = judge.transform(pair.transform(both(views.drop("y"))))
     p = {name: F.element_at(vector_to_array(f"{view}_p"), 2) for name, view in (("p_text", "text_view"), ("p_meta", "meta_view"), ("score", "pair"))}
     return scored.select(F.col("id").alias(id_col), *[c.alias(name) for name, c in p.items()], (p["score"] >= 0.5).alias("keep"))

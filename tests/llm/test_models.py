@@ -156,6 +156,21 @@ def test_cotraining(spark):
     assert len(none) == 5 and all(r.keep and r.score is None for r in none)
 
 
+def test_cotraining_pool_is_every_unlabelled_row(spark, monkeypatch):
+    docs = spark.range(12000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'good fine words', 'bad poor signs') AS text", "concat('src', id % 2) AS source", "'en' AS lang")
+    labels = docs.filter("doc_id % 5 < 1").selectExpr("doc_id", "cast(doc_id % 2 = 0 AS int) AS quality", "0 AS toxic")
+    taught, fit = {}, cotraining._fit
+
+    def seen(rows, view, *args):
+        if "id" in rows.columns:
+            taught[view] = {r.id for r in rows.filter("weight < 1").select("id").collect()}
+        return fit(rows, view, *args)
+
+    monkeypatch.setattr(cotraining, "_fit", seen)
+    cotraining.classify(docs, labels, rounds=1, labelled_rows=1000, sure=0.6)
+    assert taught["text_view"] == taught["meta_view"] == {i for i in range(12000) if i % 5}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(odd_rows("one two three four five six seven. " * 5), ODD)
     said = {r.doc_id: r for r in langid.identify(df).collect()}
