@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every word becomes one of 65,536 hashed terms; the terms of all documents are written once.  Passages of all documents form
-a TF-IDF matrix A; terms in more than `common` of all passages weigh nothing, unless a benchmark item has hardly others.  A's
+a TF-IDF matrix A; terms in more than `common` of all passages weigh nothing, unless a benchmark item
+has so few others that the checks below could do without them.  A's
 right singular space comes from a randomised SVD: with a random matrix W, the passes Y = A W, G = Y'Y and Z = A'Y are sums
 over passages, added up in Spark; with G = U S U', B = S^-1/2 U' Z' is A in the space that Y spans, and B's singular
 vectors V (terms by `rank`) stand for those of A.  Windows slide over the weighing words of each document, as long
@@ -118,16 +119,36 @@ def _range(width: int, idf, parts: int):
     return run
 
 
-def weights(terms: DataFrame, items: list[np.ndarray], common: float, least: int = 4) -> np.ndarray:
+def spare(n: int, fair: float) -> int:
+    """How many of an item's n words a text may lack that still holds `fair` of them."""
+    return int((1 - fair) * n + 1e-9)
+
+
+def _needed(shared, fair: float, least: int):
+    """Terms of the items that have too few words besides the common ones."""
+
+    def run(batches):
+        often, need = shared.value, np.zeros(TERMS, np.int64)
+        for b in batches:
+            for t in map(terms_of, utf8_rows(b.column("text"))):
+                if (~often[t]).sum() <= max(least - 1, spare(len(t), fair)):
+                    need[t] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([need.tobytes()])], ["part", "data"])
+
+    return run
+
+
+def weights(terms: DataFrame, items: DataFrame, common: float, fair: float, least: int = 4) -> np.ndarray:
     """Inverse frequency of each term among all passages, 0 for terms in more than `common` of them that no item needs."""
     sums = terms.mapInArrow(_frequencies, SUMS).repartition(2, "part").mapInArrow(_summed(np.int64), SUMS).collect()
     got = {r.part: np.frombuffer(r.data, np.int64) for r in sums}
     df, n = got.get(0, np.zeros(TERMS, np.int64)), int(got[1][0]) if 1 in got else 0
     idf = np.log((2 + n) / (1 + df)).astype(np.float32)
     often = df > common * n
-    for item in items:
-        if (~often[item]).sum() < least:
-            often[item] = False
+    shared = terms.sparkSession.sparkContext.broadcast(often.copy())
+    need = items.select("text").mapInArrow(_needed(shared, fair, least), SUMS).repartition(1).mapInArrow(_summed(np.int64), SUMS).collect()
+    for r in need:
+        often[np.frombuffer(r.data, np.int64) > 0] = False
     idf[often] = 0
     return idf
 
@@ -167,16 +188,17 @@ def subsequence(masks: dict[int, int], n: int, region: list[int]) -> int:
 
 
 class Items:
-    """Benchmark items in the latent space, with the number of steps that a window needs to hold each."""
+    """Benchmark items in the latent space, with the number of steps that a window needs to hold each; known by their place in rows."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray, fair: float):
+    def __init__(self, rows: list[tuple[int | None, str]], idf: np.ndarray, v: np.ndarray, fair: float):
         self.v = v * idf[:, None]
         self.weighs = idf > 0
         self.size: dict[int, int] = {}
         self.masks: dict[int, dict[int, int]] = {}
         self.answer: dict[int, Counter] = {}
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, t in rows:
+        self.ids = [i for i, _ in rows]
+        for i, (_, t) in enumerate(rows):
             terms = terms_of(t.encode())
             if len(terms):
                 self.size[i], self.answer[i] = len(terms), Counter(terms_of(answer_of(t).encode()).tolist())
@@ -184,7 +206,7 @@ class Items:
                 for k, w in enumerate(terms.tolist()):
                     masks[w] = masks.get(w, 0) | 1 << k
                 weighing = terms[self.weighs[terms]]
-                least = max(1, len(weighing) - int((1 - fair) * len(terms)))
+                least = max(1, len(weighing) - spare(len(terms), fair))
                 by.setdefault(-(-(max(1, len(weighing)) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0), weighing, least))
         parts = [x for part in by.values() for x in part]
         self.names = [x[0] for x in parts]
@@ -214,7 +236,7 @@ def _scan(shared, cosine: float, near: float, fair: float, answer: float):
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for ids, every, counts in _groups(batches):
             if len(best) > 20_000:
-                yield _pairs(best)
+                yield _pairs(best, items.ids)
                 best = {}
             kept = np.flatnonzero(items.weighs[every])
             terms = every[kept]
@@ -258,13 +280,13 @@ def _scan(shared, cosine: float, near: float, fair: float, answer: float):
                     key = (ids[r], items.names[k])
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, said, cos))
         if best:
-            yield _pairs(best)
+            yield _pairs(best, items.ids)
 
     return run
 
 
-def _pairs(best: dict) -> pa.RecordBatch:
-    columns = [[k[0] for k in best], [k[1] for k in best], *zip(*best.values())]
+def _pairs(best: dict, item_ids: list) -> pa.RecordBatch:
+    columns = [[k[0] for k in best], [item_ids[k[1]] for k in best], *zip(*best.values())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["id", "item_id", "lcs_share", "answer_share", "cosine"])
 
 
@@ -275,17 +297,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, lcs_share, answer_share, cosine), one row for each document and benchmark item that it holds.
 
     Null or blank documents and items hold and match nothing; a null document id counts as the largest; rows that repeat an
-    id return one row an item.  Benchmark items go to the tasks in blocks of at most about `block_bytes` of text, one pass
+    id return one row an item.  Items that share an id, or have none, are all searched for, and share a row of the result.  Benchmark items go to the tasks in blocks of at most about `block_bytes` of text, one pass
     over the documents' terms for each; the latent space is fitted once, on all documents.
     """
     spark = docs.sparkSession
     terms = written(with_id(docs, id_col, text=text_col).mapInArrow(_to_terms, "id long, terms binary"), "terms")
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text")).filter("item is not null and trim(text) <> ''")
-    items = items.groupBy("item").agg(F.min("text").alias("text"))
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text")).filter("trim(text) <> ''").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    part = lambda i: [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]  # noqa: E731  about block_bytes
-    idf = weights(terms, [x for x in (terms_of(t.encode()) for i in range(n) for _, t in part(i)) if len(x)], common)
+    part = lambda i: [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]  # noqa: E731  about block_bytes
+    idf = weights(terms, items, common, fair)
     v = latent_space(terms, idf)
     out = None
     for i in range(n):

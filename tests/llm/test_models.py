@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -119,6 +120,19 @@ def test_paraphrases_and_subsequence(spark):
     assert decontaminate.subsequence(masks, 40, b) == table[40, 50]
 
 
+def test_paraphrase_without_rare_words_and_repeated_items(spark):
+    rng = random.Random(9)
+    words = [f"term{i}" for i in range(300)]
+    item = " ".join([f"rare{i}" for i in range(6)] + rng.sample(words, 14)) + "\n" + " ".join(rng.sample(words, 4))
+    again, nameless = (" ".join(rng.sample(words, 24)) for _ in range(2))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(40)]
+    rows[7] = (7, rows[7][1] + " " + re.sub(r"rare\d", "other", item))
+    rows[8], rows[9] = (8, rows[8][1] + " " + again), (9, rows[9][1] + " " + nameless)
+    items = spark.createDataFrame([(1, item), (1, again), (None, nameless)], "item_id long, text string")
+    out = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(7, 1), (8, 1), (9, None)} and len(out) == 3
+
+
 def test_neighbours(spark):
     rows = read(spark, "embeddings")
     out = defaultdict(list)
