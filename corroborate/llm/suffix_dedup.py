@@ -1,12 +1,13 @@
 """Repeated byte strings through sharded suffix arrays.
 
-Each window of `width` bytes is known by the least hash among its `GRAM`-byte strings, its anchor; equal windows have equal
-anchors at equal places.  Consecutive windows of one anchor form a segment of bytes.  Equal segments are found by their hash
-alone.  A segment that stands alone while other segments share its anchor may still share some windows with them: such
-segments, and one of each set of equal ones, go to shards by anchor, and a shard's suffix array (see suffix_sort) with its
-common-prefix values says which windows repeat.  All other segments are unique or settled, so that shards stay small.  A passage that very many
-rows share gives anchors of very many segments: equal ones are counted before any shuffle, and where those that differ are too
-many for a shard, the hashes of their windows are counted instead.
+Windows of `width` bytes that are equal must meet in one shard.  So each window is known by the least hash among its
+`GRAM`-byte strings, its anchor: equal windows have equal anchors at equal places.  Strings that a bounded draw of texts
+holds often come last in that order, so a passage that very many rows share gives its anchor only to windows that hold
+nothing rarer, and no shard grows with the number of its copies.  Consecutive windows of one anchor form a segment of bytes.
+
+Equal segments of an anchor are put together before any sorting: all of them repeat.  Where an anchor has segments that
+differ, one of each goes to the anchor's shard, and the shard's suffixes, sorted by external induction (see suffix_sort)
+with their common prefixes, say which windows repeat.  All other segments are unique.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _N, _SYMBOL, _powers, blocks, id_back, mixed, utf8_rows, with_id, written
-from .suffix_sort import repeated_windows
+from .suffix_sort import Shard
 
-GRAM = 24
+GRAM = 64
 #: An anchor is common if it has over one in so many of all segments; so there are fewer such anchors than this.
-COMMON_SHARE = 4096
+COMMON_SHARE = 1 << 16
+#: Bits of a string's hash that say whether it comes last as an anchor.
+LAST_BITS = 24
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -33,9 +36,16 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _least_place(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least of every `width` consecutive hashes, the first if several are."""
-    key = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
+def _grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each string of GRAM bytes, and the running sums."""
+    sums, (_, inverse) = _prefix(raw), _powers("word")
+    return mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1]), sums
+
+
+def _least_place(hashes: np.ndarray, width: int, last: np.ndarray) -> np.ndarray:
+    """Place of the least of every `width` consecutive hashes, the first if several are; those that `last` marks come last."""
+    late = last[(hashes >> np.uint64(64 - LAST_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+    key = late | (hashes << np.uint64(1) >> np.uint64(25) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
     have = 1
     while have * 2 <= width:
         key = np.minimum(key[:-have], key[have:])
@@ -45,15 +55,15 @@ def _least_place(hashes: np.ndarray, width: int) -> np.ndarray:
     return (key & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def segments(data: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def segments(data: bytes, ends: np.ndarray, width: int, last: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of at most _N bytes of texts that end at `ends`: anchor hash, content hash, first window's place, number of windows."""
     raw = np.frombuffer(data, np.uint8)
     none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     if len(raw) < width:
         return none
-    sums, (_, inverse) = _prefix(raw), _powers("word")
-    gram = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1])
-    anchor = _least_place(gram, width - GRAM + 1)
+    gram, sums = _grams(raw)
+    _, inverse = _powers("word")
+    anchor = _least_place(gram, width - GRAM + 1, last)
     place = np.arange(len(anchor))
     place = place[place + width <= ends[np.searchsorted(ends, place, "right")]]
     if not len(place):
@@ -74,8 +84,35 @@ def _pieces(text: bytes, width: int):
         yield at, text[at : at + step + width - 1]
 
 
-def _segment_rows(width: int):
+def _common_grams(batches):
+    """How often each hash prefix occurs among the strings of a batch's texts."""
+    for b in batches:
+        for _, texts in blocks([None] * b.num_rows, utf8_rows(b.column("text")), _N):
+            for text in [b"".join(t or b"" for t in texts)] if len(texts) > 1 else [p for _, p in _pieces(texts[0] or b"", GRAM)]:
+                raw = np.frombuffer(text, np.uint8)
+                if len(raw) >= GRAM:
+                    prefix, n = np.unique((_grams(raw)[0] >> np.uint64(64 - LAST_BITS)).astype(np.int32), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(n)], ["prefix", "n"])
+
+
+def _last(rows: DataFrame, sample_bytes: int, often: int = 8, most: int = 1 << 20) -> np.ndarray:
+    """Marks the hash prefixes of strings found `often` times in a draw of about `sample_bytes` of text, the `most` commonest.
+
+    Any marks give the same result; these keep anchors rare.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, max(sample_bytes, total // 1500) / max(total, 1))
+    drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    counts = drawn.select("text").mapInArrow(_common_grams, "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= often).orderBy(F.desc("n"), "prefix").limit(most).select("prefix").toArrow()
+    last = np.zeros(1 << LAST_BITS, bool)
+    last[found.column("prefix").to_numpy()] = True
+    return last
+
+
+def _segment_rows(width: int, shared):
     def run(batches):
+        last = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             for keys, texts in blocks(b.column("key").to_pylist(), utf8_rows(b.column("text")), _N):
                 if len(texts) == 1 and texts[0] and len(texts[0]) > _N:
@@ -84,7 +121,7 @@ def _segment_rows(width: int):
                     work = [(keys, [t or b"" for t in texts], [0] * len(texts))]
                 for names, parts, offset in work:
                     ends = np.cumsum([len(p) for p in parts])
-                    anchor, content, start, count = segments(b"".join(parts), ends, width)
+                    anchor, content, start, count = segments(b"".join(parts), ends, width, last)
                     if len(anchor):
                         row = np.searchsorted(ends, start, "right")
                         begin = start - np.concatenate([[0], ends])[row] + np.array(offset)[row]
@@ -104,17 +141,31 @@ def _cut(width: int):
     return run
 
 
-def _shard(width: int, budget: int):
-    def run(part: pa.Table) -> pa.Table:
-        keys, starts, ends = [], [], []
-        hits = repeated_windows(part.column("bytes").to_pylist(), width, budget)
-        for key, start, alone, hit in zip(part.column("key").to_pylist(), part.column("start").to_pylist(), part.column("alone").to_pylist(), hits):
-            if alone and hit.any():
-                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                keys += [key] * (len(edge) // 2)
-                starts += [start + x for x in edge[::2]]
-                ends += [start + x + width - 1 for x in edge[1::2]]
-        return pa.table([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["key", "start", "end"])
+def _shard(width: int, memory_bytes: int):
+    """The task's rows are one shard: they go to disk as they come, and the repeated windows of segments that stand alone come back."""
+
+    def run(batches):
+        shard, keys, places, ends, alone = Shard(width, memory_bytes), [], [], [], []
+        try:
+            for b in batches:
+                texts = b.column("bytes").to_pylist()
+                keys.append(b.column("key").to_numpy())
+                # where the row's text begins in the shard, less where it begins in its document
+                begin = shard.n + np.cumsum([0] + [len(t) + 1 for t in texts])
+                places.append(begin[:-1] - b.column("start").to_numpy())
+                ends.append(begin[1:])
+                alone.append(b.column("alone").to_numpy(zero_copy_only=False))
+                shard.add(texts)
+            if shard.n:
+                keys, places, ends, alone = map(np.concatenate, (keys, places, ends, alone))
+                starts, stops = shard.repeated()
+                for at in range(0, len(starts), 1 << 16):
+                    low, high = np.asarray(starts[at : at + (1 << 16)]), np.asarray(stops[at : at + (1 << 16)])
+                    row = np.searchsorted(ends, low, "right")
+                    low, high, row = low[alone[row]], high[alone[row]], row[alone[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((low - places[row]).astype(np.int32)), pa.array((high + width - 1 - places[row]).astype(np.int32))], ["key", "start", "end"])
+        finally:
+            shard.close()
 
     return run
 
@@ -142,25 +193,6 @@ def _finish(digest: bool):
     return run
 
 
-def _windows(width: int):
-    """A hash for each window of the segments."""
-
-    def run(batches):
-        for b in batches:
-            hashes, keys, starts, alone = [], [], [], []
-            for key, start, one, text in zip(b.column("key").to_pylist(), b.column("start").to_pylist(), b.column("alone").to_pylist(), b.column("bytes").to_pylist()):
-                sums, (_, inverse) = _prefix(np.frombuffer(text, np.uint8)), _powers("word")
-                hash_ = mixed((sums[width:] - sums[:-width]) * inverse[: len(text) - width + 1]).view(np.int64)
-                hashes.append(hash_)
-                keys.append(np.full(len(hash_), key, np.int64))
-                starts.append(start + np.arange(len(hash_), dtype=np.int32))
-                alone.append(np.full(len(hash_), one))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(alone))], ["hash", "key", "start", "alone"])
-
-    return run
-
-
 def _judge_rare(found: DataFrame) -> DataFrame:
     """Whether each segment stands alone, and whether it speaks for its equals among several of an anchor: one shuffle."""
     order, whole = Window.partitionBy("anchor").orderBy("content"), Window.partitionBy("anchor")
@@ -181,32 +213,28 @@ def _judge_common(found: DataFrame) -> DataFrame:
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<int>, ends array<int>"
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = 4 << 20, crowd_bytes: int = 1 << 20, common_least: int = 16, memory_bytes: int = 64 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = 4 << 20, memory_bytes: int = 128 << 20, common_least: int = 16, sample_bytes: int = 4 << 20) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the bytes left) or their kept_sha256 if digest, starts and ends of the removed runs.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in this row or another; strings don't
     cross rows.  Null is empty; texts shorter than `width` lose nothing; of repeated rows, ids equal or not, every copy goes.
-    Other columns are ignored.  A shard of `shard_bytes` is sorted at a time, its queues in memory up to `memory_bytes`.
-    Anchors of over `common_least` segments, and of over one in COMMON_SHARE of all, are counted before they are shuffled.
-    Anchors with over `crowd_bytes` to compare would crowd a shard: their windows are counted by hash instead.
+    Other columns are ignored.  A task sorts a shard of about `shard_bytes`, an anchor's segments in one, and holds about
+    `memory_bytes` of it.  Anchors of over `common_least` segments, and of over one in COMMON_SHARE of all, are counted
+    before they are shuffled.  Strings are drawn from `sample_bytes` of text (a 1,500th of all, if that is more) to see which are common.
     """
     rows = with_id(docs, id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
-    found = written(rows.select("key", "text").mapInArrow(_segment_rows(width), "anchor long, content long, key long, start int, n int"), "segments")
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(_last(rows, sample_bytes)))  # 2 MB
+    found = written(rows.select("key", "text").mapInArrow(_segment_rows(width, shared), "anchor long, content long, key long, start int, n int"), "segments")
     floor = max(common_least, found.count() // COMMON_SHARE)
     common = found.groupBy("anchor").count().filter(F.col("count") > floor).select("anchor")  # fewer than COMMON_SHARE rows
     judged = written(_judge_rare(found.join(F.broadcast(common), "anchor", "left_anti")).union(_judge_common(found.join(F.broadcast(common), "anchor", "left_semi"))), "judged")
     repeated = judged.filter("NOT alone").select("key", "start", (F.col("start") + F.col("n") + width - 1).alias("end"))
     compare = judged.filter("compare")
     parts = compare.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n", "alone")).alias("parts"))
-    bytes_ = written(rows.select("key", F.col("text").cast("binary").alias("text")).join(parts, "key").mapInArrow(_cut(width), "anchor long, key long, start int, alone boolean, bytes binary"), "compared")
-    sizes = bytes_.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"))
-    crowded = written(sizes.filter(F.col("size") > crowd_bytes).select("anchor"), "crowded")
-    total = bytes_.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bytes_ = rows.select("key", F.col("text").cast("binary").alias("text")).join(parts, "key").mapInArrow(_cut(width), "anchor long, key long, start int, alone boolean, bytes binary")
+    total = compare.agg(F.sum(F.col("n") + width)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sorted_ = bytes_.join(crowded, "anchor", "left_anti").groupBy(F.pmod(F.col("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard(width, memory_bytes), "key long, start int, end int")
-    windows = written(bytes_.join(crowded, "anchor", "left_semi").mapInArrow(_windows(width), "hash long, key long, start int, alone boolean"), "windows")
-    twice = windows.groupBy("hash").count().filter("count > 1").select("hash")
-    counted = windows.filter("alone").join(twice, "hash", "left_semi").select("key", "start", (F.col("start") + width).alias("end"))
-    gone = repeated.union(sorted_).union(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    sorted_ = bytes_.repartition(shards, "anchor").mapInArrow(_shard(width, memory_bytes), "key long, start int, end int")
+    gone = repeated.union(sorted_).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     out = rows.join(gone, "key", "left").select("id", "text", "gone").mapInArrow(_finish(digest), RESULT)
     return out.select(id_back(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends")

@@ -106,7 +106,7 @@ def _bytes_expected(rows, width):
 def test_bytes(spark, docs, common, monkeypatch):
     if common:
         monkeypatch.setattr(suffix_dedup, "COMMON_SHARE", 1 << 60)
-    ways = {"crowd_bytes": 300, "common_least": 1} if common else {}
+    ways = {"common_least": 1, "sample_bytes": 1} if common else {}
     rows = docs + [(900, "xyz" * 200), (901, None), (902, "")]
     got = {r.doc_id: r for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=3000, memory_bytes=500, **ways).collect()}
     for (i, _), (n, removed, spans, kept) in zip(rows, _bytes_expected(rows, 200)):
