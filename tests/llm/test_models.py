@@ -170,6 +170,22 @@ def test_cotraining(spark):
     assert len(none) == 5 and all(r.keep and r.score is None for r in none)
 
 
+def test_cotraining_held_out(spark):
+    """A quarter of the labels is kept from the fit; each view and the combination are judged on it."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    out = cotraining.classify(docs, labels.filter(~hidden), rounds=2).join(labels.filter(hidden), "doc_id").collect()
+    good = np.array([r.quality == 1 and r.toxic == 0 for r in out])
+
+    def area(scores):
+        rank = np.argsort(np.argsort(scores)) + 1
+        return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+    areas = {name: area(np.array([r[name] for r in out])) for name in ("p_text", "p_meta", "score")}
+    assert len(out) > 60 and areas["score"] > 0.8 and areas["score"] >= max(areas["p_text"], areas["p_meta"]) - 0.03, areas
+    assert np.mean([r.keep == g for r, g in zip(out, good)]) > max(good.mean(), 1 - good.mean()) + 0.05
+
+
 def test_cotraining_pool_is_every_unlabelled_row(spark, monkeypatch):
     docs = spark.range(12000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'good fine words', 'bad poor signs') AS text", "concat('src', id % 2) AS source", "'en' AS lang")
     labels = docs.filter("doc_id % 5 < 1").selectExpr("doc_id", "cast(doc_id % 2 = 0 AS int) AS quality", "0 AS toxic")
