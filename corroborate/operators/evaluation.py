@@ -69,10 +69,10 @@ def selection_closure(cases: DataFrame, asked: DataFrame, pairs: DataFrame, id_c
 
 
 def required_present(required: DataFrame, present: DataFrame, known: DataFrame, id_col: str, need: str) -> DataFrame:
-    """Per case: fail if a required, known value is absent; not evaluated if only unknown ones are; else pass."""
+    """Per case: not evaluated if any required value isn't known at all; else fail if one is absent; else pass."""
     seen = present.select(id_col, need, F.lit(True).alias("_seen")).distinct()
     exists = known.select(need, F.lit(True).alias("_known")).distinct()
     out = required.join(seen, [id_col, need], "left").join(exists, need, "left")
     missing = F.bool_or(F.col("_seen").isNull() & F.col("_known").isNotNull())
-    unknown = F.bool_or(F.col("_seen").isNull() & F.col("_known").isNull())
-    return out.groupBy(id_col).agg(F.when(missing, FAIL).when(unknown, OPEN).otherwise(PASS).alias("status"))
+    unknown = F.bool_or(F.col("_known").isNull())
+    return out.groupBy(id_col).agg(F.when(unknown, OPEN).when(missing, FAIL).otherwise(PASS).alias("status"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_groups
+from ..common import kept
+from ..functions.text import alias_groups, aliases, norm_ar, words
 
 
 @dataclass(frozen=True)
@@ -21,11 +22,20 @@ class Index:
         """The index of both collections; frequencies and mean length are worked out at query time, so it equals a rebuild."""
         return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
 
+    def kept(self) -> Index:
+        """Both tables written to the shared folder; a document's postings stay in one file, so a query's hits are summed before
+        they are shuffled."""
+        return Index(kept(self.postings, "postings"), kept(self.lengths, "lengths"))
+
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str | None = None, compose: bool = False) -> Index:
-    groups = docs.select(docs[id_col].alias("doc_id"), (docs[domain_col] if domain_col else F.lit(None).cast("string")).alias("domain"), alias_groups(F.coalesce(docs[text_col], F.lit("")), compose).alias("groups"))
-    terms = groups.select("doc_id", F.explode(F.flatten("groups")).alias("term"))
-    return Index(terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), groups.select("doc_id", F.size("groups").alias("n_words"), "domain"))
+    """Words are counted for each document first; aliases are worked out for its distinct words only."""
+    domain = (docs[domain_col] if domain_col else F.lit(None).cast("string")).alias("domain")
+    held = docs.select(docs[id_col].alias("doc_id"), domain, words(norm_ar(F.coalesce(docs[text_col], F.lit("")), compose)).alias("words"))
+    # dealt by document once, which serves both counts
+    counted = held.repartition("doc_id").select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    terms = counted.select("doc_id", "n", F.explode(aliases(F.col("word"))).alias("term"))
+    return Index(terms.groupBy("term", "doc_id").agg(F.sum("n").alias("tf")), held.select("doc_id", F.size("words").alias("n_words"), "domain"))
 
 
 def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "text", top_k: int | None = 5, domain: str | None = None, floor: float = 0.0, min_terms: int = 1, best: str = "tf", compose: bool = False) -> DataFrame:
@@ -39,7 +49,7 @@ def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     groups = queries.select(queries[query_col].alias("query_id"), F.array_distinct(alias_groups(queries[text_col], compose)).alias("groups"))
     asked = groups.select("query_id", F.greatest(F.size("groups"), F.lit(min_terms)).alias("asked"), F.explode("groups").alias("group"))
-    terms = asked.select("query_id", "asked", F.array_join("group", " ").alias("group"), F.explode("group").alias("term"))
+    terms = asked.select("query_id", "asked", F.size("group").alias("aliases"), F.array_join("group", " ").alias("group"), F.explode("group").alias("term"))
     # only terms that are asked for are counted and shuffled further
     postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -48,8 +58,10 @@ def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col
     score = F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("n_words") / F.lit(mean)))
     hits = hits.withColumn("idf", idf).withColumn("score", score)
     top = F.max(F.struct("tf", "idf", "score") if best == "tf" else F.struct("score"))
-    found = hits.groupBy("query_id", "asked", "group", "doc_id").agg(top["score"].alias("score"))
-    scored = found.groupBy("query_id", "asked", "doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
+    # words with one alias are summed where their document lies; only those with several need their best alias first
+    several = hits.filter("aliases > 1").groupBy("query_id", "asked", "group", "doc_id").agg(top["score"].alias("score"))
+    single = hits.filter("aliases = 1").select("query_id", "asked", "group", "doc_id", "score")
+    scored = single.unionByName(several).groupBy("query_id", "asked", "doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
     scored = scored.select("query_id", "doc_id", "score", (F.col("found") / F.col("asked")).alias("overlap")).filter((F.col("score") > 0) & (F.col("overlap") >= floor))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)

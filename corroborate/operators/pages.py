@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
 from ..functions.text import url_is_clean
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -98,11 +99,23 @@ def host_completeness(pages: DataFrame, host: Column, collected: Column, listing
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.count_if(collected).alias("records"), (F.bool_and(collected | listing) & (F.count_if(collected) > 0)).alias("complete"))
 
 
-def manifest(records: DataFrame, by: Column, text: Column, order: str) -> DataFrame:
-    """Per file: records, bytes and a hash over its records' hashes in order; the texts themselves are never brought together."""
+def manifest(records: DataFrame, by: Column, text: Column, order: str, span: int = 1000) -> DataFrame:
+    """Per file: records, bytes, blank ones and a hash.
+
+    The hash is made in two steps, so that no task holds more than a range's hashes or a file's ranges: the records' hashes
+    of each range of `span` numbers of the order column, in order, one a line, are hashed; so are the ranges' hashes of each
+    bundle of `span` ranges, and then the bundles' hashes.
+    """
     rows = records.select(by.alias("file"), F.col(order).alias("o"), F.octet_length(text).alias("n"), F.sha2(text, 256).alias("sha"), (F.trim(text) == "").alias("blank"))
-    hashes = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "sha"))), lambda x: x["sha"]), "\n"), 256)
-    return rows.groupBy("file").agg(F.count("*").alias("records"), F.sum("n").cast("long").alias("bytes"), F.count_if("blank").alias("empty"), hashes.alias("sha256"))
+
+    def bundled(df: DataFrame, *keys: Column) -> DataFrame:
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "sha"))), lambda x: x["sha"]), "\n")
+        return df.groupBy(*keys).agg(F.sum("records").alias("records"), F.sum("n").cast("long").alias("bytes"), F.sum("empty").alias("empty"), F.sha2(lines, 256).alias("sha"))
+
+    rows = rows.withColumns({"records": F.lit(1).cast("long"), "empty": F.coalesce("blank", F.lit(False)).cast("long")})
+    ranges = bundled(rows, F.col("file"), F.floor(F.col("o") / span).alias("range")).withColumnRenamed("bytes", "n").withColumnRenamed("range", "o")
+    bundles = bundled(ranges, F.col("file"), F.floor(F.col("o") / span).alias("range")).withColumnRenamed("bytes", "n").withColumnRenamed("range", "o")
+    return bundled(bundles, F.col("file")).withColumnRenamed("sha", "sha256")
 
 
 def first_per_id(rows: DataFrame, id_col: str, order: str) -> DataFrame:
@@ -127,16 +140,6 @@ def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFra
 
 def _kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def allowed(target: Column, hosts: list[str] | None = None) -> Column:
-    return url_is_clean(target, hosts)

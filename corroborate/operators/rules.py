@@ -44,8 +44,18 @@ def decide_states(spark: SparkSession, facts: DataFrame, rules=STATE_RULES) -> D
     return first_match(facts, table, holds, "claim_id").drop("rule_level", "min_evidence", "min_positions", "recorded_disagreement", "evidence_gap")
 
 
-def decide_alignment(spark: SparkSession, facts: DataFrame, rules=ALIGNMENT_RULES, confidence: float = CONFIDENCE, overlap: float = OVERLAP) -> DataFrame:
-    """facts(claim_id, near_miss, proposal, confidence, overlap) -> with rule_id and alignment (null: undetermined)."""
+def decide_alignment(spark: SparkSession, facts: DataFrame, rules=ALIGNMENT_RULES, confidence: float = CONFIDENCE, overlap: float = OVERLAP, domain: str = "quran") -> DataFrame:
+    """facts(claim_id, near_miss, proposal, confidence, overlap) -> with rule_id and alignment (null: undetermined).
+
+    With a column near_domain a near miss counts only in `domain`; with a column state only SUPPORTED claims get an alignment.
+    """
+    if "near_domain" in facts.columns:
+        facts = facts.withColumn("near_miss", F.col("near_miss") & F.coalesce(F.col("near_domain") == domain, F.lit(False)))
+    if "state" in facts.columns:
+        decided = decide_alignment(spark, facts.withColumnRenamed("state", "_state"), rules, confidence, overlap)
+        for c in ("rule_id", "alignment"):
+            decided = decided.withColumn(c, F.when(F.col("_state") == "SUPPORTED", F.col(c)))
+        return decided.withColumnRenamed("_state", "state")
     table = spark.createDataFrame(rules, "rule_order int, rule_id string, r_near boolean, r_proposal string, needs_confidence boolean, needs_overlap boolean, alignment string")
     holds = (F.col("r_near").isNull() | (F.col("near_miss") == F.col("r_near"))) & (F.col("r_proposal").isNull() | (F.col("proposal") == F.col("r_proposal"))) & (~F.col("needs_confidence") | (F.col("confidence") >= confidence)) & (~F.col("needs_overlap") | (F.col("overlap") >= overlap))
     return first_match(facts, table, holds, "claim_id").drop("r_near", "r_proposal", "needs_confidence", "needs_overlap", "rule_order")
@@ -55,7 +65,7 @@ def level_floor(key: Column, cues: list[tuple[str, list[str]]]) -> Column:
     """The first level with a cue in the key, else A; cues are (level, patterns), the strictest first."""
     out = F.lit("A")
     for level, patterns in reversed(cues):
-        out = F.when(key.rlike("(?U)" + "|".join(f"(?:{cue_pattern(p)})" for p in patterns)), level).otherwise(out)
+        out = F.when(key.rlike("(?U)" + cue_pattern(patterns)), level).otherwise(out)
     return F.when(key.isNull(), "A").otherwise(out)
 
 
@@ -82,9 +92,53 @@ def restrict_requests(claims: DataFrame, request_col: str, level_col: str = "lev
     return claims.join(worst, request_col).withColumn(level_col, F.when(F.col("_d"), "D").otherwise(F.col(level_col))).drop("_d")
 
 
-def merge_fragments(claims: DataFrame, request_col: str, start: str, end: str, is_fragment: Column) -> DataFrame:
-    """Fragments that touch or lie in the claim before join it: (request, claim_no, start, end, parts)."""
+#: Fixed value: what may stand between a claim and the remark that follows it.
+BETWEEN_CLAIMS = r"^[\s؟?!.،,;:؛\-]*$"
+
+
+def merge_fragments(claims: DataFrame, request_col: str, start: str, end: str, is_fragment: Column, text: Column | None = None) -> DataFrame:
+    """Fragments that follow or lie in the claim before join it: (request, claim_no, start, end, parts); end is exclusive.
+
+    A fragment follows if only separators lie between (of `text`, the request's text; without it, if it starts at the claim's
+    end).  The claim before is the last one with what it has taken in; so each claim's reach is worked out in order, by a fold
+    over the request's claims.
+    """
+    row = F.struct(F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.coalesce(is_fragment, F.lit(False)).alias("f"))
+    whole = (text if text is not None else F.lit(None).cast("string")).alias("text")
+    groups = claims.select(request_col, row.alias("row"), whole).groupBy(request_col).agg(F.array_sort(F.collect_list("row")).alias("rows"), F.first("text").alias("text"))
+
+    def step(done, r):
+        last = F.try_element_at(done, F.lit(-1))
+        gap = F.when(r["s"] >= last["end"], F.substring(F.col("text"), last["end"] + 1, r["s"] - last["end"])).otherwise("")
+        follows = F.coalesce(gap.rlike(BETWEEN_CLAIMS), r["s"] <= last["end"])
+        inside = (last["start"] <= r["s"]) & (r["e"] <= last["end"])
+        joined = r["f"] & last.isNotNull() & (follows | inside)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["e"]).alias("end"), (last["parts"] + 1).alias("parts"))
+        new = F.struct(r["s"].alias("start"), r["e"].alias("end"), F.lit(1).alias("parts"))
+        return F.when(F.coalesce(joined, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(new)))
+
+    merged = F.aggregate("rows", F.array().cast("array<struct<start:int,end:int,parts:int>>"), step)
+    out = groups.select(request_col, F.posexplode(merged).alias("n", "c"))
+    return out.select(request_col, (F.col("n") + 1).cast("long").alias("claim_no"), "c.start", "c.end", F.col("c.parts").cast("long").alias("parts"))
+
+
+def number_claims(claims: DataFrame, request_col: str, start: str, end: str) -> DataFrame:
+    """Adds claim_id c1, c2, ... by place within each request."""
     order = Window.partitionBy(request_col).orderBy(start, end)
-    joined = is_fragment & (F.col(start) <= F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1)
-    islands = claims.withColumn("claim_no", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(request_col, "claim_no").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts"))
+    return claims.withColumn("claim_id", F.concat(F.lit("c"), F.row_number().over(order)))
+
+
+def omitted_context(claims: DataFrame, request_col: str, start: str, end: str, text: Column, source: Column) -> DataFrame:
+    """(request, complete): whether a request's several questions each have a question mark, follow one another and leave only white space."""
+    order = Window.partitionBy(request_col).orderBy("s")
+    rows = claims.select(request_col, F.col(start).alias("s"), F.col(end).alias("e"), text.alias("t"), source.alias("q"))
+    rows = rows.withColumns({"from": F.coalesce(F.lag("e").over(order), F.lit(0)), "next": F.lead("s").over(order)})
+    before = F.substring("t", F.col("from") + 1, F.col("s") - F.col("from"))
+    after = F.when(F.col("next").isNull(), F.substring("t", F.col("e") + 1, F.length("t"))).otherwise("")
+    ok = (F.col("s") >= F.col("from")) & (F.length(F.trim(before)) == 0) & F.col("q").rlike("[?؟]") & (F.length(F.trim(after)) == 0)
+    return rows.groupBy(request_col).agg(F.when(F.count("*") > 1, F.bool_and(ok)).otherwise(True).alias("complete"))
+
+
+def level_from_families(family: Column, intent: Column, judgment: Column, sensitive: Column, reasoning: Column) -> Column:
+    """The floor from cue families: a family with an intent, or a judgment, is D; sensitive C; reasoning B; else A."""
+    return F.when((family & intent) | judgment, "D").when(sensitive, "C").when(reasoning, "B").otherwise("A")

@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_budget, word_distance, words
+from ..functions.text import comparison_words, word_budget, word_distance
 
 
-def record_words(records: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, rw, m): each record's words and their number; records without words are left out."""
-    out = records.select(records[id_col].alias("item_id"), words(records[text_col]).alias("rw"))
-    return out.withColumn("m", F.size("rw")).filter("m > 0")
+def record_words(records: DataFrame, id_col: str = "item_id", text_col: str = "text", compose: bool = True) -> DataFrame:
+    """(item_id, rw, m): each record's words of the comparison key and their number.  Of records with the same words the first
+    stands for all; records without words are left out."""
+    out = records.select(records[id_col].alias("item_id"), comparison_words(records[text_col], True, compose).alias("rw"))
+    return out.filter(F.size("rw") > 0).groupBy("rw").agg(F.min("item_id").alias("item_id")).select("item_id", "rw", F.size("rw").alias("m"))
 
 
-def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(docs[id_col].alias("doc_id"), words(F.coalesce(docs[text_col], F.lit(""))).alias("dw"))
+def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compose: bool = True) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), comparison_words(F.coalesce(docs[text_col], F.lit("")), True, compose).alias("dw"))
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -63,20 +64,31 @@ def near_windows(docs: DataFrame, records: DataFrame, least: int = 3) -> DataFra
     starts = seeds.select("doc_id", "item_id", "m", "b", F.explode(F.sequence(F.col("p") - F.col("q") + 1 - F.col("b"), F.col("p") - F.col("q") + 1 + F.col("b"))).alias("start")).filter("start > 0").distinct()
     # lengths within two words of some record's, which is what a scan of all windows would try
     lengths = records.select(F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - 2), F.col("m") + 2)).alias("n")).distinct().filter(F.col("n") >= least)
-    by_record = long_.select("item_id", "rw", "m").join(lengths, F.abs(F.col("n") - F.col("m")) <= word_budget(F.greatest("n", "m")))
-    by_record = by_record.groupBy("item_id", "rw").agg(F.collect_set("n").alias("lengths"))
-    tried = starts.join(docs, "doc_id").join(by_record, "item_id").select("doc_id", "item_id", "start", "rw", "dw", F.explode("lengths").alias("n")).filter(F.col("start") + F.col("n") - 1 <= F.size("dw"))
-    near = tried.withColumn("distance", word_distance(F.col("rw"), F.slice("dw", F.col("start"), F.col("n")), 3))
+    # by length, so that records meet only the few lengths within their budget
+    sizes = long_.select("m", F.explode(F.sequence(F.greatest(F.lit(least), F.col("m") - 3), F.col("m") + 3)).alias("n")).distinct()
+    sizes = sizes.join(lengths, "n").filter(F.abs(F.col("n") - F.col("m")) <= word_budget(F.greatest("n", "m"))).groupBy("m").agg(F.collect_set("n").alias("lengths"), F.max("n").alias("longest"))
+    # only the words around a start travel on
+    cut = starts.join(sizes, "m").join(docs, "doc_id").select("doc_id", "item_id", "start", "lengths", F.slice("dw", F.col("start"), F.col("longest")).alias("dw"))
+    tried = cut.join(long_.select("item_id", "rw"), "item_id").select("doc_id", "item_id", "start", "rw", "dw", F.explode("lengths").alias("n")).filter(F.col("n") <= F.size("dw"))
+    near = tried.withColumn("distance", word_distance(F.col("rw"), F.slice("dw", F.lit(1), F.col("n")), 3))
     near = near.filter((F.col("distance") > 0) & (F.col("distance") <= word_budget(F.greatest("n", F.size("rw")))))
     return near.select("doc_id", "item_id", "start", "n", "distance", F.abs(F.col("n") - F.size("rw")).alias("length_difference"))
 
 
+def best_windows(near: DataFrame, exact: DataFrame) -> DataFrame:
+    """One record for each window: the nearest, then by length difference and record; none for windows that equal a record."""
+    best = near.groupBy("doc_id", "start", "n").agg(F.min(F.struct("distance", "length_difference", "item_id")).alias("b"))
+    open_ = best.join(exact.select("doc_id", "start", "n").distinct(), ["doc_id", "start", "n"], "left_anti")
+    return open_.select("doc_id", "b.item_id", "start", "n", "b.distance", "b.length_difference")
+
+
 def resolve(exact: DataFrame, near: DataFrame, records: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n, classification): exact hits, and near ones that survive.
 
     A near hit that overlaps an exact hit of a record at least as long goes; of the rest, by distance, length difference,
     place and record, those that overlap none chosen before stay.  The choice is made document by document.
     """
+    near = best_windows(near, exact)
     size = records.select("item_id", "m")
     verbatim = exact.join(size, "item_id").select(F.col("doc_id").alias("d"), F.col("start").alias("vs"), (F.col("start") + F.col("n")).alias("ve"), F.col("m").alias("vm"))
     rest = near.join(size, "item_id").join(verbatim, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("ve")) & (F.col("start") + F.col("n") > F.col("vs")) & (F.col("vm") >= F.col("m")), "left_anti")
@@ -115,9 +127,83 @@ def excerpts(docs: DataFrame, records: DataFrame, n: int = 5) -> DataFrame:
     return runs(docs, "doc_id", F.col("dw")).join(runs(records.filter(F.col("m") > n), "item_id", F.col("rw")), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-def span_effects(findings: DataFrame, levels: DataFrame) -> DataFrame:
-    """Per document: whether a near miss forces CONTRADICTS (unless its level is D), else the first near record as a notice."""
-    near = findings.filter("classification = 'NEAR_MISS'").groupBy("doc_id").agg(F.min(F.struct("start", "item_id")).alias("first"))
+def attribution_spans(docs: DataFrame, formulas: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, span): what follows an attribution formula up to the sentence's end, unless quotation marks follow it.
+
+    The longest formula at a place wins; offsets are code points from 0, end exclusive.
+    """
+    wanted = sorted(formulas, key=lambda f: (-len(f.split()), f))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = rows.filter(F.col("text").rlike("|".join(r"(?U)" + r"\s+".join(map(re.escape, f.split())) for f in wanted)))
+
+    def find(batches):
+        pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(r"\s+".join(map(re.escape, f.split())) for f in wanted) + r")(?![^\W_])[\s:،]*")
+        tail = re.compile(r"[^\n.!?؟؛]+")
+        for b in batches:
+            out = []
+            for i, text in zip(b["doc_id"], b["text"]):
+                for m in pattern.finditer(text):
+                    if (said := tail.match(text, m.end())) and said[0].strip() and text[m.end()] not in "«“\"":
+                        out.append((i, said.start(), said.end(), said[0]))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "span"])
+
+    return rows.mapInPandas(find, "doc_id long, start int, end int, span string")
+
+
+def classify_marked(marked: DataFrame, records: DataFrame, compose: bool = True) -> DataFrame:
+    """marked(span_id, span) -> (span_id, classification, item_id, distance): VERBATIM, NEAR_MISS, EXCERPT or UNRELATED with the
+    nearest record that shares a word.
+
+    A span equal to a record is verbatim; else one within the word budget is a near miss; else a run of at least three words
+    inside a record is an excerpt, of five within the budget a near one; else it is unrelated.  Distances are worked out for
+    records that share one of the span's words, found by a join on words, never for all pairs.
+    """
+    spans = marked.select("span_id", comparison_words(F.col("span"), True, compose).alias("dw")).filter(F.size("dw") > 0)
+    # spans with the same words are judged once
+    distinct = spans.groupBy("dw").agg(F.min("span_id").alias("s"))
+    exact = distinct.join(records, F.col("dw") == F.col("rw")).groupBy("s").agg(F.min("item_id").alias("item_id"))
+    rest = distinct.join(exact, "s", "left_anti")
+    mine = rest.select("s", F.explode(F.array_distinct("dw")).alias("word"))
+    theirs = records.select("item_id", F.explode(F.array_distinct("rw")).alias("word"))
+    pairs = mine.join(theirs, "word").groupBy("s", "item_id").agg(F.count("*").alias("shared"))
+    both = pairs.join(rest, "s").join(records, "item_id").withColumn("n", F.size("dw"))
+    far = word_distance(F.col("rw"), F.col("dw"))
+    # an excerpt's windows inside the record, only where enough words are shared
+    budget = word_budget(F.col("n"))
+    inside = F.transform(F.sequence(F.lit(1), F.greatest(F.col("m") - F.col("n") + 1, F.lit(1))), lambda i: word_distance(F.slice("rw", i, F.col("n")), F.col("dw")))
+    candidate = (F.col("m") > F.col("n")) & (F.col("n") >= 3) & (F.col("shared") >= F.size(F.array_distinct("dw")) - budget)
+    least = F.when(candidate, F.array_min(inside))
+    both = both.select("s", "item_id", "n", "m", far.alias("far"), least.alias("inner"), budget.alias("b"))
+    near = (F.least("n", "m") >= 3) & (F.col("far") <= word_budget(F.greatest("n", "m")))
+    excerpt = (F.col("inner") == 0) | ((F.col("n") >= 5) & (F.col("inner") <= F.col("b")))
+    kind = F.when(near, 1).when(excerpt, 2).otherwise(3)
+    d = F.when(near, F.col("far")).when(excerpt, F.col("inner")).otherwise(F.col("far"))
+    best = both.groupBy("s").agg(F.min(F.struct(kind.alias("kind"), d.alias("distance"), F.abs(F.col("n") - F.col("m")).alias("gap"), "item_id")).alias("b"))
+    named = F.element_at(F.array(F.lit("NEAR_MISS"), F.lit("EXCERPT"), F.lit("UNRELATED")), F.col("b.kind"))
+    found = best.select("s", named.alias("classification"), "b.item_id", "b.distance").unionByName(exact.select("s", F.lit("VERBATIM").alias("classification"), "item_id", F.lit(0).alias("distance")))
+    judged = distinct.join(found, "s", "left").select("dw", F.coalesce("classification", F.lit("UNRELATED")).alias("classification"), "item_id", "distance")
+    return spans.join(judged, "dw").select("span_id", "classification", "item_id", "distance")
+
+
+def detection_status(texts: DataFrame, findings: DataFrame, records: DataFrame, required: DataFrame) -> DataFrame:
+    """(doc_id, status, findings): INDEX_EMPTY without records, UNRESOLVED if a required record isn't there, else RAN.
+
+    required(doc_id, item_id).
+    """
+    empty = records.limit(1).agg((F.count("*") == 0).alias("_empty"))
+    lost = required.join(records.select("item_id"), "item_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("_lost"))
+    n = findings.groupBy("doc_id").agg(F.count("*").alias("findings"))
+    out = texts.select("doc_id").join(lost, "doc_id", "left").join(n, "doc_id", "left").crossJoin(F.broadcast(empty))  # one row
+    status = F.when(F.col("_empty"), "INDEX_EMPTY").when(F.col("_lost").isNotNull(), "UNRESOLVED").otherwise("RAN")
+    return out.select("doc_id", status.alias("status"), F.coalesce("findings", F.lit(0).cast("long")).alias("findings"))
+
+
+def span_effects(findings: DataFrame, levels: DataFrame, domain: str | None = None) -> DataFrame:
+    """Per document: whether a near miss forces CONTRADICTS (of a record of `domain` if given, unless its level is D), else the
+    first near record as a notice.  findings(doc_id, item_id, start, classification[, domain])."""
+    near = findings.filter("classification = 'NEAR_MISS'")
+    forcing = F.lit(True) if domain is None else F.coalesce(F.col("domain") == domain, F.lit(False))
+    near = near.groupBy("doc_id").agg(F.min(F.struct("start", "item_id")).alias("first"), F.bool_or(forcing).alias("forcing"))
     out = levels.join(near, "doc_id", "left")
-    force = F.col("first").isNotNull() & (F.col("level") != "D")
+    force = F.coalesce("forcing", F.lit(False)) & (F.col("level") != "D")
     return out.select("doc_id", force.alias("force_contradicts"), F.when(~force, F.col("first.item_id")).alias("notice"))

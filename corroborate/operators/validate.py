@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_ar, url_is_clean
+from ..functions.text import is_https, norm_ar, url_is_clean, url_of_source
 
 
 def rule_rows(df: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:
@@ -52,3 +52,92 @@ def require_clean(df: DataFrame, violations: DataFrame, id_col: str, quarantine:
     if bad.limit(1).count():
         raise ValueError("the table violates its constraints")
     return df
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+
+
+def _cleared(license_: Column) -> Column:
+    return _filled(license_) & ~F.lower(F.trim(license_)).isin("pending", "unknown")
+
+
+def contract_violations(corpus: DataFrame, sources: DataFrame, register: DataFrame, graders: list[str], graded: str = "hadith", need_redistribution: bool = True, public_display: bool = False, pending_allowed: bool = False, reviewers: tuple[str, ...] = ("owner",), needs_english: tuple[str, ...] = (), langs: tuple[str, ...] = ("ar", "en"), compose: bool = True) -> DataFrame:
+    """(row_id, rule): a corpus against sources and licence register, all rules.
+
+    corpus(corpus_id, domain, source_id, source_name, source_url, text, text_normalized, text_en, checksum, checksum_en,
+    license, license_url, approved_by, lang, retrieved_at, ref map<string,string>, translation_of,
+    grading struct<grade, grader, source_id, url>); sources(source_id, domains, entry_url, license_status, ingestion_allowed,
+    redistribution_allowed, public_display_allowed); register(source_id, domain, license, license_url).  The grading's source is
+    a source in its own right, so both tables are joined a second time for it.
+    """
+    fields = ["domains", "entry_url", "license_status", "ingestion_allowed", "redistribution_allowed", "public_display_allowed"]
+
+    def role(prefix: str, key: str) -> DataFrame:
+        s = sources.select(F.col("source_id").alias(key), F.struct(*fields).alias(f"{prefix}s"))
+        r = register.select(F.col("source_id").alias(key), F.struct("domain", "license", "license_url").alias(f"{prefix}r"))
+        return s.join(r, key, "left")
+
+    rows = corpus.withColumns({"_grader": F.col("grading.source_id"), "_n": F.count("*").over(Window.partitionBy("corpus_id"))})
+    rows = rows.join(role("_", "source_id"), "source_id", "left").join(role("_g", "_grader"), "_grader", "left")
+    targets = corpus.filter("domain = 'quran'").select(F.col("corpus_id").alias("translation_of"), F.lit(True).alias("_target")).distinct()
+    rows = rows.join(targets, "translation_of", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    spread = lambda who: yes(f"{who}.redistribution_allowed") | F.lit(not need_redistribution)
+    shown = lambda who: yes(f"{who}.redistribution_allowed") | yes(f"{who}.public_display_allowed")
+    in_class = F.col("domain") == graded
+    complete = _filled(F.col("grading.grade")) & _filled(F.col("grading.grader")) & is_https(F.col("grading.url"))
+    provenance = (
+        F.col("_grader").isin(graders)
+        & url_of_source(F.col("grading.url"), F.col("_gs.entry_url"), section=True)
+        & F.array_contains("_gs.domains", graded)
+        & (F.col("_gr.domain") == graded)
+        & (F.col("_gs.license_status") == "confirmed")
+        & yes("_gs.ingestion_allowed")
+        & spread("_gs")
+        & _cleared(F.col("_gr.license"))
+        & is_https(F.col("_gr.license_url"))
+    )
+    same_license = (F.col("license") == F.col("_r.license")) & (F.col("license_url") == F.col("_r.license_url"))
+    rules = {
+        "source_domain": F.array_contains("_s.domains", F.col("domain")) & (F.col("domain") == F.col("_r.domain")),
+        "source_url": url_of_source(F.col("source_url"), F.col("_s.entry_url")),
+        "grading_complete": ~in_class | complete,
+        "grading_provenance": ~in_class | provenance,
+        "text_present": _filled(F.col("text")),
+        "checksum": F.sha2("text", 256) == F.col("checksum"),
+        "english_checksum": F.col("text_en").isNull() | (F.sha2("text_en", 256) == F.col("checksum_en")),
+        "normalised": norm_ar(F.col("text"), compose) == F.col("text_normalized"),
+        "license": _cleared(F.col("license")) & is_https(F.col("license_url")) & same_license,
+        "clearance": (F.col("_s.license_status") == "confirmed") & yes("_s.ingestion_allowed") & spread("_s"),
+        "public_display": F.lit(not public_display) | (shown("_s") & (~in_class | shown("_gs"))),
+        "id_unique": _filled(F.col("corpus_id").cast("string")) & (F.col("_n") == 1),
+        "approval": F.col("approved_by").isin(*reviewers, *(["pending"] if pending_allowed else [])),
+        "fields": _filled(F.col("source_name")) & _filled(F.col("retrieved_at")) & F.col("lang").isin(*langs),
+        "ref": (F.size("ref") > 0) & F.forall(F.map_entries("ref"), lambda e: _filled(e["key"]) & _filled(e["value"]) & ~F.coalesce(e["value"].try_cast("long") <= 0, F.lit(False))),
+        "english": ~F.col("domain").isin(*needs_english) | _filled(F.col("text_en")),
+        "translation_target": F.col("translation_of").isNull() | yes("_target"),
+    }
+    return rule_rows(rows, "corpus_id", rules)
+
+
+def pair_binding(domain: Column, source_id: Column, surah: Column, ayah: Column, matching: Column, display: Column, text: Column, key: Column, ref: Column, corpus_id: Column, checksum: Column, checksum_display: Column, source: str, compose: bool = True) -> Column:
+    """Whether a verse's two spellings are bound to its text, key, place, id and checksums; true where no field of the pair is there."""
+    none = surah.isNull() & ayah.isNull() & matching.isNull() & display.isNull() & checksum_display.isNull()
+    ok = (
+        (domain == "quran")
+        & (source_id == source)
+        & _filled(matching)
+        & _filled(display)
+        & (matching == text)
+        & (key == norm_ar(matching, compose))
+        & surah.between(1, 114)
+        & (ayah >= 1)
+        & (F.size(ref) == 2)
+        & (F.try_element_at(ref, F.lit("surah")) == surah.cast("string"))
+        & (F.try_element_at(ref, F.lit("ayah")) == ayah.cast("string"))
+        & (corpus_id == F.concat_ws(":", F.lit("quran"), surah, ayah))
+        & (checksum == F.sha2(matching, 256))
+        & (checksum_display == F.sha2(display, 256))
+    )
+    return none | F.coalesce(ok, F.lit(False))

@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from . import decisions, pages, retrieval, spans
+    from . import cards, claims, decisions, pages, retrieval, spans
 
-    return (retrieval, spans, decisions, pages)
+    return (retrieval, spans, decisions, pages, claims, cards)
 
 
 def queries() -> dict:

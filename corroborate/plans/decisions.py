@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_ar, shingles, words
@@ -48,9 +49,12 @@ def request_restriction(spark, sf_dir):
 
 
 def fragment_merge(spark, sf_dir):
-    """Turns as spans of their conversation; turns of at most five words are fragments."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("start"), F.col("turn").alias("end"), F.size(words("text")).alias("n"))
-    return rules.merge_fragments(turns, "conv_id", "start", "end", F.col("n") <= 40)
+    """Turns, one after the other, as spans of their conversation; turns of at most 40 words are fragments of the one before."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = table(spark, sf_dir, "conversations").withColumn("start", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    turns = turns.select("conv_id", "start", (F.col("start") + F.length("text")).alias("end"), F.size(words("text")).alias("n"))
+    out = rules.merge_fragments(turns, "conv_id", "start", "end", F.col("n") <= 40)
+    return out.select("conv_id", "claim_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "parts")
 
 
 def _corpus(spark, sf_dir):
@@ -78,8 +82,8 @@ def checksum_dups(spark, sf_dir):
 
 
 def conflicting_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("ref", F.col("doc_id") % 300)
-    return gates.without_conflicts(docs, ["source", "ref"], "lang").select("source", "ref", "copies")
+    """Documents whose source and length no other document shares; those that share them go."""
+    return gates.without_conflicts(table(spark, sf_dir, "documents"), ["source", "n_chars"]).select("doc_id", "source", "n_chars")
 
 
 def twin_peers(spark, sf_dir):
@@ -114,7 +118,7 @@ def own_record_leak(spark, sf_dir):
 
 def _cases(spark, sf_dir):
     """Labels expect, simple rules observe."""
-    seen = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit(True).alias("seen"), (F.col("n_chars") > 300).cast("int").alias("got_quality"), F.col("text").rlike("idiot|stupid|clown").cast("int").alias("got_toxic")).filter("doc_id % 10 <> 3")
+    seen = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit(True).alias("seen"), (F.col("n_chars") > 300).cast("int").alias("got_quality"), F.col("text").rlike("idiot|stupid|clown").cast("int").alias("got_toxic"))
     out = table(spark, sf_dir, "labels").join(seen, "doc_id", "left").withColumn("observed", F.coalesce("seen", F.lit(False)))
     return out.drop("seen")
 
@@ -175,10 +179,9 @@ def selection_closure(spark, sf_dir):
 
 
 def required_records(spark, sf_dir):
-    """Cases need the record of their number and the next; present are those whose words the document holds."""
-    cases = table(spark, sf_dir, "documents").filter("doc_id < 500").select("doc_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("item_id"))
-    present = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.col("doc_id"), F.col("n_chars") % 40)).alias("item_id"))
-    return ev.required_present(cases, present, table(spark, sf_dir, "benchmark").select("item_id"), "doc_id", "item_id")
+    """Documents need the records of which they hold five words in a row, present are those held whole; every fourth record is unknown."""
+    docs, records = spans.document_words(table(spark, sf_dir, "documents")), spans.record_words(table(spark, sf_dir, "benchmark"))
+    return ev.required_present(spans.excerpts(docs, records), spans.exact_windows(docs, records), table(spark, sf_dir, "benchmark").filter("item_id % 4 <> 0"), "doc_id", "item_id")
 
 
 def set_ops(spark, sf_dir):
@@ -218,7 +221,7 @@ _CORPUS = """src AS (SELECT source AS source_id, list_filter(list(DISTINCT lang)
             CASE WHEN doc_id % 67 = 0 THEN 'xx' ELSE lang END AS lang, doc_id % 71 = 0 AS pending, sha256(CASE WHEN doc_id % 73 = 0 THEN text || 'x' ELSE text END) AS checksum, doc_id % 79 <> 0 AS approved FROM documents),
         t AS (SELECT DISTINCT corpus_id AS translation_of FROM c WHERE translation_of IS NULL)"""
 _CASES = """c AS (SELECT l.doc_id, quality, toxic, d.doc_id IS NOT NULL AS observed, lang, source, CAST(n_chars > 300 AS INTEGER) AS got_quality, CAST(regexp_matches(text, 'idiot|stupid|clown') AS INTEGER) AS got_toxic
-            FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 10 <> 3) d USING (doc_id)),
+            FROM labels l LEFT JOIN documents d USING (doc_id)),
         k AS (SELECT doc_id, lang, 'quality' AS name, CASE WHEN NOT observed THEN 'not_evaluated' WHEN quality IS NOT DISTINCT FROM got_quality THEN 'pass' ELSE 'fail' END AS status FROM c
             UNION ALL SELECT doc_id, lang, 'toxic', CASE WHEN NOT observed THEN 'not_evaluated' WHEN toxic IS NOT DISTINCT FROM got_toxic THEN 'pass' ELSE 'fail' END FROM c),
         s AS (SELECT doc_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'not_evaluated') THEN 'not_evaluated' ELSE 'pass' END AS case_status FROM k GROUP BY doc_id)"""
@@ -238,10 +241,9 @@ SQL = {
     "alignment_first_match": f"""WITH {_FACTS}, r AS (SELECT claim_id, CASE WHEN near_miss THEN 'near_miss' WHEN proposal = 'CONTRADICTS' AND confidence >= 0.6 THEN 'model_contradicts'
             WHEN proposal = 'CONFIRMS' AND confidence >= 0.6 AND overlap >= 0.25 THEN 'model_confirms' ELSE 'unresolved' END AS rule_id FROM f)
         SELECT claim_id, rule_id, CASE rule_id WHEN 'model_confirms' THEN 'CONFIRMS' WHEN 'unresolved' THEN NULL ELSE 'CONTRADICTS' END AS alignment FROM r""",
-    "fragment_merge": r"""WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) <= 40 AS f FROM conversations),
-        m AS (SELECT *, f AND turn <= max(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS j FROM t),
-        i AS (SELECT *, sum(CASE WHEN coalesce(j, false) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS claim_no FROM m)
-        SELECT conv_id, CAST(claim_no AS BIGINT) AS claim_no, min(turn) AS "start", max(turn) AS "end", count(*) AS parts FROM i GROUP BY ALL""",
+    "fragment_merge": r"""WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) <= 40 AS f, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) AS n FROM conversations),
+        i AS (SELECT *, sum(CASE WHEN f AND turn > (SELECT min(turn) FROM t u WHERE u.conv_id = t.conv_id) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS claim_no FROM t)
+        SELECT conv_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(min(s) AS BIGINT) AS "start", CAST(max(s + n) AS BIGINT) AS "end", count(*) AS parts FROM i GROUP BY ALL""",
     "corpus_violations": f"""WITH {_CORPUS}, r AS (SELECT c.*, src.domains, count(*) OVER (PARTITION BY corpus_id) AS n, t.translation_of IS NOT NULL AS target FROM c LEFT JOIN src USING (source_id) LEFT JOIN t ON t.translation_of = c.translation_of),
         v AS (SELECT corpus_id AS row_id, unnest(list_filter([
             CASE WHEN domains IS NULL THEN 'source_known' END, CASE WHEN domains IS NULL OR NOT list_contains(domains, domain) THEN 'source_domain' END,
@@ -252,7 +254,7 @@ SQL = {
         SELECT row_id, rule, count(*) AS n FROM v GROUP BY ALL""",
     "register_equality": "SELECT DISTINCT source AS source_id, 'left' AS only_in FROM documents WHERE source = 'src3'",
     "checksum_dups": "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "conflicting_duplicates": "SELECT source, doc_id % 300 AS ref, count(*) AS copies FROM documents GROUP BY ALL HAVING count(DISTINCT lang) = 1",
+    "conflicting_duplicates": "SELECT doc_id, source, n_chars FROM documents QUALIFY count(*) OVER (PARTITION BY source, n_chars) = 1",
     "twin_peers": f"SELECT md5({_KEY}) AS key, count(*) AS records, count(DISTINCT source) AS sources, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "received_registry": f"WITH {_CORPUS} SELECT source_id, coalesce(list_contains(domains, domain) AND host = source_id || '.example', false) AS permitted, count(*) AS n FROM c LEFT JOIN src USING (source_id) GROUP BY ALL",
     "quote_verification": """SELECT item_id AS claim_id, CASE WHEN item_id % 11 = 0 THEN 'missing' WHEN item_id % 3 = 1 THEN 'same_key' WHEN item_id % 3 = 2 THEN 'different' ELSE 'verbatim' END AS verdict FROM benchmark""",
@@ -278,9 +280,12 @@ SQL = {
             FROM p LEFT JOIN labels a ON a.doc_id = p.doc_id LEFT JOIN labels b ON b.doc_id = partner""",
     "pair_symmetry": f"WITH {_PAIRS} SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.partner AND q.partner = p.doc_id)",
     "selection_closure": f"WITH {_PAIRS}, a AS (SELECT doc_id FROM documents WHERE lang = 'es') SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM a UNION SELECT partner FROM p WHERE doc_id IN (SELECT doc_id FROM a))",
-    "required_records": """WITH r AS (SELECT doc_id, unnest([doc_id, doc_id + 1]) AS item_id FROM documents WHERE doc_id < 500), p AS (SELECT DISTINCT doc_id, unnest([doc_id, n_chars % 40]) AS item_id FROM documents),
-        j AS (SELECT r.doc_id, p.item_id IS NOT NULL AS seen, b.item_id IS NOT NULL AS known FROM r LEFT JOIN p ON p.doc_id = r.doc_id AND p.item_id = r.item_id LEFT JOIN benchmark b ON b.item_id = r.item_id)
-        SELECT doc_id, CASE WHEN bool_or(NOT seen AND known) THEN 'fail' WHEN bool_or(NOT seen AND NOT known) THEN 'not_evaluated' ELSE 'pass' END AS status FROM j GROUP BY doc_id""",
+    "required_records": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS dw FROM documents), r AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS rw FROM benchmark),
+        dr AS (SELECT DISTINCT doc_id, array_to_string(dw[i:i + 4], ' ') AS run FROM (SELECT doc_id, dw, unnest(range(1, len(dw) - 3)) AS i FROM d WHERE len(dw) >= 5)),
+        rr AS (SELECT DISTINCT item_id, array_to_string(rw[i:i + 4], ' ') AS run FROM (SELECT item_id, rw, unnest(range(1, len(rw) - 3)) AS i FROM r WHERE len(rw) > 5)),
+        need AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN rr USING (run)),
+        j AS (SELECT need.doc_id, need.item_id % 4 <> 0 AS known, contains(' ' || array_to_string(dw, ' ') || ' ', ' ' || array_to_string(rw, ' ') || ' ') AS seen FROM need JOIN d USING (doc_id) JOIN r USING (item_id))
+        SELECT doc_id, CASE WHEN bool_or(NOT known) THEN 'not_evaluated' WHEN bool_or(NOT seen) THEN 'fail' ELSE 'pass' END AS status FROM j GROUP BY doc_id""",
     "set_ops": """WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer), s AS (SELECT CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE s_nationkey % 3 <> 0)
         SELECT 'union' AS kind, nation FROM (SELECT nation FROM c UNION SELECT nation FROM s) UNION ALL SELECT 'intersect', nation FROM (SELECT nation FROM c INTERSECT SELECT nation FROM s)
         UNION ALL SELECT 'except', nation FROM (SELECT nation FROM c EXCEPT SELECT nation FROM s)""",

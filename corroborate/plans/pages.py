@@ -46,10 +46,11 @@ def first_record(spark, sf_dir):
 
 
 def frontier_reach(spark, sf_dir):
-    """Documents as nodes that link to twice and three times their number, modulo their count."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") % 900 * 2 % 1000).alias("a"), (F.col("doc_id") * 3 % 997).alias("b"))
-    edges = docs.select("src", F.explode(F.array("a", "b")).alias("dst"))
-    out = pages.reachable(edges.filter("src = 1").select(F.col("src").alias("node")), edges)
+    """Documents as nodes that link to twice their number and the one after it, modulo one more than the largest."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"))
+    size = ids.agg((F.max("src") + 1).alias("n"))  # one row
+    edges = ids.crossJoin(F.broadcast(size)).select("src", F.explode(F.array(F.col("src") * 2 % F.col("n"), (F.col("src") * 2 + 1) % F.col("n"))).alias("dst"))
+    out = pages.reachable(edges.filter("src = 1").select(F.col("src").alias("node")).distinct(), edges)
     return out.select("node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -109,10 +110,13 @@ SQL = {
         SELECT DISTINCT page_id, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS target FROM l""",
     "page_reasons": f"WITH {_FIELDS} SELECT page_id, coalesce(reason, 'record') AS reason FROM r",
     "host_completeness": f"WITH {_FIELDS} SELECT host, count(*) AS pages, count(*) FILTER (WHERE reason IS NULL) AS records, bool_and(reason IS NULL OR lang = 'es') AND count(*) FILTER (WHERE reason IS NULL) > 0 AS complete FROM r GROUP BY host",
-    "manifest_stats": "SELECT source AS file, count(*) AS records, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) FILTER (WHERE trim(text) = '') AS empty, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source",
+    "manifest_stats": """WITH a AS (SELECT source AS file, doc_id // 1000 AS o, count(*) AS records, sum(octet_length(encode(text))) AS bytes, count(*) FILTER (WHERE trim(text) = '') AS empty,
+            sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS sha FROM documents GROUP BY ALL),
+        b AS (SELECT file, o // 1000 AS o, sum(records) AS records, sum(bytes) AS bytes, sum(empty) AS empty, sha256(string_agg(sha, chr(10) ORDER BY o)) AS sha FROM a GROUP BY file, o // 1000)
+        SELECT file, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(empty) AS BIGINT) AS empty, sha256(string_agg(sha, chr(10) ORDER BY o)) AS sha256 FROM b GROUP BY file""",
     "first_record": "SELECT md5(text) AS record, min(doc_id) AS doc_id FROM documents GROUP BY 1",
-    "frontier_reach": """WITH RECURSIVE g AS (SELECT doc_id AS src, unnest([doc_id % 900 * 2 % 1000, doc_id * 3 % 997]) AS dst FROM documents),
-        walk AS (SELECT src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM g WHERE src = 1) UNION SELECT dst, depth + 1 FROM walk JOIN g ON src = node WHERE depth < 40)
+    "frontier_reach": """WITH RECURSIVE n AS (SELECT max(doc_id) + 1 AS n FROM documents), g AS (SELECT doc_id AS src, unnest([doc_id * 2 % n, (doc_id * 2 + 1) % n]) AS dst FROM documents, n),
+        walk AS (SELECT src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM g WHERE src = 1) UNION SELECT dst, depth + 1 FROM walk JOIN g ON src = node WHERE depth < 60)
         SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node""",
     "script_majority": "SELECT len(regexp_extract_all(text, '[ء-ي]')) > len(regexp_extract_all(text, '[A-Za-z]')) AS arabic, count(*) AS n FROM documents GROUP BY 1",
     "stage_summary": f"WITH {_EVENTS} SELECT request_id, count(*) AS events, count(*) FILTER (WHERE failed) AS failures, count(DISTINCT stage) AS stages, CAST(sum(k) AS BIGINT) AS k, round(sum(elapsed), 2) AS elapsed FROM e GROUP BY request_id",
@@ -120,8 +124,12 @@ SQL = {
     "request_sessions": f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 7200000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY request_id ORDER BY ts)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY request_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
         SELECT min(epoch_us(ts)) AS session_start, request_id, count(*) AS events, count(*) FILTER (WHERE failed) AS failures, round(sum(elapsed), 2) AS elapsed FROM s GROUP BY request_id, n""",
-    "late_retry": f"""WITH {_EVENTS}, j AS (SELECT a.request_id AS claim_id, CASE WHEN b.request_id IS NULL THEN 'CHECK_INCOMPLETE' ELSE 'DONE' END AS state
-            FROM e a LEFT JOIN e b ON b.stage = 'click' AND a.request_id = b.request_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.stage = 'view')
+    "late_retry": f"""WITH {_EVENTS}, v AS (SELECT DISTINCT request_id, ts FROM e WHERE stage = 'view'),
+        j AS (SELECT request_id AS claim_id, CASE WHEN EXISTS (SELECT 1 FROM e b WHERE b.stage = 'click' AND b.request_id = v.request_id AND b.ts >= v.ts AND b.ts <= v.ts + INTERVAL 1 HOUR) THEN 'DONE' ELSE 'CHECK_INCOMPLETE' END AS state FROM v)
         SELECT claim_id, state, count(*) AS n FROM j GROUP BY ALL""",
+    "first_paragraphs": r"""WITH p AS (SELECT doc_id, trim(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '^\s+', ''), '[^\S\n]*\n[^\S\n]*', chr(10), 'g'), chr(10) || chr(10))[1], E' \n\t') AS t FROM documents),
+        h AS (SELECT *, left(t, 400) AS head FROM p), c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?؟؛])', 1) AS sentence, regexp_extract(head, '(?s)^(.+)\s', 1) AS space FROM h)
+        SELECT doc_id, trim(CASE WHEN length(t) <= 400 THEN t WHEN length(sentence) >= 100 THEN sentence WHEN space <> '' THEN space ELSE head END, E' \n\t') AS paragraph FROM c""",
+    "sentence_cap": r"""SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: true)[1:2], ' ') AS head FROM benchmark""",
     "url_policy": r"SELECT page_id, NOT contains(url, '#') AND NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[%\\\\]') AS clean FROM pages",
 }

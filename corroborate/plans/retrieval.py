@@ -14,7 +14,7 @@ def _asked(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir, **more):
-    return bm25(_asked(spark, sf_dir), build_index(table(spark, sf_dir, "documents"), domain_col="lang"), **more)
+    return bm25(_asked(spark, sf_dir), build_index(table(spark, sf_dir, "documents"), domain_col="lang").kept(), **more)
 
 
 def _result(df):
@@ -32,7 +32,7 @@ def bm25_floor_overlap(spark, sf_dir):
 
 def bm25_delta_equals_rebuild(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = build_index(docs.filter("lang = 'en'")).append(build_index(docs.filter("lang <> 'en' OR lang IS NULL")))
+    index = build_index(docs.filter("lang = 'en'")).kept().append(build_index(docs.filter("lang <> 'en' OR lang IS NULL")).kept())
     return _result(bm25(_asked(spark, sf_dir), index, top_k=10))
 
 
@@ -45,7 +45,7 @@ def multi_query_best(spark, sf_dir):
     """A conversation's turns of the user are its queries; benchmark items are the records."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     queries = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    hits = bm25(queries, build_index(table(spark, sf_dir, "benchmark"), "item_id"), top_k=None)
+    hits = bm25(queries, build_index(table(spark, sf_dir, "benchmark"), "item_id").kept(), top_k=None)
     out = best_over_queries(hits.withColumn("conv_id", F.floor(F.col("query_id") / 1000)), "conv_id", 3)
     return out.select("conv_id", F.col("doc_id").alias("item_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

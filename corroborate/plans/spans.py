@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import kept
 from ..functions.text import shingles, words
 from ..operators import spans
 from .common import table
 
 
 def _both(spark, sf_dir):
-    return spans.document_words(table(spark, sf_dir, "documents")), spans.record_words(table(spark, sf_dir, "benchmark"))
+    """Words of documents and records, worked out once and kept."""
+    docs, records = spans.document_words(table(spark, sf_dir, "documents")), spans.record_words(table(spark, sf_dir, "benchmark"))
+    return kept(docs, "document-words"), kept(records, "record-words")
 
 
 def exact_window_hits(spark, sf_dir):
@@ -44,16 +47,38 @@ def shingle_leak(spark, sf_dir):
 
 
 def span_effects(spark, sf_dir):
+    """Near misses of the records of odd number, which stand for the protected domain, in documents whose level is their language's."""
     docs, records = _both(spark, sf_dir)
-    found = spans.exact_windows(docs, records).withColumn("classification", F.when(F.col("item_id") % 2 == 0, "VERBATIM").otherwise("NEAR_MISS"))
+    found = spans.resolve(spans.exact_windows(docs, records), spans.near_windows(docs, records), records)
+    found = found.withColumn("domain", F.when(F.col("item_id") % 2 == 1, "quran").otherwise("other"))
     levels = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "D").otherwise("A").alias("level"))
-    return spans.span_effects(found, levels)
+    return spans.span_effects(found, levels, "quran")
 
 
-QUERIES = {f.__name__: f for f in (exact_window_hits, near_window_hits, span_resolution, excerpt_hits, marked_spans, shingle_leak, span_effects)}
+def marked_classes(spark, sf_dir):
+    """Texts between quotation marks, and each benchmark item cut short or with other words, classified against the items."""
+    items = table(spark, sf_dir, "benchmark")
+    w = F.split("text", " ")
+    n = F.col("item_id")
+    cut = F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - n % 5, F.lit(1))), " ")
+    swapped = F.array_join(F.transform(w, lambda x, i: F.when((n % 3 == 0) & (i % 4 == 1), F.lit("zzz")).otherwise(x)), " ")
+    quoted = spans.marked_spans(table(spark, sf_dir, "documents")).select(F.xxhash64("doc_id", "span").alias("span_id"), "span")
+    made = items.select(n.alias("span_id"), F.when(n % 2 == 0, cut).otherwise(swapped).alias("span"))
+    records = spans.record_words(items)
+    return spans.classify_marked(made.unionByName(quoted), records)
+
+
+def detection_status(spark, sf_dir):
+    docs, records = _both(spark, sf_dir)
+    found = spans.exact_windows(docs, records)
+    required = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 50 + 1).alias("item_id"))
+    return spans.detection_status(table(spark, sf_dir, "documents"), found, records, required)
+
+
+QUERIES = {f.__name__: f for f in (exact_window_hits, near_window_hits, span_resolution, excerpt_hits, marked_spans, shingle_leak, span_effects, marked_classes, detection_status)}
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_EXACT = rf"""d AS (SELECT doc_id, {_W} AS dw FROM documents), r AS (SELECT item_id, {_W} AS rw FROM benchmark),
+_EXACT = rf"""d AS (SELECT doc_id, {_W} AS dw FROM documents), r AS (SELECT min(item_id) AS item_id, {_W} AS rw FROM benchmark GROUP BY {_W}),
         p AS (SELECT doc_id, dw, unnest(range(1, len(dw) + 1)) AS start FROM d),
         s AS (SELECT doc_id, start, dw, dw[start] AS w FROM p),
         e AS (SELECT doc_id, item_id, start, CAST(len(rw) AS BIGINT) AS n FROM s JOIN r ON s.w = rw[1] WHERE dw[start:start + len(rw) - 1] = rw)"""
@@ -75,9 +100,7 @@ SQL = {
             UNION ALL SELECT doc_id, 'curly', unnest(regexp_extract_all(text, '(?s)“(.*?)”', 1)) FROM documents
             UNION ALL SELECT doc_id, 'straight', unnest(regexp_extract_all(text, '(?s)"(.*?)"', 1)) FROM documents)
         SELECT doc_id, marker, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS chars FROM s GROUP BY ALL""",
-    "span_effects": f"""
-        WITH {_EXACT},
-        near AS (SELECT doc_id, arg_min(item_id, start * 1000000 + item_id) AS first FROM e WHERE item_id % 2 = 1 GROUP BY doc_id)
-        SELECT doc_id, first IS NOT NULL AND lang <> 'en' AS force_contradicts, CASE WHEN NOT (first IS NOT NULL AND lang <> 'en') THEN first END AS notice
-        FROM documents LEFT JOIN near USING (doc_id)""",
+    "detection_status": f"""WITH {_EXACT}, lost AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 50 + 1 NOT IN (SELECT item_id FROM r)), n AS (SELECT doc_id, count(*) AS findings FROM e GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN NOT EXISTS (SELECT 1 FROM r) THEN 'INDEX_EMPTY' WHEN doc_id IN (SELECT doc_id FROM lost) THEN 'UNRESOLVED' ELSE 'RAN' END AS status, coalesce(findings, 0) AS findings
+        FROM documents LEFT JOIN n USING (doc_id)""",
 }
