@@ -30,32 +30,51 @@ def test_language_held_out(spark):
     assert len(out) > 150 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
-def test_code_lengths_are_ppm():
-    """Costs of a tiny model against the definition."""
-    words = [b"ab", b"ab", b"ac"]
-    code, history, word = langid._grams(words, 2)
-    rows, counts = {}, defaultdict(lambda: defaultdict(int))
-    for k in range(3):
-        keys, n = np.unique(code[history >= k] & langid._mask(k), return_counts=True)
-        rows[k] = keys, np.zeros(len(keys), int), n.astype(float)
-    for w in words:
-        s = b" " + w + b" "
-        for i in range(1, len(s)):
-            for k in range(0, min(2, i) + 1):
-                counts[s[i - k : i]][s[i]] += 1
-
-    def bits(context, symbol):
-        seen = counts.get(context)
-        lower = (lambda: bits(context[1:], symbol)) if context else (lambda: 8.0)
+def test_code_lengths_are_ppm(monkeypatch):
+    """Costs of small models against the definition, over texts that span several pieces."""
+    monkeypatch.setattr(langid, "PIECE", 40)
+    rng = random.Random(4)
+    said = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(6)] for lang, letters in (("x", "ab é"), ("y", "abcd "))}
+    rows, counts = {k: ([], [], []) for k in range(3)}, {lang: defaultdict(lambda: defaultdict(int)) for lang in said}
+    for i, (lang, texts) in enumerate(said.items()):
+        data = [t.encode() for t in texts]
+        for code, history, _ in langid._pieces(data, 2):
+            for k in range(3):
+                keys, n = np.unique(code[history >= k] & langid._mask(k), return_counts=True)
+                for column, values in zip(rows[k], (keys.tolist(), [i] * len(keys), n.tolist())):
+                    column.extend(values)
+        for s in data:
+            for j in range(len(s)):
+                for k in range(min(2, j) + 1):
+                    counts[lang][s[j - k : j]][s[j]] += 1
+    merged = {}
+    for k, (gram, lang, n) in rows.items():
+        total = defaultdict(int)
+        for g, i, c in zip(gram, lang, n):
+            total[g, i] += c
+        merged[k] = np.array([g for g, _ in total], np.uint64), np.array([i for _, i in total]), np.array([*total.values()], float)
+
+    def bits(lang, context, symbol):
+        seen = counts[lang].get(context)
+        lower = (lambda: bits(lang, context[1:], symbol)) if context else (lambda: 8.0)
         if not seen:
             return lower()
         n, d = sum(seen.values()), len(seen)
         return -np.log2(seen[symbol] / (n + d)) if symbol in seen else -np.log2(d / (n + d)) + lower()
 
-    trees = langid.Trees(["x"], 2, rows)
-    for w in (b"ab", b"ac", b"zz", b"ba", b"abz"):
-        s = b" " + w + b" "
-        assert trees.word_bits([w])[0, 0] == pytest.approx(sum(bits(s[max(0, i - 2) : i], s[i]) for i in range(1, len(s))))
+    trees = langid.Trees(["x", "y"], 2, merged)
+    asked = ["ab é", "", "zz", "dcba " * 30, "é", "abab" * 25, "½q"]
+    got = trees.text_bits([t.encode() for t in asked])
+    for t, row in zip(asked, got):
+        s = t.encode()
+        for lang, have in zip("xy", row):
+            assert have == pytest.approx(sum(bits(lang, s[max(0, j - 2) : j], s[j]) for j in range(len(s))))
+
+
+def test_language_needs_a_letter(spark):
+    rows = [(1, "the cat", "en"), (4, "der Hund", "de"), (5, "½ ² Ⅷ 12", None), (6, "ñ", None)]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[5].lang_pred == "und" and out[5].score == 0 and out[6].lang_pred != "und"
 
 
 def test_sentencepiece(spark):
