@@ -226,11 +226,11 @@ def cue_pattern(phrases: list[str]) -> str:
     """A pattern for a row of cues: any of the phrases, whose Arabic words may carry any known prefix and lose their article."""
     carried = "(?:" + "|".join(PREFIXES) + ")?"
 
-    def bare(word: str) -> str:
-        return carried + word.removeprefix("ال") if "ء" <= word[:1] <= "ي" else word
+    def carry(phrase: str) -> str:
+        parts = re.split("([ء-ي]+)", unicodedata.normalize("NFC", phrase).translate(str.maketrans(*VARIANTS)).lower())
+        return "".join(carried + p.removeprefix("ال") if i % 2 else p for i, p in enumerate(parts))
 
-    folded = (unicodedata.normalize("NFC", p).translate(str.maketrans(*VARIANTS)).lower() for p in phrases)
-    return "|".join(" ".join(map(bare, p.split(" "))) for p in folded)
+    return "|".join(f"(?:{carry(p)})" for p in phrases)
 
 
 # --- offsets, references, questions -------------------------------------------------------------------------------------

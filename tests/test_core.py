@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corroborate import plans
 from corroborate.functions import text
-from corroborate.operators import evaluation, rules, spans
+from corroborate.operators import evaluation, gates, pages, rules, spans
 from corroborate.sources import corpus
 from corroborate.streaming import telemetry
 
@@ -195,3 +195,86 @@ def test_stream_deadline(spark, tmp_path):
     df = telemetry.deadline_join(_stream(spark, tmp_path / "claims", a), _stream(spark, tmp_path / "cards", b), 60)
     out = {r.claim_id: r.state for r in _drain(df, tmp_path, "deadline").collect()}
     assert out[1] == "SUPPORTED" and out[2] == "CHECK_INCOMPLETE"
+
+
+def test_conflicts_required_and_deadlines(spark):
+    received = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 1, "x"), (None, 2, "y")], "source string, ref int, text string")
+    assert {(r.source, r.ref) for r in gates.without_conflicts(received, ["source", "ref"]).collect()} == {("b", 1), (None, 2)}
+    need = spark.createDataFrame([(1, 10), (1, 99), (2, 10), (3, 10)], "case_id long, item_id long")
+    got = spark.createDataFrame([(3, 10)], "case_id long, item_id long")
+    known = spark.createDataFrame([(10,)], "item_id long")
+    out = {r.case_id: r.status for r in evaluation.required_present(need, got, known, "case_id", "item_id").collect()}
+    assert out == {1: "not_evaluated", 2: "fail", 3: "pass"}
+    t0 = datetime.datetime(2024, 1, 1)
+    claims = spark.createDataFrame([("c", t0), ("d", t0)], "claim_id string, claim_ts timestamp")
+    cards = spark.createDataFrame([("c", t0 + datetime.timedelta(seconds=s), f"s{s}") for s in (5, 9, 90)], "claim_id string, card_ts timestamp, state string")
+    assert {(r.claim_id, r.state) for r in telemetry.deadline_join(claims, cards, 60).collect()} == {("c", "s9"), ("d", "CHECK_INCOMPLETE")}
+
+
+def test_source_urls(spark):
+    entry, good = "https://h.example/a", "https://h.example/a/b"
+    urls = [good, "http://h.example/a/b", "https://h.example:8443/a/b", "https://h.example:443/a", "https://h.example/ab", "https://h.example/a/../b", "https://u@h.example/a", "https://h.example/a/%2e", "https://other.example/a", None]
+    df = spark.createDataFrame([(i, u, entry) for i, u in enumerate(urls)], "i int, u string, e string")
+    out = df.select("i", text.url_of_source(F.col("u"), F.col("e")).alias("a"), text.url_of_source(F.col("u"), F.col("e"), True).alias("b"))
+    assert [(r.a, r.b) for r in out.orderBy("i").collect()] == [(True, True), (False, False), (False, False), (True, True), (True, False)] + [(False, False)] * 5
+
+
+def test_first_paragraph_labels_and_stops(spark):
+    texts = ["الجواب التفصيلي:\n\nأول السطر\nثان\n\nفقرة", "كلام مفيد. المراجع: كتاب", "a" * 399 + ". tail of it", "x" * 150 + "؛ " + "y" * 300, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(text.first_paragraph(F.col("t"))).collect()]
+    assert got == ["أول السطر\nثان", "كلام مفيد.", "a" * 399 + ".", "x" * 150 + "؛", None]
+
+
+def test_keys_by_definition(spark):
+    rng = random.Random(9)
+    signs = "abé½ﬁﻻ١۲ًّٕٔـࢗ࢘࢟࣊ࣿأىةـ‏\u00ad \u00a0ٱ"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+
+    def drop(x):
+        return "".join(c for c in x if unicodedata.category(c) != "Cf")
+
+    def key(x):
+        marks = ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6ED), (0x898, 0x89F), (0x8CA, 0x8FF))
+        y = "".join(c for c in drop(unicodedata.normalize("NFKC", drop(x))) if c != "ـ" and not (unicodedata.category(c)[0] == "M" and any(a <= ord(c) <= b for a, b in marks)))
+        return " ".join(drop(unicodedata.normalize("NFKC", y)).translate(str.maketrans(*text.DIGITS)).translate(str.maketrans(*text.VARIANTS)).split())
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", text.comparison_key(F.col("t")).alias("k")).collect():
+        assert r.k == key(r.t), ascii(r.t)
+
+
+def test_long_word_distance_and_offsets(spark):
+    a = [f"w{i}" for i in range(2000)]
+    b = a[:700] + ["zz"] + a[701:1500] + a[1501:]
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert df.select(text.word_distance(F.col("a"), F.col("b"))).first()[0] == 2
+    t = spark.createDataFrame([("🙂 ab, قَلَم x",)], "t string").select("t", text.tokens_with_places(F.col("t")).alias("p")).first()
+    assert [t.t[x.start : x.end] for x in t.p] == [x.word for x in t.p] == ["ab", "قَلَم", "x"]
+    capped = spark.createDataFrame([("é" * 9,), ("a日",), (None,)], "t string").select(text.utf8_cap(F.col("t"), 3)).collect()
+    assert [r[0] for r in capped] == ["é", "a", None]
+
+
+def test_marked_spans_are_classified(spark):
+    records = [(1, "one two three four five six"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (3, "one two three four five six"), (4, "قَالَ الرجل كلاما طيبا")]
+    said = ["one two three four five six", "one two three zz five six", "gamma delta epsilon", "completely other words here", "beta gamma delta zz zeta eta", "قال الرجل كلاما طيبا"]
+    rec = spans.record_words(spark.createDataFrame(records, "item_id long, text string"))
+    marked = spark.createDataFrame(list(enumerate(said)), "span_id long, span string")
+    got = {r.span_id: (r.classification, r.item_id, r.distance) for r in spans.classify_marked(marked, rec).collect()}
+    assert got == {0: ("VERBATIM", 1, 0), 1: ("NEAR_MISS", 1, 1), 2: ("EXCERPT", 2, 0), 3: ("UNRELATED", None, None), 4: ("EXCERPT", 2, 1), 5: ("VERBATIM", 4, 0)}
+    docs = spark.createDataFrame([(1, "As it is said: one two, three. End"), (2, 'as it is said: "quoted" here')], "doc_id long, text string")
+    found = spans.attribution_spans(docs, ["it is said", "said"]).collect()
+    assert [(r.doc_id, r.span) for r in found] == [(1, "one two, three")]
+
+
+def test_fragments_join_the_claim_before(spark):
+    whole = "Is it so? Shame! Another thing"
+    rows = [(1, 0, 9, False), (1, 10, 16, True), (1, 17, 30, False), (2, 0, 4, True)]
+    df = spark.createDataFrame([(*r, whole) for r in rows], "request long, start int, end int, f boolean, t string")
+    out = rules.merge_fragments(df, "request", "start", "end", F.col("f"), F.col("t")).collect()
+    assert sorted((r.request, r.start, r.end, r.parts) for r in out) == [(1, 0, 16, 2), (1, 17, 30, 1), (2, 0, 4, 1)]
+
+
+def test_sql_functions(spark):
+    text.register(spark)
+    assert spark.sql("SELECT norm_ar('قَلَمٌ  أحمر') AS k").first().k == "قلم احمر"
