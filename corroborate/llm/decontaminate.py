@@ -87,11 +87,18 @@ def _summed(kind):
                 x = np.frombuffer(data, kind).astype(np.float64 if kind == np.float32 else kind)
                 total[part] = total[part] + x if part in total else x
         for part, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()])], ["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.astype(kind).tobytes()])], ["part", "data"])
 
     return run
 
 
+def _total(df: DataFrame, kind, fan: int = 64) -> list:
+    """The parts' sums over all tasks, added up in two levels, so that no task reads more than its share of the tasks' arrays."""
+    dealt = df.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(fan)))
+    some = dealt.repartition("part", "slot").select("part", "data").mapInArrow(_summed(kind), SUMS)
+    return some.repartition("part").mapInArrow(_summed(kind), SUMS).collect()  # one array for each part
+
+
 def _range(width: int, idf, parts: int):
     """G and Z over a task's rows; Z in parts of consecutive terms."""
 
@@ -140,13 +147,13 @@ def _needed(shared, fair: float, least: int):
 
 def weights(terms: DataFrame, items: DataFrame, common: float, fair: float, least: int = 4) -> np.ndarray:
     """Inverse frequency of each term among all passages, 0 for terms in more than `common` of them that no item needs."""
-    sums = terms.mapInArrow(_frequencies, SUMS).repartition(2, "part").mapInArrow(_summed(np.int64), SUMS).collect()
+    sums = _total(terms.mapInArrow(_frequencies, SUMS), np.int64)
     got = {r.part: np.frombuffer(r.data, np.int64) for r in sums}
     df, n = got.get(0, np.zeros(TERMS, np.int64)), int(got[1][0]) if 1 in got else 0
     idf = np.log((2 + n) / (1 + df)).astype(np.float32)
     often = df > common * n
     shared = terms.sparkSession.sparkContext.broadcast(often.copy())
-    need = items.select("text").mapInArrow(_needed(shared, fair, least), SUMS).repartition(1).mapInArrow(_summed(np.int64), SUMS).collect()
+    need = _total(items.select("text").mapInArrow(_needed(shared, fair, least), SUMS), np.int64)
     for r in need:
         often[np.frombuffer(r.data, np.int64) > 0] = False
     idf[often] = 0
@@ -157,8 +164,8 @@ def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = 32, over: int =
     """V (terms, rank) from the passages of all rows of terms(id, terms)."""
     width, parts = rank + over, 16
     shared = terms.sparkSession.sparkContext.broadcast(idf)
-    sums = terms.mapInArrow(_range(width, shared, parts), SUMS).repartition(parts + 1, "part").mapInArrow(_summed(np.float32), SUMS).collect()
-    got = {r.part: np.frombuffer(r.data, np.float64) for r in sums}
+    sums = _total(terms.mapInArrow(_range(width, shared, parts), SUMS), np.float32)
+    got = {r.part: np.frombuffer(r.data, np.float32).astype(float) for r in sums}
     g = got[0].reshape(width, width) if got else np.zeros((width, width))
     z = np.concatenate([got[i + 1] for i in range(parts)]).reshape(-1, width) if got else np.zeros((TERMS, width))
     scale, u = np.linalg.eigh((g + g.T) / 2)
@@ -312,6 +319,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for i in range(n):
         shared = spark.sparkContext.broadcast(Items(part(i), idf, v, fair))
         found = terms.mapInArrow(_scan(shared, cosine, near, fair, answer), PAIR)
+        if n > 1:  # one block of items at a time on the driver
+            found = written(found, "found")
+            shared.unpersist()
         out = found if out is None else out.union(found)
     best = out.groupBy("id", "item_id").agg(F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m"))
     return best.select(F.when(F.col("id") != 2**63 - 1, F.col("id")).alias(id_col), F.col("item_id").alias(item_col), "m.*")
