@@ -42,7 +42,7 @@ def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wfst.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, keep_ids=False, keep_text=False).drop("ids", "decoded")
+    return wfst.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

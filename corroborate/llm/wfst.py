@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The normaliser (leading space, spaces as U+2581), the pieces and the byte fallback are compiled once.  Composing them with a
-text gives a lattice whose arcs are pieces; the result is its shortest path in the tropical semiring (costs add along a
-path, the least wins).  The models at hand are of the BPE kind, whose result isn't the path of least piece cost.  So the
-lattice is also composed with an acceptor of piece pairs: two pieces may follow each other only if merging their letters
-gives these two pieces again.  Exactly the BPE result has this property, so the shortest path is that result.
+The normaliser (leading space, spaces as U+2581, extra spaces), the pieces and the byte fallback are compiled once.
+Composed with a text they give a lattice: places of the text as states, pieces as weighted arcs.  The result is the shortest
+path in the tropical semiring (weights add along a path, the least wins), found place by place.
+
+A unigram model's arc weighs its piece's negative score.  A BPE model's pieces carry no cost of their own; there the lattice
+is composed with an acceptor of neighbours, whose weight is infinite where a merge across the border would come before the
+merges that complete the two pieces, and nothing elsewhere.  It is compiled from merge ranks: for each piece the symbols at
+its left and right edge while it is being merged, and the least score that has to be reached before each edge changes.  The
+paths that are left are BPE results.
 
 The lattice is cut where no piece can cross (before a space, at letters that no longer piece holds), and each distinct cut
 is solved once while it stays in a bounded cache.
@@ -25,6 +29,10 @@ from .common import utf8_rows
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, BPE = 1, 2
+INF = float("inf")
+#: Fixed value: how much less an unknown letter scores than the worst piece.
+UNKNOWN_PENALTY = 10.0
 
 
 def read_model(path: str) -> dict:
@@ -35,34 +43,50 @@ def read_model(path: str) -> dict:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     n, t = model.normalizer_spec, model.trainer_spec
-    if t.model_type != 2 or not t.byte_fallback or n.remove_extra_whitespaces or not n.escape_whitespaces or t.treat_whitespace_as_suffix or len(n.precompiled_charsmap) > 4:
-        raise ValueError("only BPE models with byte fallback and the identity normaliser are compiled")
-    return {"prefix": n.add_dummy_prefix, "pieces": [(p.piece, p.score, p.type) for p in model.pieces]}
+    if t.model_type not in (UNIGRAM, BPE) or not n.escape_whitespaces or t.treat_whitespace_as_suffix or len(n.precompiled_charsmap) > 4:
+        raise ValueError("only unigram and BPE models with an identity character map are compiled")
+    if t.model_type == BPE and not t.byte_fallback:
+        raise ValueError("a BPE model needs byte fallback")
+    pieces = [(p.piece, p.score, p.type) for p in model.pieces]
+    return {"kind": t.model_type, "prefix": n.add_dummy_prefix, "tidy": n.remove_extra_whitespaces, "bytes": t.byte_fallback, "pieces": pieces}
 
 
 class Transducer:
-    def __init__(self, model: dict, cache: int = 800_000):
-        self.prefix, self.most = model["prefix"], cache
-        self.score = {p: s for p, s, kind in model["pieces"] if kind == NORMAL}
-        self.byte = {int(p[3:5], 16): i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(model["pieces"]) if kind == BYTE}
-        self.out = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() if kind in (NORMAL, USER) else b"" for p, _, kind in model["pieces"]]
-        self.starts = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
-        self.cut = self._cuts()
+    def __init__(self, model: dict, cache: int = 500_000):
+        self.prefix, self.tidy, self.most, self.kind = model["prefix"], model.get("tidy", False), cache, model.get("kind", BPE)
+        pieces = model["pieces"]
+        self.score = {p: s for p, s, kind in pieces if kind == NORMAL}
+        self.byte = {int(p[3:5], 16): i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(pieces) if kind == BYTE} if model.get("bytes", True) else {}
+        self.unknown = next((i.to_bytes(4, "little") for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), b"\0\0\0\0")
+        self.out = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() if kind in (NORMAL, USER) else " \u2047 ".encode() if kind == UNKNOWN else b"" for p, _, kind in pieces]
+        self.user = {p: i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(pieces) if kind == USER}
         self.cache: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        #: The pieces that their own letters merge into, with their ids.
-        self.whole = {p: i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(model["pieces"]) if kind == NORMAL and self.merged(p) == [p]}
+        self.pairs: dict[tuple[str, str], float] = {}
+        #: For each piece its symbols at an edge while it is merged, each with the score that ends it.
+        self.left: dict[str, list] = {}
+        self.right: dict[str, list] = {}
+        if self.kind == BPE:
+            #: The pieces that their own letters merge into, with their ids.
+            self.whole = {p: i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL and self._edges(p)}
+        else:
+            best, worst = max([0.0, *self.score.values()]), min(self.score.values(), default=0.0)  # scores below zero give a user's piece no malus
+            self.whole = {p: i.to_bytes(4, "little") for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
+            self.weight = {p: np.float32(-s) for p, s in self.score.items()} | {p: np.float32(0.1 - len(p.encode()) * best) for p in self.user}
+            self.letter = np.float32(UNKNOWN_PENALTY - worst)
+        self.starts = {p[:n] for p in self.whole for n in range(1, len(p) + 1)}
+        self.cut = self._cuts()
+        self.frozen = re.compile("|".join(re.escape(p) for p in sorted(self.user, key=len, reverse=True))) if self.user and self.kind == BPE else None
 
     def _cuts(self) -> re.Pattern:
         """Splits a text where no piece crosses: before spaces and at line ends."""
-        joined = [p for p in self.score if len(p) > 1]
+        joined = [p for p in self.whole if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in joined):
             return re.compile(r"(?s).+")
         line = "" if any("\n" in p for p in joined) else "\n"
         return re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+|{line or MARK}")
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging letters by score, then from the left, gives."""
+    def merged(self, text: str, events: list | None = None) -> list[str]:
+        """The pieces that merging letters by score, then from the left, gives; events: (score, left place, right end) of each merge."""
         part: list = list(text)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         heap: list = []
@@ -74,26 +98,60 @@ class Transducer:
         for i in range(len(part) - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, a, b = heapq.heappop(heap)
+            s, i, j, a, b = heapq.heappop(heap)
             if part[i] != a or part[j] != b or right[i] != j:
                 continue
             part[i], part[j] = a + b, None
             right[i] = right[j]
             if right[j] < len(part):
                 left[right[j]] = i
+            if events is not None:
+                events.append((-s, i, right[i]))
             offer(left[i], i)
             offer(i, right[i])
         return [p for p in part if p is not None]
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > self.most:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return ok
+    def _edges(self, piece: str) -> bool:
+        """Compiles a piece's edges; false if its letters don't merge into it."""
+        events: list = []
+        if self.merged(piece, events) != [piece]:
+            return False
+        n = len(piece)
+        for side, symbol in (("left", piece[0]), ("right", piece[-1])):
+            out, least = [], INF
+            for score, i, j in events:
+                least = min(least, score)
+                if (i == 0) if side == "left" else (j == n):
+                    out.append((symbol, least))
+                    symbol, least = piece[i:j], INF
+            getattr(self, side)[piece] = [*out, (symbol, -INF)]
+        return True
+
+    def border(self, a: str, b: str) -> float:
+        """The acceptor's weight of piece b after piece a: infinite if a merge across their border comes before both are whole."""
+        if a not in self.whole:
+            return 0.0
+        one, two, score, i, j = self.right[a], self.left[b], self.score, 0, 0
+        while True:
+            (x, s), (y, t) = one[i], two[j]
+            cross = score.get(x + y)
+            if cross is not None and cross > s and cross >= t:  # of equal scores the left one merges first
+                weight = INF
+                break
+            if s == t == -INF:
+                weight = 0.0
+                break
+            if s >= t:
+                i += 1
+            else:
+                j += 1
+        if len(self.pairs) > self.most:
+            self.pairs.clear()
+        self.pairs[a, b] = weight
+        return weight
 
     def _arcs(self, text: str, i: int) -> list[str]:
-        """Pieces that start at a place, longest first; a letter without a piece stands alone."""
+        """Pieces that start at a place; a letter without a piece stands alone."""
         starts, whole, out = self.starts, self.whole, []
         for j in range(i + 1, len(text) + 1):
             piece = text[i:j]
@@ -102,31 +160,96 @@ class Transducer:
             if piece in whole:
                 out.append(piece)
         if text[i] not in whole:
-            out.insert(0, text[i])
-        out.reverse()
+            out.append(text[i])
         return out
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces on the shortest path of the composed lattice.
-
-        Arcs between pieces that may not follow each other cost infinity, and one path alone costs less.  So the search
-        tries long arcs first, gives up a state (place, last piece) once nothing finite leaves it, and may stop at the end.
-        """
-        n, whole, dead, follow = len(text), self.whole, set(), self._may_follow
-        path: list[str] = []
-        ways = [iter(self._arcs(text, 0))]
+        """Pieces on the shortest path, place by place: for each state (place, last piece; one state a place for unigram models)
+        its least weight and where it comes from."""
+        n, whole = len(text), self.whole
+        if self.kind == UNIGRAM:
+            cost, back = [np.float32(0)] + [np.float32(INF)] * n, [""] * (n + 1)  # as precise as the scores
+            for i in range(n):
+                here = cost[i]
+                for piece in self._arcs(text, i):
+                    j, total = i + len(piece), here + self.weight.get(piece, self.letter)
+                    if total < cost[j]:
+                        cost[j], back[j] = total, piece
+            path = []
+            while n:
+                path.append(back[n])
+                n -= len(back[n])
+            return path[::-1]
+        # each piece weighs one, so that of several finite paths the one with fewest pieces wins
+        starts, known, border = self.starts, self.pairs.get, self.border
+        states: list = [None] * (n + 1)
+        states[0] = [("", 0, None)]
+        for i in range(n):
+            here = states[i]
+            if here is None:
+                continue
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                if piece not in whole:
+                    if j == i + 1:
+                        best = min(here, key=lambda x: x[1]) if len(here) > 1 else here[0]
+                        states[j] = [*(states[j] or ()), (piece, best[1] + 1, best)]
+                    if piece not in starts:
+                        break
+                    continue
+                best = None
+                for state in here:
+                    last = state[0]
+                    weight = known((last, piece))
+                    if weight is None:
+                        weight = border(last, piece)
+                    if weight == 0.0 and (best is None or state[1] < best[1]):
+                        best = state
+                if best is not None:
+                    new = (piece, best[1] + 1, best)
+                    if states[j] is None:
+                        states[j] = [new]
+                    else:
+                        states[j].append(new)
+        ends = states[n]
+        state, path = (min(ends, key=lambda x: x[1]) if len(ends) > 1 else ends[0]), []
+        while state[2] is not None:
+            path.append(state[0])
+            state = state[2]
+        return path[::-1]
+
+    def finite(self, text: str) -> list[str] | None:
+        """The one path of finite weight, found depth first with long pieces first; states from which every path is infinite are
+        left at once and not entered again.  None if there is none."""
+        n, whole, starts, known, border = len(text), self.whole, self.starts, self.pairs.get, self.border
+        dead, path, ways = set(), [], []
         i, last = 0, ""
         while i < n:
-            free = last not in whole
-            for piece in ways[-1]:
-                if (free or piece not in whole or follow(last, piece)) and (i + len(piece), piece) not in dead:
+            if len(ways) == len(path):  # arcs of a state that is entered for the first time
+                arcs = []
+                for j in range(i + 1, n + 1):
+                    piece = text[i:j]
+                    if piece in whole:
+                        arcs.append(piece)
+                    elif piece not in starts:
+                        break
+                if text[i] not in whole:
+                    arcs.insert(0, text[i])
+                ways.append(arcs)
+            arcs = ways[-1]
+            while arcs:
+                piece = arcs.pop()
+                weight = known((last, piece)) if piece in whole else 0.0
+                if weight is None:
+                    weight = border(last, piece)
+                if weight == 0.0 and (i + len(piece), piece) not in dead:
+                    path.append(piece)
                     i += len(piece)
                     last = piece
-                    path.append(piece)
-                    if i < n:
-                        ways.append(iter(self._arcs(text, i)))
                     break
             else:
+                if not path:
+                    return None
                 dead.add((i, last))
                 ways.pop()
                 i -= len(path.pop())
@@ -135,17 +258,43 @@ class Transducer:
 
     def _solve(self, cut: str) -> bytes:
         whole = self.whole
-        if cut in whole:
-            return whole[cut]
-        # runs of spaces are pieces of one score, which merging order tells apart and pairs don't
-        pieces = self.merged(cut) if cut.startswith(MARK * 2) else self.shortest(cut)
-        return b"".join([whole[p] if p in whole else b"".join([self.byte[x] for x in p.encode()]) for p in pieces])
+        if self.kind == BPE:
+            if cut in whole:
+                return whole[cut]
+        # letters of one score in a row may leave several finite paths: these are weighed place by place
+        single = self.kind == BPE and not cut.startswith(MARK * 2)
+        pieces = (self.finite(cut) if single else None) or self.shortest(cut)
+        if self.byte:
+            return b"".join([whole[p] if p in whole else b"".join([self.byte[x] for x in p.encode()]) for p in pieces])
+        return b"".join([whole.get(p, self.unknown) for p in pieces])
+
+    def normalised(self, text: str) -> str:
+        if self.tidy:
+            text = re.sub(" +", " ", text.strip(" "))
+        return ((MARK if self.prefix and text else "") + text).replace(" ", MARK)
+
+    def _fused(self, ids: bytes) -> bytes:
+        """Unknown letters in a row are one."""
+        n = np.frombuffer(ids, "<i4")
+        unknown = n == int.from_bytes(self.unknown, "little")
+        return n[~(unknown & np.concatenate([[False], unknown[:-1]]))].tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
+        text = self.normalised(text)
+        if self.frozen:  # a user's own pieces stand as they are, the longest first
+            out, at = [], 0
+            for m in self.frozen.finditer(text):
+                out += [self._plain(text[at : m.start()]), self.user[m[0]]]
+                at = m.end()
+            return b"".join([*out, self._plain(text[at:])])
+        ids = self._plain(text)
+        return ids if self.byte else self._fused(ids)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        cuts = self.cut.findall(((MARK if self.prefix else "") + text).replace(" ", MARK))
+        cuts = self.cut.findall(text)
         cache = self.cache
         new = set(cuts).difference(cache)
         if len(cache) + len(new) > self.most:
@@ -180,7 +329,7 @@ def _lists(ids) -> pa.Array:
 def _run(shared, keep_ids: bool, keep_text: bool):
     def run(batches):
         t: Transducer = shared.value  # with its cache, a worker's tasks share it
-        fallback = [int.from_bytes(x, "little") for x in t.byte.values()]
+        fallback = [int.from_bytes(x, "little") for x in t.byte.values()] or [-1]
         low, high = min(fallback), max(fallback)
         for b in batches:
             rows = []
@@ -202,8 +351,8 @@ def _run(shared, keep_ids: bool, keep_text: bool):
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Per row: id, ids, n_ids, n_bytes_ids (from byte fallback), ids_sha256 (of the ids as little-endian 32-bit numbers), decoded, same (decoded equals the text).
 
-    A null text gives nulls, an empty one no ids.  `same` is false only for texts that hold U+2581 itself, which decodes to a
-    space.  Repeated rows each return a row; other columns are ignored.
+    A null text gives nulls, an empty one no ids.  With byte fallback and no removal of extra spaces `same` is false only for
+    texts that hold U+2581 itself, which decodes to a space.  Repeated rows each return a row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Transducer(read_model(model_path)))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
