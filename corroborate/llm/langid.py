@@ -198,8 +198,10 @@ def predict(docs: DataFrame, trees: Trees, text_col: str = "text", names: tuple[
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     rows = docs.drop(*names)
-    schema = T.StructType([*rows.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(_score(shared, text_col, names), schema)
+    # numbered columns on the way, since names may hold dots
+    numbered = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
+    schema = T.StructType([*numbered.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return numbered.mapInArrow(_score(shared, f"_{rows.columns.index(text_col)}", names), schema).toDF(*rows.columns, *names)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from corroborate.llm.simhash import fingerprint, links, near_duplicates
 from corroborate.llm.substring_dedup import remove_repeated_windows
 from corroborate.llm import suffix_dedup
 from corroborate.llm.suffix_dedup import remove_repeated_bytes
-from corroborate.llm.suffix_sort import repeated_windows
+from corroborate.llm.suffix_sort import descending_suffixes, repeated_windows
 
 ODD = "doc_id long, text string, id long, key string, fp string, digest string, chunk string, gone string, rest string, lang string, source string"
 
@@ -201,3 +202,46 @@ def test_empty_tables(spark):
     for f in (remove_repeated_windows, remove_repeated_lines, remove_repeated_bytes, near_duplicates):
         assert f(df).count() == 0
     assert simhash.links(df.select(F.col("doc_id").alias("fp"))).count() == 0
+
+
+@pytest.mark.parametrize("budget", [0, 100, 1 << 30])  # everything on disk with full recursion, partly, in memory
+def test_suffix_order_and_prefixes(tmp_path, budget):
+    rng = random.Random(budget)
+    for _ in range(60):
+        n, symbols, cap = rng.randint(1, 200), rng.choice([1, 2, 5, 50, 2000]), rng.choice([3, 10, 400])
+        data = [rng.randint(1, symbols) for _ in range(n)] * rng.choice([1, 1, 3])
+        text = np.array([*data, 0])
+        got, prefixes = [], []
+        for pos, lcp, _ in descending_suffixes(text, int(text.max()), cap, str(tmp_path), budget):
+            got += pos.tolist()
+            prefixes += lcp.tolist()
+        t = text.tolist()
+        assert sorted(got) == list(range(len(data)))
+        for a, b, have in zip(got, got[1:], prefixes[1:]):
+            k = 0
+            while k < cap and t[a + k] == t[b + k]:
+                k += 1
+            assert have == k and (k == cap or t[a + k] > t[b + k])
+
+
+def test_shard_far_over_memory():
+    rng = random.Random(8)
+    passage = bytes(rng.choice(b"abcde ") for _ in range(3000))
+    parts = [passage[i : i + 300] + bytes(rng.choice(b"abcde ") for _ in range(100)) for i in range(0, 2600, 40)]
+    width = 50
+    seen = Counter(p[i : i + width] for p in parts for i in range(len(p) - width + 1))
+    want = [[seen[p[i : i + width]] > 1 for i in range(len(p) - width + 1)] for p in parts]
+    assert [list(map(bool, h)) for h in repeated_windows(parts, width, 2000)] == want  # 26,000 bytes of text
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    shared = " ".join(rng.choice(words) for _ in range(200))
+    long_ = " ".join(rng.choice(words) for _ in range(230_000))
+    docs = [(1, shared + " " + long_), (2, "x " + shared)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    by_words = {r.doc_id: r for r in remove_repeated_windows(df).collect()}
+    assert by_words[1].n_removed == 0 and by_words[2].n_removed == 200
+    by_bytes = {r.doc_id: r for r in remove_repeated_bytes(df).collect()}
+    assert by_bytes[2].n_removed >= len(shared) and by_bytes[1].n_removed >= len(shared) and by_bytes[1].n_removed < len(shared) + 50

@@ -269,3 +269,48 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.8 * counts[0]
     assert docs.filter(~F.col("same")).count() == 0
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_model_against_the_library(tmp_path, fallback):
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(5)
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, fallback
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = m.normalizer_spec.escape_whitespaces = True
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(300)} - {"dcb"}
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{i:02X}>", 0, 6) for i in range(256 * fallback)], (wfst.MARK, -3.3, 1), ("dcb", 0, 4)]
+    rows += [(rng.choice([wfst.MARK, "", ""]) + w, -rng.uniform(1, 12), 1) for w in sorted(words)]
+    for piece, score, kind in rows:
+        added = m.pieces.add()
+        added.piece, added.score, added.type = piece, score, kind
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), wfst.Transducer(wfst.read_model(str(path)))
+    cost = {i: 0.1 if kind == 4 else -float(s) for i, (_, s, kind) in enumerate(rows)}
+    for _ in range(800):
+        text = "".join(rng.choice("abcd  éz") for _ in range(rng.randint(0, 30)))
+        got, want = np.frombuffer(own.encode(text), "<i4").tolist(), library.encode(text)
+        # paths of one weight may be told apart by the last place of a sum
+        assert got == want or sum(cost[i] for i in got) == pytest.approx(sum(cost[i] for i in want), abs=1e-4)
+
+
+def test_runs_of_spaces_by_weight():
+    t = wfst.Transducer(wfst.read_model(queries.PIECE_MODEL))
+    assert all(t.shortest(wfst.MARK * n) == t.merged(wfst.MARK * n) for n in range(2, 40))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, lang_pred string"
+    line = "this line is long enough to be a repeated one in many documents"
+    rows = [(i, f"{line}\nnumber {i} of the texts", "en", "s", 60, "x", "mine") for i in range(6)] + [(7, None, "en", None, None, None, None), (8, "", "de", "s", 0, "y", "z"), (3, f"{line}\nnumber 3 of the texts", "en", "s", 60, "x", "mine"), (None, "der Hund und die Katze", "de", "s", 1, "q", "q")]
+    docs = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns and {r["lang_pred"] for r in kept.collect()} == {"mine", "q"} and kept.count() == 8
+    lines = corpus_pipeline.line_dedup(spark, kept, SF)
+    assert lines.columns == docs.columns and sum(line in r.text for r in lines.collect()) == 1
+    none = corpus_pipeline.line_dedup(spark, corpus_pipeline.language_id(spark, docs.limit(0), SF), SF)
+    assert none.count() == 0
