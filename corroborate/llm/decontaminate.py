@@ -145,19 +145,21 @@ def _needed(shared, fair: float, least: int):
     return run
 
 
-def weights(terms: DataFrame, items: DataFrame, common: float, fair: float, least: int = 4) -> np.ndarray:
-    """Inverse frequency of each term among all passages, 0 for terms in more than `common` of them that no item needs."""
+def weights(terms: DataFrame, items: DataFrame, common: float, fair: float, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse frequency of each term among all passages, 0 for terms in more than `common` of them that no item needs; and
+    which terms are in more than `common`."""
     sums = _total(terms.mapInArrow(_frequencies, SUMS), np.int64)
     got = {r.part: np.frombuffer(r.data, np.int64) for r in sums}
     df, n = got.get(0, np.zeros(TERMS, np.int64)), int(got[1][0]) if 1 in got else 0
     idf = np.log((2 + n) / (1 + df)).astype(np.float32)
     often = df > common * n
+    many = often.copy()
     shared = terms.sparkSession.sparkContext.broadcast(often.copy())
     need = _total(items.select("text").mapInArrow(_needed(shared, fair, least), SUMS), np.int64)
     for r in need:
         often[np.frombuffer(r.data, np.int64) > 0] = False
     idf[often] = 0
-    return idf
+    return idf, many
 
 
 def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = 32, over: int = 8) -> np.ndarray:
@@ -197,7 +199,7 @@ def subsequence(masks: dict[int, int], n: int, region: list[int]) -> int:
 class Items:
     """Benchmark items in the latent space, with the number of steps that a window needs to hold each; known by their place in rows."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], idf: np.ndarray, v: np.ndarray, fair: float):
+    def __init__(self, rows: list[tuple[int | None, str]], idf: np.ndarray, v: np.ndarray, fair: float, many: np.ndarray | None = None):
         self.v = v * idf[:, None]
         self.weighs = idf > 0
         self.size: dict[int, int] = {}
@@ -213,8 +215,11 @@ class Items:
                 for k, w in enumerate(terms.tolist()):
                     masks[w] = masks.get(w, 0) | 1 << k
                 weighing = terms[self.weighs[terms]]
-                least = max(1, len(weighing) - spare(len(terms), fair))
-                by.setdefault(-(-(max(1, len(weighing)) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0), weighing, least))
+                # common terms that weigh are looked for by the items that need them, not by all that hold them
+                rare = weighing if many is None else weighing[~many[weighing]]
+                held = weighing if len(rare) <= max(3, spare(len(terms), fair)) else rare
+                least = max(1, len(held) - spare(len(terms), fair))
+                by.setdefault(-(-(max(1, len(weighing)) + STEP - 1) // STEP), []).append((i, self.v[terms].sum(0), held, least))
         parts = [x for part in by.values() for x in part]
         self.names = [x[0] for x in parts]
         self.steps = np.repeat(np.array([*by], np.int64), [len(part) for part in by.values()])
@@ -313,11 +318,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     part = lambda i: [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]  # noqa: E731  about block_bytes
-    idf = weights(terms, items, common, fair)
+    idf, many = weights(terms, items, common, fair)
     v = latent_space(terms, idf)
     out = None
     for i in range(n):
-        shared = spark.sparkContext.broadcast(Items(part(i), idf, v, fair))
+        shared = spark.sparkContext.broadcast(Items(part(i), idf, v, fair, many))
         found = terms.mapInArrow(_scan(shared, cosine, near, fair, answer), PAIR)
         if n > 1:  # one block of items at a time on the driver
             found = written(found, "found")
