@@ -37,7 +37,7 @@ def composed(c: Column, form: str) -> Column:
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
 
-    plain = c.rlike(COMPOSED)
+    plain = _ascii(c) | c.rlike(COMPOSED)
     return F.when(plain, c).otherwise(compose(F.when(~plain, c)))
 
 
@@ -49,17 +49,32 @@ def _tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+def _ascii(c: Column) -> Column:
+    """Texts of one byte a character hold nothing that the keys drop or fold, and need no pass over their letters."""
+    return F.octet_length(c) == F.length(c)
+
+
+def _folded(c: Column, compose: bool) -> Column:
+    """The retrieval key before its white space is collapsed."""
+    whole = nfc if compose else lambda x: x
+    bare = F.regexp_replace(whole(c), f"[{TATWEEL}]|[{RETRIEVAL_MARKS}&&[\\p{{M}}]]", "")
+    return F.when(_ascii(c), c).otherwise(F.translate(whole(bare), *VARIANTS))
+
+
 def norm_ar(c: Column, compose: bool = True) -> Column:
     """Retrieval key: marks and tatweel dropped, letter variants folded, white space collapsed; null stays null.
 
     compose=False leaves out Unicode composition (the only part that needs Python) for texts known to be composed.
     """
-    whole = nfc if compose else lambda x: x
-    bare = F.regexp_replace(whole(c), f"[{TATWEEL}]|[{RETRIEVAL_MARKS}&&[\\p{{M}}]]", "")
-    return _tidy(F.translate(whole(bare), *VARIANTS))
+    return _tidy(_folded(c, compose))
+
 
+def retrieval_words(c: Column, compose: bool = True) -> Column:
+    """Words of the retrieval key; white space between them needs no collapsing."""
+    return words(_folded(c, compose))
 
-_UNSEEN, _BARE = r"\p{Cf}", f"[\\p{{Cf}}{TATWEEL}]|[{COMPARISON_MARKS}&&[\\p{{M}}]]"
+
+_BARE = f"[\\p{{Cf}}{TATWEEL}]|[{COMPARISON_MARKS}&&[\\p{{M}}]]"
 
 
 def comparison_key(c: Column, fold: bool = True, compose: bool = True) -> Column:
@@ -67,8 +82,14 @@ def comparison_key(c: Column, fold: bool = True, compose: bool = True) -> Column
 
     compose=False leaves out compatibility forms; else texts that may hold some go to Python, in one pass.
     """
+    return _tidy(_comparable(c, fold, compose))
+
+
+def _comparable(c: Column, fold: bool, compose: bool) -> Column:
+    """The comparison key before its white space is collapsed."""
     letters = VARIANTS if fold else ("", "")
-    native = _tidy(F.translate(F.translate(F.regexp_replace(F.regexp_replace(c, _UNSEEN, ""), _BARE, ""), *DIGITS), *letters))
+    folded = F.translate(F.regexp_replace(c, _BARE, ""), DIGITS[0] + letters[0], DIGITS[1] + letters[1])
+    native = F.when(_ascii(c), c).otherwise(folded)
     if not compose:
         return native
     table = str.maketrans(DIGITS[0] + letters[0], DIGITS[1] + letters[1])
@@ -85,13 +106,13 @@ def comparison_key(c: Column, fold: bool = True, compose: bool = True) -> Column
     def key(s: pd.Series) -> pd.Series:
         return s.map(whole, na_action="ignore")
 
-    plain = c.rlike(COMPOSED)
+    plain = _ascii(c) | c.rlike(COMPOSED)
     return F.when(plain, native).otherwise(key(F.when(~plain, c)))
 
 
 def comparison_words(c: Column, fold: bool = True, compose: bool = True) -> Column:
-    """Words of the comparison key."""
-    return words(comparison_key(c, fold, compose))
+    """Words of the comparison key; white space between them needs no collapsing."""
+    return words(_comparable(c, fold, compose))
 
 
 def words(c: Column) -> Column:
@@ -101,7 +122,7 @@ def words(c: Column) -> Column:
 
 def alias_groups(c: Column, compose: bool = True) -> Column:
     """One array for each word: its aliases."""
-    return F.transform(words(norm_ar(c, compose)), aliases)
+    return F.transform(retrieval_words(c, compose), aliases)
 
 
 def aliases(word: Column) -> Column:
@@ -165,11 +186,9 @@ def word_budget(n: Column) -> Column:
 _ALPHABET = 1024
 
 
-def word_distance(left: Column, right: Column, cap: int | None = None) -> Column:
-    """Edits between two arrays of words of any length (38,000 distinct words in `left` at most); -1 if cap is exceeded.
-
-    Each word becomes one character: its place in `left`, or one other sign for words not there.
-    """
+def word_signs(left: Column, a: Column) -> Column:
+    """The words of `a` as one character each: the word's place in `left` (38,000 distinct words at most), or one other sign for
+    words not there."""
     alphabet = F.split(F.lit("".join(chr(0x4E00 + i) for i in range(_ALPHABET))), "")  # folded to one constant
 
     def letter(w):
@@ -178,10 +197,12 @@ def word_distance(left: Column, right: Column, cap: int | None = None) -> Column
         beyond = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
         return F.when(place < _ALPHABET, F.element_at(alphabet, (place + 1).cast("int"))).otherwise(beyond)
 
-    def text(a):
-        return F.array_join(F.transform(a, letter), "")
+    return F.array_join(F.transform(a, letter), "")
 
-    return F.levenshtein(text(left), text(right), cap) if cap is not None else F.levenshtein(text(left), text(right))
+
+def word_distance(left: Column, right: Column, cap: int | None = None) -> Column:
+    """Edits between two arrays of words of any length; -1 if cap is exceeded."""
+    return F.levenshtein(word_signs(left, left), word_signs(left, right), *(() if cap is None else (cap,)))
 
 
 def url_is_clean(c: Column, hosts: list[str] | None = None) -> Column:

@@ -8,34 +8,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import kept
-from ..functions.text import alias_groups, aliases, norm_ar, words
+from ..functions.text import alias_groups, aliases, retrieval_words
+
+
+#: Terms of all queries together, about 100 bytes each, that are sent to every task.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf) and lengths(doc_id, n_words, domain); everything else follows from them."""
+    """rows(doc_id, domain, n_words, term, tf): a row for each term of a document, and one with a null term for the document."""
+
+    rows: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.filter("term IS NOT NULL")
 
-    postings: DataFrame
-    lengths: DataFrame
+    @property
+    def lengths(self) -> DataFrame:
+        return self.rows.filter("term IS NULL").select("doc_id", "n_words", "domain")
 
     def append(self, other: Index) -> Index:
         """The index of both collections; frequencies and mean length are worked out at query time, so it equals a rebuild."""
-        return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
+        return Index(self.rows.unionByName(other.rows))
 
     def kept(self) -> Index:
-        """Both tables written to the shared folder; a document's postings stay in one file, so a query's hits are summed before
-        they are shuffled."""
-        return Index(kept(self.postings, "postings"), kept(self.lengths, "lengths"))
+        """Written to the shared folder; a document's postings lie in one file, so a query's hits are summed before they are shuffled."""
+        return Index(kept(self.rows, "index"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str | None = None, compose: bool = False) -> Index:
-    """Words are counted for each document first; aliases are worked out for its distinct words only."""
+    """Documents are dealt by id before their texts are read, and that one shuffle serves all counts.  Words are counted for each
+    document first; aliases are worked out for its distinct words only."""
     domain = (docs[domain_col] if domain_col else F.lit(None).cast("string")).alias("domain")
-    held = docs.select(docs[id_col].alias("doc_id"), domain, words(norm_ar(F.coalesce(docs[text_col], F.lit("")), compose)).alias("words"))
-    # dealt by document once, which serves both counts
-    counted = held.repartition("doc_id").select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    terms = counted.select("doc_id", "n", F.explode(aliases(F.col("word"))).alias("term"))
-    return Index(terms.groupBy("term", "doc_id").agg(F.sum("n").alias("tf")), held.select("doc_id", F.size("words").alias("n_words"), "domain"))
+    dealt = docs.select(docs[id_col].alias("doc_id"), domain, docs[text_col].alias("text")).repartition("doc_id")
+    held = dealt.select("doc_id", "domain", retrieval_words(F.coalesce("text", F.lit("")), compose).alias("words"))
+    each = ["doc_id", "domain", "n_words"]
+    marked = F.array_append("words", F.lit(None).cast("string"))  # the document's own row
+    counted = held.select("doc_id", "domain", F.size("words").alias("n_words"), F.explode(marked).alias("word")).groupBy(*each, "word").agg(F.count("word").alias("n"))
+    terms = counted.select(*each, "n", F.explode(aliases(F.col("word"))).alias("term"))
+    return Index(terms.groupBy(*each, "term").agg(F.sum("n").alias("tf")))
 
 
 def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "text", top_k: int | None = 5, domain: str | None = None, floor: float = 0.0, min_terms: int = 1, best: str = "tf", compose: bool = False) -> DataFrame:
@@ -51,10 +64,12 @@ def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col
     asked = groups.select("query_id", F.greatest(F.size("groups"), F.lit(min_terms)).alias("asked"), F.explode("groups").alias("group"))
     terms = asked.select("query_id", "asked", F.size("group").alias("aliases"), F.array_join("group", " ").alias("group"), F.explode("group").alias("term"))
     # only terms that are asked for are counted and shuffled further
-    postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else lambda df: df  # beyond that, joins by shuffle
+    postings = index.postings.join(sent(terms.select("term").distinct()), "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = index.lengths if domain is None else index.lengths.filter(F.col("domain") == domain)
-    hits = terms.join(frequency, "term").join(postings, "term").join(lengths.select("doc_id", "n_words"), "doc_id")
+    asked_of = postings if domain is None else postings.filter(F.col("domain") == domain)
+    hits = asked_of.select("term", "doc_id", "n_words", "tf").join(sent(terms.join(frequency, "term")), "term")
     score = F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("n_words") / F.lit(mean)))
     hits = hits.withColumn("idf", idf).withColumn("score", score)
     top = F.max(F.struct("tf", "idf", "score") if best == "tf" else F.struct("score"))

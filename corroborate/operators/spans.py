@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import comparison_words, word_budget, word_distance
+from ..functions.text import comparison_words, word_budget, word_distance, word_signs
 
 
 def record_words(records: DataFrame, id_col: str = "item_id", text_col: str = "text", compose: bool = True) -> DataFrame:
@@ -69,10 +69,12 @@ def near_windows(docs: DataFrame, records: DataFrame, least: int = 3) -> DataFra
     sizes = sizes.join(lengths, "n").filter(F.abs(F.col("n") - F.col("m")) <= word_budget(F.greatest("n", "m"))).groupBy("m").agg(F.collect_set("n").alias("lengths"), F.max("n").alias("longest"))
     # only the words around a start travel on
     cut = starts.join(sizes, "m").join(docs, "doc_id").select("doc_id", "item_id", "start", "lengths", F.slice("dw", F.col("start"), F.col("longest")).alias("dw"))
-    tried = cut.join(long_.select("item_id", "rw"), "item_id").select("doc_id", "item_id", "start", "rw", "dw", F.explode("lengths").alias("n")).filter(F.col("n") <= F.size("dw"))
-    near = tried.withColumn("distance", word_distance(F.col("rw"), F.slice("dw", F.lit(1), F.col("n")), 3))
-    near = near.filter((F.col("distance") > 0) & (F.col("distance") <= word_budget(F.greatest("n", F.size("rw")))))
-    return near.select("doc_id", "item_id", "start", "n", "distance", F.abs(F.col("n") - F.size("rw")).alias("length_difference"))
+    # words become signs once for each start, whatever the number of lengths
+    signs = cut.join(long_.select("item_id", "rw"), "item_id").select("doc_id", "item_id", "start", "lengths", F.size("rw").alias("m"), F.size("dw").alias("most"), word_signs(F.col("rw"), F.col("rw")).alias("own"), word_signs(F.col("rw"), F.col("dw")).alias("seen"))
+    tried = signs.withColumn("n", F.explode("lengths")).filter(F.col("n") <= F.col("most"))
+    near = tried.withColumn("distance", F.levenshtein(F.col("own"), F.substring("seen", F.lit(1), F.col("n")), 3))
+    near = near.filter((F.col("distance") > 0) & (F.col("distance") <= word_budget(F.greatest("n", "m"))))
+    return near.select("doc_id", "item_id", "start", "n", "distance", F.abs(F.col("n") - F.col("m")).alias("length_difference"))
 
 
 def best_windows(near: DataFrame, exact: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from .common import table
 
 
 def _both(spark, sf_dir):
-    """Words of documents and records, worked out once and kept."""
-    docs, records = spans.document_words(table(spark, sf_dir, "documents")), spans.record_words(table(spark, sf_dir, "benchmark"))
-    return kept(docs, "document-words"), kept(records, "record-words")
+    """Words of documents and records, worked out once and kept; documents are dealt out first, however few blocks their file has."""
+    docs, records = table(spark, sf_dir, "documents").repartition("doc_id"), table(spark, sf_dir, "benchmark")
+    return kept(spans.document_words(docs), "document-words"), kept(spans.record_words(records), "record-words")
 
 
 def exact_window_hits(spark, sf_dir):
@@ -40,10 +40,17 @@ def marked_spans(spark, sf_dir):
 
 
 def shingle_leak(spark, sf_dir):
-    """Documents whose 3-word runs are found in records, with the number of distinct runs and of records."""
-    run = lambda name, key: table(spark, sf_dir, name).select(key, words(F.col("text")).alias("w")).select(key, F.explode(F.array_distinct(shingles(F.col("w")))).alias("run"))
-    hits = run("documents", "doc_id").join(run("benchmark", "item_id"), "run")
-    return hits.groupBy("doc_id").agg(F.countDistinct("run").alias("runs"), F.countDistinct("item_id").alias("records"))
+    """Documents whose 3-word runs are found in records, with the number of distinct runs and of records.
+
+    Records are grouped by run, so that a run gives a document one row, however many records hold it.
+    """
+    run = lambda rows, key: rows.select(key, words(F.col("text")).alias("w")).select(key, F.explode(F.array_distinct(shingles(F.col("w")))).alias("run"))
+    records = run(table(spark, sf_dir, "benchmark"), "item_id").groupBy("run").agg(F.collect_set("item_id").alias("items"))
+    hits = run(table(spark, sf_dir, "documents").repartition("doc_id"), "doc_id").join(records, "run")
+    hits = kept(hits, "run-hits")  # counted twice
+    runs = hits.groupBy("doc_id").agg(F.countDistinct("run").alias("runs"))
+    held = hits.select("doc_id", F.explode("items").alias("item_id")).distinct().groupBy("doc_id").agg(F.count("*").alias("records"))
+    return runs.join(held, "doc_id")
 
 
 def span_effects(spark, sf_dir):

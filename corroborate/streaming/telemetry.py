@@ -61,15 +61,13 @@ def sealed_progress(events: DataFrame, late: str = "10 seconds") -> DataFrame:
 
 
 def append_postings(index_path: str, build):
-    """For foreachBatch: each micro-batch's postings and lengths are appended to the index tables; build(df) gives an Index.
+    """For foreachBatch: each micro-batch's rows are appended to the index table; build(df) gives an Index.
 
     A batch that is repeated after a failure overwrites its own folder, so nothing is counted twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        index = build(batch)
-        for name, df in (("postings", index.postings), ("lengths", index.lengths)):
-            df.write.mode("overwrite").parquet(f"{index_path}/{name}/batch={number}")
+        build(batch).rows.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
 
     return write
 
