@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from corroborate import plans
 from corroborate.functions import text
 from corroborate.operators import evaluation, gates, pages, rules, spans
+from corroborate.operators.index import build_index
 from corroborate.sources import corpus
 from corroborate.streaming import telemetry
 
@@ -278,3 +279,34 @@ def test_fragments_join_the_claim_before(spark):
 def test_sql_functions(spark):
     text.register(spark)
     assert spark.sql("SELECT norm_ar('قَلَمٌ  أحمر') AS k").first().k == "قلم احمر"
+
+
+def test_stream_receipts_and_new_items(spark, tmp_path):
+    a, b = "request_id long, request_ts timestamp", "request_id long, source_id string, done_ts timestamp, items int"
+    _put(spark, tmp_path / "requests", 0, [(1, _at(0)), (2, _at(0)), (9, _at(5000))], a)
+    _put(spark, tmp_path / "receipts", 0, [(1, "x", _at(2), 4), (2, "x", _at(9), 4), (9, "x", _at(5001), 1)], b)
+    df = telemetry.receipts_in_time(_stream(spark, tmp_path / "requests", a), _stream(spark, tmp_path / "receipts", b), 3)
+    out = {r.request_id: r["items"] for r in _drain(df, tmp_path, "receipts").collect()}
+    assert out[1] == 4 and out[2] is None
+    items = "id long, ts timestamp"
+    _put(spark, tmp_path / "items", 0, [(1, _at(0)), (1, _at(1)), (2, _at(2))], items)
+    _put(spark, tmp_path / "items", 1, [(1, _at(3)), (3, _at(4))], items)
+    new = _drain(telemetry.new_items(_stream(spark, tmp_path / "items", items)), tmp_path, "items").collect()
+    assert sorted(r.id for r in new) == [1, 2, 3]
+
+
+def test_stream_appends_to_the_index(spark, tmp_path):
+    schema = "doc_id long, text string"
+    rows = [(1, "a b a"), (2, None), (3, "b c"), (4, "والكتاب")]
+    _put(spark, tmp_path / "in", 0, rows[:2], schema)
+    _put(spark, tmp_path / "in", 1, rows[2:], schema)
+    write = telemetry.append_postings(str(tmp_path / "index"), build_index)
+    q = _stream(spark, tmp_path / "in", schema).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    whole = build_index(spark.createDataFrame(rows, schema))
+    same = lambda df: sorted(map(tuple, df.select("doc_id", "n_words", "term", "tf").collect()), key=repr)
+    assert same(spark.read.parquet(str(tmp_path / "index"))) == same(whole.rows)
+    assert {r.doc_id: r.n_words for r in whole.lengths.collect()} == {1: 3, 2: 0, 3: 2, 4: 1}
+    write(spark.createDataFrame(rows[:2], schema), 0)  # a repeated batch replaces its own rows
+    assert spark.read.parquet(str(tmp_path / "index")).filter("doc_id = 1").count() == 3
