@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import ann_tree, cotraining, decontaminate, langid, warc, wfst
+from . import ann_tree, cotraining, decontaminate, langid, licenses, prefix_trie, spelling, warc, wfst
+from .licenses import op11_license_scan
 from .line_dedup import remove_repeated_lines
+from .prefix_trie import op13_prefix_trie
 from .simhash import near_duplicates
+from .spelling import op12_spelling_variants
 from .suffix_dedup import remove_repeated_bytes
 from .substring_dedup import remove_repeated_windows
 
@@ -58,7 +61,7 @@ def op9_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cotraining_quality, op2_ppm_langid, op3_substring_dedup, op4_line_dedup, op5_sentencepiece_wfst, op6_suffix_dedup, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann)}
+QUERIES = {f.__name__: f for f in (op1_cotraining_quality, op2_ppm_langid, op3_substring_dedup, op4_line_dedup, op5_sentencepiece_wfst, op6_suffix_dedup, op7_simhash_near_dedup, op8_warc_chunks, op9_lsa_decontaminate, op10_kmeans_tree_ann, op11_license_scan, op12_spelling_variants, op13_prefix_trie)}
 
 SQL = {
     "op3_substring_dedup": """
@@ -85,4 +88,7 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN first < page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op11_license_scan": licenses.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
