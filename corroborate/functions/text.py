@@ -15,11 +15,13 @@ TATWEEL = "ـ"
 DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 RETRIEVAL_MARKS = r"\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0898-\u089f\u08d3-\u08ff"
 COMPARISON_MARKS = r"\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0898-\u089f\u08ca-\u08ff"
-#: Prefix sequences that a word may carry: conjunction, then preposition and article.
-PREFIXES = sorted(
-    (c + p for c in ("", "و", "ف") for p in ("", "ب", "ك", "ل", "ال", "بال", "كال", "لل") if c + p),
-    key=lambda x: (-len(x), x),
-)
+# What a word may carry before it, a conjunction, a preposition, an article or several of them; the longest come first.
+PREFIXES = (
+    "فبال فكال وبال وكال "
+    "بال فال فلل كال وال ولل "
+    "ال فب فك فل لل وب وك ول "
+    "ب ف ك ل و"
+).split()
 
 SPACES = r"(?U)\s+"
 #: Texts of these signs alone (Latin, Arabic letters, digits and short vowels, punctuation) compose to themselves, but for the
@@ -92,24 +94,28 @@ def _comparable(c: Column, fold: bool, compose: bool) -> Column:
     native = F.when(_ascii(c), c).otherwise(folded)
     if not compose:
         return native
-    table = str.maketrans(DIGITS[0] + letters[0], DIGITS[1] + letters[1])
-    marks = re.compile(f"[{COMPARISON_MARKS}]")
-
-    def forms(x: str) -> str:
-        return unicodedata.normalize("NFKC", "".join(y for y in x if unicodedata.category(y) != "Cf"))
-
-    def whole(x: str) -> str:
-        bare = marks.sub(lambda m: "" if unicodedata.category(m[0])[0] == "M" else m[0], forms(x)).replace(TATWEEL, "")
-        return " ".join(forms(bare).translate(table).split())
-
     @F.pandas_udf("string")
     def key(s: pd.Series) -> pd.Series:
-        return s.map(whole, na_action="ignore")
+        return s.map(lambda x: comparable_text(x, fold), na_action="ignore")
 
     plain = _ascii(c) | c.rlike(COMPOSED)
     return F.when(plain, native).otherwise(key(F.when(~plain, c)))
 
 
+_FOLDED = {fold: str.maketrans(DIGITS[0] + VARIANTS[0] * fold, DIGITS[1] + VARIANTS[1] * fold) for fold in (True, False)}
+_MARKS = re.compile(f"[{COMPARISON_MARKS}]")
+
+
+def comparable_text(x: str, fold: bool = True) -> str:
+    """The comparison key of one text, compatibility forms included."""
+
+    def forms(y: str) -> str:
+        return unicodedata.normalize("NFKC", "".join(z for z in y if unicodedata.category(z) != "Cf"))
+
+    bare = _MARKS.sub(lambda m: "" if unicodedata.category(m[0])[0] == "M" else m[0], forms(x)).replace(TATWEEL, "")
+    return " ".join(forms(bare).translate(_FOLDED[fold]).split())
+
+
 def comparison_words(c: Column, fold: bool = True, compose: bool = True) -> Column:
     """Words of the comparison key; white space between them needs no collapsing."""
     return words(_comparable(c, fold, compose))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import comparison_words, word_budget, word_distance, word_signs
+from ..functions.text import comparison_words, word_budget, word_signs
 
 
 def record_words(records: DataFrame, id_col: str = "item_id", text_col: str = "text", compose: bool = True) -> DataFrame:
@@ -84,27 +86,59 @@ def best_windows(near: DataFrame, exact: DataFrame) -> DataFrame:
     return open_.select("doc_id", "b.item_id", "start", "n", "b.distance", "b.length_difference")
 
 
-def resolve(exact: DataFrame, near: DataFrame, records: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, n, classification): exact hits, and near ones that survive.
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with places, once for each block of the text that they touch."""
+    return rows.filter("start < end").withColumn("block", F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("end") - 1) / block).cast("long"))))
+
 
-    A near hit that overlaps an exact hit of a record at least as long goes; of the rest, by distance, length difference,
-    place and record, those that overlap none chosen before stay.  The choice is made document by document.
+def unless(left: DataFrame, right: DataFrame, on, block: int = 512) -> DataFrame:
+    """Rows of left without an overlapping row of right in the same document (its columns under r_) for which `on` holds.
+
+    Both meet in blocks of the text, so that a document with many places is no single group.
     """
-    near = best_windows(near, exact)
-    size = records.select("item_id", "m")
-    verbatim = exact.join(size, "item_id").select(F.col("doc_id").alias("d"), F.col("start").alias("vs"), (F.col("start") + F.col("n")).alias("ve"), F.col("m").alias("vm"))
-    rest = near.join(size, "item_id").join(verbatim, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("ve")) & (F.col("start") + F.col("n") > F.col("vs")) & (F.col("vm") >= F.col("m")), "left_anti")
+    r = _blocks(right, block).withColumnsRenamed({c: f"r_{c}" for c in [*right.columns, "block"]})
+    overlap = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("block") == F.col("r_block")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
+    bad = _blocks(left, block).join(r, overlap & on, "left_semi").drop("block").distinct()
+    return left.join(bad, left.columns, "left_anti")
+
 
-    def choose(hits: pd.DataFrame) -> pd.DataFrame:
+def choose(hits: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Of hits(doc_id, start, end, ...) those that overlap none chosen before, taken by `order`.
+
+    A sweep over a document's starts cuts its hits into clusters that no overlap joins; the choice is made in each cluster,
+    against the chosen places in a sorted list, of which only the neighbours can overlap.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    opens = (F.col("start") >= F.coalesce(F.max("end").over(so_far), F.lit(-1))).cast("int")
+    running = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clusters = hits.withColumn("_opens", opens).withColumn("_cluster", F.sum("_opens").over(running)).drop("_opens")
+    columns = hits.columns
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
         taken: list[tuple[int, int]] = []
         keep = []
-        for r in hits.sort_values(["distance", "length_difference", "n", "start", "item_id"]).itertuples():
-            if not any(r.start < b and r.start + r.n > a for a, b in taken):
-                taken.append((r.start, r.start + r.n))
-                keep.append(r.Index)
-        return hits.loc[keep, ["doc_id", "item_id", "start", "n"]]
+        rows = rows.sort_values(list(order), kind="stable")
+        for at, a, b in zip(rows.index, rows["start"], rows["end"]):
+            i = bisect_right(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                insort(taken, (a, b))
+                keep.append(at)
+        return rows.loc[keep, columns]
+
+    return clusters.groupBy("doc_id", "_cluster").applyInPandas(take, hits.schema)
+
 
-    chosen = rest.groupBy("doc_id").applyInPandas(choose, "doc_id long, item_id long, start int, n int")
+def resolve(exact: DataFrame, near: DataFrame, records: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, n, classification): exact hits, and near ones that survive.
+
+    A near hit that overlaps an exact hit of a record at least as long goes; of the rest those stay that overlap none chosen
+    before, by distance, length difference, number of words, start and record.
+    """
+    near = best_windows(near, exact).withColumn("end", F.col("start") + F.col("n"))
+    size = records.select("item_id", "m")
+    verbatim = exact.join(size, "item_id").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "m")
+    rest = unless(near.join(size, "item_id"), verbatim, F.col("r_m") >= F.col("m"))
+    chosen = choose(rest, ["distance", "length_difference", "n", "start", "item_id"]).select("doc_id", "item_id", "start", "n")
     return exact.select("doc_id", "item_id", "start", "n", F.lit("VERBATIM").alias("classification")).unionByName(chosen.withColumn("classification", F.lit("NEAR_MISS")))
 
 
@@ -129,64 +163,6 @@ def excerpts(docs: DataFrame, records: DataFrame, n: int = 5) -> DataFrame:
     return runs(docs, "doc_id", F.col("dw")).join(runs(records.filter(F.col("m") > n), "item_id", F.col("rw")), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-def attribution_spans(docs: DataFrame, formulas: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, span): what follows an attribution formula up to the sentence's end, unless quotation marks follow it.
-
-    The longest formula at a place wins; offsets are code points from 0, end exclusive.
-    """
-    wanted = sorted(formulas, key=lambda f: (-len(f.split()), f))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.filter(F.col("text").rlike("|".join(r"(?U)" + r"\s+".join(map(re.escape, f.split())) for f in wanted)))
-
-    def find(batches):
-        pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(r"\s+".join(map(re.escape, f.split())) for f in wanted) + r")(?![^\W_])[\s:،]*")
-        tail = re.compile(r"[^\n.!?؟؛]+")
-        for b in batches:
-            out = []
-            for i, text in zip(b["doc_id"], b["text"]):
-                for m in pattern.finditer(text):
-                    if (said := tail.match(text, m.end())) and said[0].strip() and text[m.end()] not in "«“\"":
-                        out.append((i, said.start(), said.end(), said[0]))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "span"])
-
-    return rows.mapInPandas(find, "doc_id long, start int, end int, span string")
-
-
-def classify_marked(marked: DataFrame, records: DataFrame, compose: bool = True) -> DataFrame:
-    """marked(span_id, span) -> (span_id, classification, item_id, distance): VERBATIM, NEAR_MISS, EXCERPT or UNRELATED with the
-    nearest record that shares a word.
-
-    A span equal to a record is verbatim; else one within the word budget is a near miss; else a run of at least three words
-    inside a record is an excerpt, of five within the budget a near one; else it is unrelated.  Distances are worked out for
-    records that share one of the span's words, found by a join on words, never for all pairs.
-    """
-    spans = marked.select("span_id", comparison_words(F.col("span"), True, compose).alias("dw")).filter(F.size("dw") > 0)
-    # spans with the same words are judged once
-    distinct = spans.groupBy("dw").agg(F.min("span_id").alias("s"))
-    exact = distinct.join(records, F.col("dw") == F.col("rw")).groupBy("s").agg(F.min("item_id").alias("item_id"))
-    rest = distinct.join(exact, "s", "left_anti")
-    mine = rest.select("s", F.explode(F.array_distinct("dw")).alias("word"))
-    theirs = records.select("item_id", F.explode(F.array_distinct("rw")).alias("word"))
-    pairs = mine.join(theirs, "word").groupBy("s", "item_id").agg(F.count("*").alias("shared"))
-    both = pairs.join(rest, "s").join(records, "item_id").withColumn("n", F.size("dw"))
-    far = word_distance(F.col("rw"), F.col("dw"))
-    # an excerpt's windows inside the record, only where enough words are shared
-    budget = word_budget(F.col("n"))
-    inside = F.transform(F.sequence(F.lit(1), F.greatest(F.col("m") - F.col("n") + 1, F.lit(1))), lambda i: word_distance(F.slice("rw", i, F.col("n")), F.col("dw")))
-    candidate = (F.col("m") > F.col("n")) & (F.col("n") >= 3) & (F.col("shared") >= F.size(F.array_distinct("dw")) - budget)
-    least = F.when(candidate, F.array_min(inside))
-    both = both.select("s", "item_id", "n", "m", far.alias("far"), least.alias("inner"), budget.alias("b"))
-    near = (F.least("n", "m") >= 3) & (F.col("far") <= word_budget(F.greatest("n", "m")))
-    excerpt = (F.col("inner") == 0) | ((F.col("n") >= 5) & (F.col("inner") <= F.col("b")))
-    kind = F.when(near, 1).when(excerpt, 2).otherwise(3)
-    d = F.when(near, F.col("far")).when(excerpt, F.col("inner")).otherwise(F.col("far"))
-    best = both.groupBy("s").agg(F.min(F.struct(kind.alias("kind"), d.alias("distance"), F.abs(F.col("n") - F.col("m")).alias("gap"), "item_id")).alias("b"))
-    named = F.element_at(F.array(F.lit("NEAR_MISS"), F.lit("EXCERPT"), F.lit("UNRELATED")), F.col("b.kind"))
-    found = best.select("s", named.alias("classification"), "b.item_id", "b.distance").unionByName(exact.select("s", F.lit("VERBATIM").alias("classification"), "item_id", F.lit(0).alias("distance")))
-    judged = distinct.join(found, "s", "left").select("dw", F.coalesce("classification", F.lit("UNRELATED")).alias("classification"), "item_id", "distance")
-    return spans.join(judged, "dw").select("span_id", "classification", "item_id", "distance")
-
-
 def detection_status(texts: DataFrame, findings: DataFrame, records: DataFrame, required: DataFrame) -> DataFrame:
     """(doc_id, status, findings): INDEX_EMPTY without records, UNRESOLVED if a required record isn't there, else RAN.
 
