@@ -23,8 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go with them; repeated rows are judged alike; all columns stay as they are.
     """
     trees = langid.train(docs.filter(~langid.held_out(docs["doc_id"])), "doc_id", "text", "lang")
-    said = langid.predict(docs, trees, names=("_stage_lang", "_stage_score"))
-    return said.filter((F.col("_stage_lang") != langid.UNKNOWN) & (F.col("_stage_score") >= 0.5)).select(*_columns(docs))
+    taken = {c.lower() for c in docs.columns}
+    lang, score = (next(n for n in (stem + "_" * i for i in range(len(taken) + 1)) if n not in taken) for stem in ("_stage_lang", "_stage_score"))
+    said = langid.predict(docs, trees, names=(lang, score))
+    return said.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= 0.5)).select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
