@@ -127,8 +127,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     score is the Euclidean distance in double precision.
 
     Vectors that are null, zero, of another length than most or hold null or non-finite components take no part, nor do null
-    ids; of rows that repeat an id each is a candidate.  Fewer than k other rows: all of them.  The tree is fitted on about
-    `sample_rows` rows drawn by a hash of the id, the visits on about `calibrate` queries; every row is indexed.
+    ids; of rows that repeat an id each is a candidate.  A query's id is asked once, with the smallest of its vectors that take
+    part in `vectors`, and no row of that id is its neighbour.  Fewer than k other rows: all of them.  Other columns are
+    ignored.  The tree is fitted on about `sample_rows` rows drawn by a hash of the id, the visits on about `calibrate`
+    queries; every row is indexed.
     """
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
@@ -147,7 +149,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(tree.value.leaf_of(_matrix(b.column("v"))) if b.num_rows else [], pa.int64())], ["id", "v", "leaf"])
 
     index = written(indexed.mapInArrow(put, "id long, v array<double>, leaf long"), "index")
-    asked = written(queries.select(queries[id_col].cast("long").alias("query")).join(rows.withColumnRenamed("id", "query"), "query", "left_semi").distinct().join(rows.withColumnRenamed("id", "query"), "query"), "asked")
+    ids = queries.select(queries[id_col].cast("long").alias("query")).distinct()
+    asked = written(rows.join(ids, rows["id"] == ids["query"]).groupBy("query").agg(F.min("v").alias("v")), "asked")
     n_asked = asked.count()
     visits = _calibrate(index, draw(asked.withColumnRenamed("query", "id"), calibrate, n_asked), tree, k, recall)
 
