@@ -81,22 +81,27 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     documents without a label are the pool of every round, and all documents are scored.  What a view is taught weighs
     `pseudo_weight` a row, and together at most `pseudo_weight` of the labelled rows, so that labels count alike at every
     size.  A null text counts as empty, null metadata as a value of its own.  Rows that repeat an id are scored each by its
-    own text.  Without labels of both kinds score is null and keep true.
+    own text.  A fold of the drawn labels, three in ten by a hash of the id, is kept for the judge; unless it and the rest both
+    have labels of both kinds, all scores are null and keep is true.  A score of exactly 0.5 keeps.
     """
     good = F.expr("quality = 1 AND toxic = 0") if good is None else good
     said = labels.select(labels[id_col].cast("long").alias("id"), good.cast("double").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     said = written(said, "labels")
     n_labels, kinds = said.agg(F.count("*"), F.count_distinct("y")).first()
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"), docs[lang_col].alias("lang"))
+    unknown = rows.select(F.col("id").alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("keep"))
     if kinds < 2:
-        return rows.select(F.col("id").alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("keep"))
+        return unknown
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(10))
     drawn = said.filter(_share(labelled_rows, n_labels)).withColumn("fold", fold)
     vocabulary = _vocabulary(written(rows.select("id", "text").join(drawn.filter("fold < 7"), "id").select("text", "y"), "sample"), words)
     views = written(_views(rows, vocabulary).join(said, "id", "left"), "views")
     known = written(views.filter("y is not null").filter(_share(labelled_rows, n_labels)).withColumns({"weight": F.lit(1.0), "fold": fold}).coalesce(2), "labelled")
     train, rest = known.filter("fold < 7").drop("fold"), known.filter("fold >= 7").drop("fold")
-    n_train, pool = train.count(), views.filter("y is null").drop("y")
+    parts = {(r.fitted, r.y): r["count"] for r in known.groupBy((F.col("fold") < 7).alias("fitted"), "y").count().collect()}
+    if len(parts) < 4:  # one of the two parts lacks a kind
+        return unknown
+    n_train, pool = parts[True, 0.0] + parts[True, 1.0], views.filter("y is null").drop("y")
     seen = {"text_view": train, "meta_view": train}
     strength = {"text_view": (0.001, 1.0), "meta_view": (0.001, 0.0)}  # few words matter, so the text's weights are sparse
     for turn in range(rounds + 1):
