@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_back, utf8_rows, with_id, written
+from .common import NULL_ID, id_back, utf8_rows, written
 
 BLANK = b" \t\n\r\x0b\x0c"
 SEGMENTS = 256
@@ -139,7 +139,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     `filter_bytes` bounds the broadcast filter.
     """
     spark = docs.sparkSession
-    rows = with_id(docs.withColumn("_rest", F.struct(F.lit(0).alias("_0"), *[docs[c] for c in carry])), id_col, text=text_col, rest="_rest")
+    others = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), docs[text_col].alias("text"), others.alias("rest"))
     bits = filter_bytes * 8 // SEGMENTS
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     twice = rows.select("text").mapInArrow(_hashes(least), "segment int, seen binary, again binary").repartition(min(parts, SEGMENTS), "segment").mapInArrow(_two_filters(bits), "segment int, twice binary")

@@ -189,6 +189,9 @@ def test_odd_rows(spark):
     assert len(lines) == 9 and next(r for r in lines if r.doc_id == 1).kept is None and next(r for r in lines if r.doc_id == 2).n_lines == 1
     assert [r.n_dropped for r in lines if r.doc_id == 3] == [1, 1] and next(r for r in lines if r.doc_id is None).n_dropped == 0
     assert all(r.rest.lang == "x" for r in lines)
+    odd = df.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("_0", "_rest", "none", "id")])
+    for carry in (("_0", "_rest", "none", "id"), ("_0",), ()):
+        assert all(r.rest[c] == "mine" for r in remove_repeated_lines(odd, carry=carry).collect() for c in carry)
     cut = remove_repeated_bytes(df, digest=True).collect()
     assert len(cut) == 9 and [r.n_removed == r.n_bytes for r in cut if r.doc_id == 3] == [True, True]
     assert next(r for r in cut if r.doc_id == 1).kept_sha256 == hashlib.sha256(b"").hexdigest()

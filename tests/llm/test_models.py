@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -180,6 +181,32 @@ def test_neighbours_odd_vectors(spark):
     assert ann_tree.search(df.filter("vec_id = 1"), df).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), "k", 1) for i in range(300)]
+    rows += [rows[0], rows[0], (100, rng.normal(size=4).tolist(), "k", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, query long")
+    out = defaultdict(list)
+    for r in ann_tree.search(df, df.filter("vec_id % 100 = 0"), recall=1.0).collect():
+        out[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(out) == {0, 100, 200}
+    for q, found in out.items():
+        own = min(v for i, v, *_ in rows if i == q)
+        best = sorted((math.dist(own, v), i) for i, v, *_ in rows if i != q)[:10]
+        assert [(i, pytest.approx(s)) for _, i, s in sorted(found)] == [(i, s) for s, i in best]
+
+
+@pytest.mark.parametrize("n", [2, 6, 12, 60])
+def test_cotraining_with_few_labels(spark, n):
+    docs = spark.range(80).selectExpr("id AS doc_id", "if(id % 2 = 0, 'good fine words', 'bad poor signs') AS text", "'s' AS source", "'en' AS lang", "id AS weight", "id AS y", "'f' AS fold")
+    labels = docs.filter(F.col("doc_id") < n).selectExpr("doc_id", "cast(doc_id % 2 = 0 AS int) AS quality", "0 AS toxic")
+    out = cotraining.classify(docs, labels, rounds=1).collect()
+    fold = {r.id: r.f for r in spark.range(n).select("id", F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(10)).alias("f")).collect()}
+    both = {(f < 7, i % 2) for i, f in fold.items()}
+    assert len(out) == 80 and (len(both) == 4) == all(r.score is not None for r in out)
+    assert len(both) == 4 or all(r.keep and r.score is None for r in out)
+
+
 def test_cotraining(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     out = cotraining.classify(docs, labels, rounds=1).join(labels, "doc_id").collect()
@@ -304,13 +331,14 @@ def test_runs_of_spaces_by_weight():
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
-    kind = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, lang_pred string"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, lang_pred string, _stage_lang string, _0 string, rest string, kept string"
     line = "this line is long enough to be a repeated one in many documents"
     rows = [(i, f"{line}\nnumber {i} of the texts", "en", "s", 60, "x", "mine") for i in range(6)] + [(7, None, "en", None, None, None, None), (8, "", "de", "s", 0, "y", "z"), (3, f"{line}\nnumber 3 of the texts", "en", "s", 60, "x", "mine"), (None, "der Hund und die Katze", "de", "s", 1, "q", "q")]
-    docs = spark.createDataFrame(rows, kind)
+    docs = spark.createDataFrame([(*r, "mine", "own", "rest", "kept") for r in rows], kind)
     kept = corpus_pipeline.language_id(spark, docs, SF)
     assert kept.columns == docs.columns and {r["lang_pred"] for r in kept.collect()} == {"mine", "q"} and kept.count() == 8
     lines = corpus_pipeline.line_dedup(spark, kept, SF)
     assert lines.columns == docs.columns and sum(line in r.text for r in lines.collect()) == 1
+    assert {(r["_stage_lang"], r["_0"], r["rest"], r["kept"]) for r in lines.collect()} == {("mine", "own", "rest", "kept")}
     none = corpus_pipeline.line_dedup(spark, corpus_pipeline.language_id(spark, docs.limit(0), SF), SF)
     assert none.count() == 0
