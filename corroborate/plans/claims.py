@@ -370,6 +370,18 @@ def sealed_progress(spark, sf_dir):
     return telemetry.sealed_progress(e.select(F.col("user_id").alias("request_id"), "ts", kind.alias("kind"), F.col("event_id").alias("claim_id")).filter("kind is not null"))
 
 
-QUERIES = {f.__name__: f for f in (comparison_keys, routing_keys, offset_tokens, utf8_heads, qa_display, language_flags, english_items, verse_references, claim_flags, title_shares, term_mentions, relevant_rows, topic_queries, relocated_claims, claim_repair, field_repair, claim_numbers, question_context, level_families, nominated_scores, offered_records, routed_candidates, unambiguous_aliases, union_first, twin_pairs, spans_in_claims, outside_marked, positions_in_order, publisher_answers, abstentions, term_blocks, correction_cards, state_facts, received_layers, evidence_verdicts, published_titles, dependency_records, source_url_rules, contract_violations, short_index_rules, category_members, pagination_complete, number_gaps, assembled_runs, item_health, tagged_blocks, response_rows, landed_items, receipts_in_time, sealed_progress)}
+def shared_deadlines(spark, sf_dir):
+    """Users ask when they sign up; for ten days errors are receipts, clicks claims, views cards of claims, a purchase the seal."""
+    from ..streaming.progress import progress
+
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "ask", "error", "receipt", "click", "claim", "view", "card", "purchase", "snapshot")]), F.col("event_type"))
+    name = F.floor(F.col("value") / 20).cast("string")
+    out = progress(e.select(F.col("user_id").alias("request_id"), "ts", kind.alias("kind"), name.alias("name"), F.col("event_id").cast("string").alias("state")), 864000)
+    joined = lambda c: F.array_join(c, ",")
+    return out.select("request_id", F.unix_micros("asked").alias("asked"), F.unix_micros("sealed").alias("sealed"), joined("sources").alias("sources"), joined(F.transform("cards", lambda c: F.concat_ws(":", c["claim"], c["state"]))).alias("cards"), joined("retryable").alias("retryable"))
+
+
+QUERIES = {f.__name__: f for f in (comparison_keys, routing_keys, offset_tokens, utf8_heads, qa_display, language_flags, english_items, verse_references, claim_flags, title_shares, term_mentions, relevant_rows, topic_queries, relocated_claims, claim_repair, field_repair, claim_numbers, question_context, level_families, nominated_scores, offered_records, routed_candidates, unambiguous_aliases, union_first, twin_pairs, spans_in_claims, outside_marked, positions_in_order, publisher_answers, abstentions, term_blocks, correction_cards, state_facts, received_layers, evidence_verdicts, published_titles, dependency_records, source_url_rules, contract_violations, short_index_rules, category_members, pagination_complete, number_gaps, assembled_runs, item_health, tagged_blocks, response_rows, landed_items, receipts_in_time, sealed_progress, shared_deadlines)}
 
 from .claims_sql import SQL  # noqa: E402,F401
