@@ -395,19 +395,3 @@ def repaired(value: Column, valid: Column, default: Column) -> Column:
 def repaired_list(items: Column, valid, most: int) -> Column:
     """The first `most` items for which valid(item) holds."""
     return F.slice(F.filter(F.coalesce(items, F.array().cast("array<string>")), valid), 1, most)
-
-
-def register(spark) -> None:
-    """SQL functions over whole columns, Arrow batches at a time."""
-
-    def udf(kind, body):
-        return F.pandas_udf(lambda s: s.map(body, na_action="ignore"), kind)
-
-    strip_marks = str.maketrans(*VARIANTS)
-
-    def key(marks):
-        drop = re.compile(f"[{TATWEEL}]|[{marks}]")
-        return lambda x: " ".join(unicodedata.normalize("NFC", drop.sub("", unicodedata.normalize("NFC", x))).translate(strip_marks).split())
-
-    spark.udf.register("norm_ar", udf("string", key(RETRIEVAL_MARKS)))
-    spark.udf.register("nfc", udf("string", lambda x: unicodedata.normalize("NFC", x)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import kept
 from ..functions.text import alias_groups, aliases, retrieval_words
+from .vectors import ranked
 
 
 #: Terms of all queries together, about 100 bytes each, that are sent to every task.
@@ -78,8 +79,7 @@ def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col
     single = hits.filter("aliases = 1").select("query_id", "asked", "group", "doc_id", "score")
     scored = single.unionByName(several).groupBy("query_id", "asked", "doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
     scored = scored.select("query_id", "doc_id", "score", (F.col("found") / F.col("asked")).alias("overlap")).filter((F.col("score") > 0) & (F.col("overlap") >= floor))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
+    return ranked(scored, top_k)
 
 
 def best_over_queries(hits: DataFrame, claim_col: str, top_k: int = 5) -> DataFrame:

@@ -2,80 +2,14 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import shared_folder
 from ..functions.text import url_is_clean
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-
-
-class _Reader(HTMLParser):
-    """Blocks of a page in order: (tag, text); scripts and styles left out."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.blocks, self.tag, self.text, self.skip = [], "", [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag in (*HEADINGS, "p", "div", "li", "td", "th", "title", "br", "article", "section", "nav"):
-            self._close(tag)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in (*HEADINGS, "p", "div", "li", "td", "th", "title"):
-            self._close("")
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
-
-    def _close(self, tag):
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.blocks.append((self.tag, text))
-        self.tag, self.text = tag, []
-
-
-def _blocks(html: str | None) -> list[tuple[str, str]]:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader._close("")
-    return reader.blocks
-
-
-def labelled_sections(pages: DataFrame, labels: list[str], stops: list[str] = (), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, label, status, text): what follows the one block whose text is the label, up to a heading, another label or a
-    stop label; status ok, missing or ambiguous.  Null pages miss every label."""
-    ends = {*labels, *stops}
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for page, html in zip(b["page_id"], b["html"]):
-                blocks = _blocks(html)
-                for label in labels:
-                    at = [i for i, (_, t) in enumerate(blocks) if t == label]
-                    body = []
-                    for tag, text in blocks[at[0] + 1 :] if len(at) == 1 else ():
-                        if tag in HEADINGS or text in ends:
-                            break
-                        body.append(text)
-                    status = "missing" if not at else "ambiguous" if len(at) > 1 else "ok"
-                    out.append((page, label, status, "\n".join(body) if status == "ok" else None))
-            yield pd.DataFrame(out, columns=["page_id", "label", "status", "text"])
-
-    return pages.select(pages[id_col].alias("page_id"), pages[html_col].alias("html")).mapInPandas(run, "page_id long, label string, status string, text string")
-
-
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, target): distinct link targets, those from the root made absolute."""
     host = F.regexp_extract(pages[url_col], r"^(https?://[^/]+)", 1)
@@ -124,22 +58,19 @@ def first_per_id(rows: DataFrame, id_col: str, order: str) -> DataFrame:
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, depth): nodes reached from seeds(node) over edges(src, dst); each round joins only the newest nodes and is written
-    to the checkpoint folder, until none is new."""
-    new = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    visited = _kept(new)
-    new = visited
-    for depth in range(1, rounds + 1):
-        step = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        new = _kept(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if not new.limit(1).count():
+    """(node, depth): nodes reached from seeds(node) over edges(src, dst), with the fewest steps.
+
+    Each round joins only the newest nodes and appends what it finds to a table in the shared folder, until none is new.
+    """
+    spark = seeds.sparkSession
+    path = f"{shared_folder(spark)}/reached-{uuid.uuid4().hex}"
+    new = seeds.select("node").distinct()
+    for depth in range(rounds + 1):
+        new.write.parquet(f"{path}/depth={depth}")
+        newest = spark.read.schema(new.schema).parquet(f"{path}/depth={depth}")
+        visited = spark.read.option("basePath", path).schema(f"{new.schema.simpleString()[7:-1].replace(':', ' ')}, depth int").parquet(*[f"{path}/depth={d}" for d in range(depth + 1)])
+        if not newest.limit(1).count():
             return visited
-        visited = _kept(visited.unionByName(new))
+        step = newest.join(edges, newest["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        new = step.join(visited.select("node"), "node", "left_anti")
     raise RuntimeError("not every node was reached in time")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked_by_range
+
 
 def unit(c):
     """The vector at length one; null if it has a null or non-finite part or no length."""
@@ -46,9 +48,11 @@ def cosine_hits(queries: DataFrame, vectors: DataFrame, floor: float = 0.25, blo
 
 
 def ranked(hits: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Adds rank within each query: by score rounded to nine places, then doc_id."""
-    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    return out if top_k is None else out.filter(F.col("rank") <= top_k)
+    """Adds rank within each query: by score rounded to nine places, then doc_id; whole lists are ranked by ranges."""
+    order = (F.desc(F.round("score", 9)), F.col("doc_id"))
+    if top_k is None:
+        return ranked_by_range(hits, "query_id", *order)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top_k)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, top_k: int = 5, k: int = 60) -> DataFrame:

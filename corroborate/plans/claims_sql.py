@@ -109,10 +109,10 @@ SQL = {
     "shared_deadlines": """
         WITH e AS (SELECT user_id AS q, epoch_us(ts) AS us, event_type AS kind, CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR) AS name, CAST(event_id AS VARCHAR) AS state FROM events),
         a AS (SELECT q, min(us) AS asked, min(us) + 864000000000 AS deadline FROM e WHERE kind = 'signup' GROUP BY q),
-        s AS (SELECT a.q, asked, deadline, coalesce(min(us), deadline) AS sealed FROM a LEFT JOIN e ON e.q = a.q AND kind = 'purchase' AND us BETWEEN asked AND deadline GROUP BY ALL),
+        s AS (SELECT a.q, asked, deadline, coalesce(min(us), deadline) AS sealed FROM a LEFT JOIN e ON e.q = a.q AND kind = 'purchase' AND us BETWEEN asked AND deadline GROUP BY a.q, asked, deadline),
         r AS (SELECT DISTINCT s.q, name FROM s JOIN e ON e.q = s.q AND kind = 'error' AND us BETWEEN asked AND deadline),
         c AS (SELECT DISTINCT s.q, name FROM s JOIN e ON e.q = s.q AND kind = 'click' AND us BETWEEN asked AND sealed),
-        d AS (SELECT s.q, name, max(struct_pack(us := us, state := state)).state AS state FROM s JOIN e ON e.q = s.q AND kind = 'view' AND us BETWEEN asked AND sealed GROUP BY ALL),
+        d AS (SELECT s.q, name, (max(struct_pack(us := us, state := state))).state AS state FROM s JOIN e ON e.q = s.q AND kind = 'view' AND us BETWEEN asked AND sealed GROUP BY s.q, name),
         rs AS (SELECT q, string_agg(name, ',' ORDER BY name) AS sources FROM r GROUP BY q),
         cs AS (SELECT c.q, string_agg(c.name || ':' || state, ',' ORDER BY c.name) FILTER (WHERE state IS NOT NULL) AS cards, string_agg(c.name, ',' ORDER BY c.name) FILTER (WHERE state IS NULL) AS retryable FROM c LEFT JOIN d USING (q, name) GROUP BY c.q)
         SELECT s.q AS request_id, asked, sealed, coalesce(sources, '') AS sources, coalesce(cards, '') AS cards, coalesce(retryable, '') AS retryable FROM s LEFT JOIN rs USING (q) LEFT JOIN cs USING (q)""",

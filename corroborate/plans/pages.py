@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import kept
 from ..functions.text import first_paragraph, first_sentences, is_arabic_mostly, url_is_clean
-from ..operators import pages
+from ..operators import dom, pages
 from ..streaming import telemetry
 from .common import table
 
@@ -23,11 +24,43 @@ def page_reasons(spark, sf_dir):
     return rows.select("page_id", F.coalesce(pages.reasons(rows, ["en", "fr", "de"], 30), F.lit("record")).alias("reason"))
 
 
+def _doms(spark, sf_dir):
+    return kept(dom.dom(table(spark, sf_dir, "pages").repartition("page_id")), "doms")
+
+
 def page_sections(spark, sf_dir):
-    """The text after the heading of each page that repeats its title."""
-    rows = table(spark, sf_dir, "pages")
-    out = pages.labelled_sections(rows, ["The", "and"], ["to"])
-    return out.select("page_id", "label", "status", F.length("text").cast("long").alias("chars"))
+    """What each page holds under its own first heading."""
+    doms = _doms(spark, sf_dir)
+    first = dom.nodes_of(doms).filter("tag = 'h1'").groupBy("page_id").agg(F.min(F.struct("pre", "label")).alias("h"))
+    wanted = first.filter("h.label <> ''").select("page_id", F.col("h.label").alias("label"), F.array().cast("array<string>").alias("stops"))
+    return dom.sections(doms, wanted).select("page_id", "label", "status", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("items").cast("long").alias("items"))
+
+
+def page_trees(spark, sf_dir):
+    """Per page and kind of element: how many there are, their depths, and how many links lie inside."""
+    nodes = dom.nodes_of(_doms(spark, sf_dir)).filter("tag <> ''")
+    inside = nodes.filter("tag in ('nav', 'ul', 'li', 'article')").select("page_id", "tag", "pre", "last")
+    links = nodes.filter("tag = 'a'").select(F.col("page_id").alias("p"), F.col("pre").alias("at"))
+    held = inside.join(links, (F.col("page_id") == F.col("p")) & (F.col("at") > F.col("pre")) & (F.col("at") <= F.col("last"))).groupBy("page_id", "tag").agg(F.count("*").alias("links"))
+    counted = nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum("depth").alias("depths"))
+    return counted.join(held, ["page_id", "tag"], "left").select("page_id", "tag", "n", "depths", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+def tree_links(spark, sf_dir):
+    """Targets of all links, and whether a crawl of the .com hosts may follow them: one step below the root, letters only."""
+    pages_ = table(spark, sf_dir, "pages")
+    return dom.links(_doms(spark, sf_dir), pages_, paths=["/[a-zA-Z]+"])
+
+
+def page_records(spark, sf_dir):
+    """English pages as records: title and what its heading holds; else the first reason why not."""
+    doms = _doms(spark, sf_dir)
+    first = dom.nodes_of(doms).filter("tag = 'h1'").groupBy("page_id").agg(F.min(F.struct("pre", "label")).alias("h"))
+    wanted = first.filter("h.label <> ''").select("page_id", F.col("h.label").alias("label"), F.array().cast("array<string>").alias("stops"))
+    found = dom.sections(doms, wanted).withColumn("label", F.lit("body"))
+    letters = F.regexp_count("text", F.lit("[A-Za-z]")) > 40
+    out = dom.records(doms, found, ["body"], lang="en", letters=letters)
+    return out.select("page_id", "title", F.coalesce("reason", F.lit("record")).alias("reason"), F.length(F.try_element_at("fields", F.lit("body"))).cast("long").alias("chars"))
 
 
 def host_completeness(spark, sf_dir):
@@ -46,11 +79,13 @@ def first_record(spark, sf_dir):
 
 
 def frontier_reach(spark, sf_dir):
-    """Documents as nodes that link to twice their number and the one after it, modulo one more than the largest."""
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"))
-    size = ids.agg((F.max("src") + 1).alias("n"))  # one row
-    edges = ids.crossJoin(F.broadcast(size)).select("src", F.explode(F.array(F.col("src") * 2 % F.col("n"), (F.col("src") * 2 + 1) % F.col("n"))).alias("dst"))
-    out = pages.reachable(edges.filter("src = 1").select(F.col("src").alias("node")).distinct(), edges)
+    """Pages and the paths that their links name, from the first page on: a page leads to its links' paths, a path to the pages
+    that link to it."""
+    path = F.try_parse_url("target", F.lit("PATH"))
+    held = kept(page_links(spark, sf_dir).select(F.concat(F.lit("page "), "page_id").alias("page"), F.concat(F.lit("path "), F.coalesce(path, F.lit(""))).alias("path"), "page_id").distinct(), "links")
+    edges = held.select(F.col("page").alias("src"), F.col("path").alias("dst")).unionByName(held.select(F.col("path").alias("src"), F.col("page").alias("dst")))
+    first = held.agg(F.min_by("page", "page_id").alias("node")).filter("node is not null")
+    out = pages.reachable(first, edges)
     return out.select("node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -97,13 +132,26 @@ def late_retry(spark, sf_dir):
     return telemetry.deadline_join(claims, cards, 3600).groupBy("claim_id", "state").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (page_fields, page_links, page_reasons, page_sections, host_completeness, manifest_stats, first_record, frontier_reach, script_majority, first_paragraphs, sentence_cap, url_policy, stage_summary, stage_windows, request_sessions, late_retry)}
+QUERIES = {f.__name__: f for f in (page_fields, page_links, page_reasons, page_sections, page_trees, tree_links, page_records, host_completeness, manifest_stats, first_record, frontier_reach, script_majority, first_paragraphs, sentence_cap, url_policy, stage_summary, stage_windows, request_sessions, late_retry)}
 
 _FIELDS = """p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
             regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages),
         r AS (SELECT *, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'language' WHEN h1 = '' THEN 'no_heading' WHEN length(title) < 30 THEN 'short_title' END AS reason FROM p)"""
 _EVENTS = "e AS (SELECT event_id, ts, event_type AS stage, value AS elapsed, user_id AS request_id, event_type = 'error' AS failed, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
+#: What follows a page's heading inside its article, as lines: unclosed paragraphs end where the next one begins.
+_TIDY = "regexp_replace(regexp_replace(regexp_replace({0}, '[\\t ]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+_PLAIN = "replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_BODIES = f"""b AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim({_TIDY.format(_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))}, E' \n\t') AS h1,
+            string_split(replace(regexp_replace(regexp_extract(html, '</h1>(.*?)(</article>|$)', 1, 's'), '<br>(?:</b>)?<p>', '<br></p><p>', 'g'), '<br>', chr(10)), '</p>') AS parts FROM pages),
+        l AS (SELECT page_id, lang, h1, trim(regexp_replace(h1, '[：:]$', '')) AS label, list_transform(parts, lambda x: {_PLAIN.format('x')}) AS parts FROM b),
+        -- a paragraph that repeats the heading is none of its section, and a section of its own if something else follows
+        m AS (SELECT * EXCLUDE (parts), parts, list_transform(parts, lambda x: trim(regexp_replace(trim({_TIDY.format('x')}, E' \n\t'), '[：:]$', ''))) AS names FROM l),
+        k AS (SELECT *, len(list_filter(range(1, len(parts) + 1), lambda i: names[i] = label AND len(list_filter(names[1:i - 1], lambda y: y <> '' AND y <> label)) > 0
+                AND len(list_filter(names[i + 1:], lambda y: y <> '' AND y <> label)) > 0)) > 0 AS several FROM m),
+        t AS (SELECT page_id, lang, h1, label, several, trim({_TIDY.format("array_to_string(list_filter(parts, lambda x, i: names[i] <> label), chr(10))")}, E' \n\t') AS t FROM k)"""
+_LETTERS = "len(regexp_extract_all({0}, '[A-Za-z]')) > 40"
+
 SQL = {
     "page_fields": f"WITH {_FIELDS} SELECT * FROM p",
     "page_links": """WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages)
@@ -115,9 +163,11 @@ SQL = {
         b AS (SELECT file, o // 1000 AS o, sum(records) AS records, sum(bytes) AS bytes, sum(empty) AS empty, sha256(string_agg(sha, chr(10) ORDER BY o)) AS sha FROM a GROUP BY file, o // 1000)
         SELECT file, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(empty) AS BIGINT) AS empty, sha256(string_agg(sha, chr(10) ORDER BY o)) AS sha256 FROM b GROUP BY file""",
     "first_record": "SELECT md5(text) AS record, min(doc_id) AS doc_id FROM documents GROUP BY 1",
-    "frontier_reach": """WITH RECURSIVE n AS (SELECT max(doc_id) + 1 AS n FROM documents), g AS (SELECT doc_id AS src, unnest([doc_id * 2 % n, (doc_id * 2 + 1) % n]) AS dst FROM documents, n),
-        walk AS (SELECT src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM g WHERE src = 1) UNION SELECT dst, depth + 1 FROM walk JOIN g ON src = node WHERE depth < 60)
-        SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node""",
+    "frontier_reach": """WITH RECURSIVE l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages),
+        h AS (SELECT DISTINCT page_id, 'page ' || page_id AS page, 'path ' || regexp_extract(CASE WHEN starts_with(href, '/') THEN host || href ELSE href END, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM l),
+        g AS (SELECT page AS src, path AS dst FROM h UNION SELECT path, page FROM h),
+        walk AS (SELECT min_by(page, page_id) AS node, 0 AS depth FROM h UNION SELECT dst, depth + 1 FROM walk JOIN g ON src = node WHERE depth < 20)
+        SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM walk WHERE node IS NOT NULL GROUP BY node""",
     "script_majority": "SELECT len(regexp_extract_all(text, '[ء-ي]')) > len(regexp_extract_all(text, '[A-Za-z]')) AS arabic, count(*) AS n FROM documents GROUP BY 1",
     "stage_summary": f"WITH {_EVENTS} SELECT request_id, count(*) AS events, count(*) FILTER (WHERE failed) AS failures, count(DISTINCT stage) AS stages, CAST(sum(k) AS BIGINT) AS k, round(sum(elapsed), 2) AS elapsed FROM e GROUP BY request_id",
     "stage_windows": f"WITH {_EVENTS} SELECT CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_start, stage, count(*) AS events, round(sum(elapsed), 2) AS total_elapsed, max(elapsed) AS max_elapsed FROM e GROUP BY ALL",
@@ -132,4 +182,17 @@ SQL = {
         SELECT doc_id, trim(CASE WHEN length(t) <= 400 THEN t WHEN length(sentence) >= 100 THEN sentence WHEN space <> '' THEN space ELSE head END, E' \n\t') AS paragraph FROM c""",
     "sentence_cap": r"""SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(trim(text), '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: true)[1:2], ' ') AS head FROM benchmark""",
     "url_policy": r"SELECT page_id, NOT contains(url, '#') AND NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[%\\\\]') AS clean FROM pages",
+    "page_sections": f"""WITH {_BODIES} SELECT page_id, label, CASE WHEN t = '' THEN 'missing' WHEN several THEN 'ambiguous' ELSE 'ok' END AS status, CASE WHEN t <> '' AND NOT several THEN md5(t) END AS text_md5,
+            CAST(CASE WHEN t <> '' AND NOT several THEN len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) ELSE NULL END AS BIGINT) AS items FROM t WHERE label <> ''""",
+    "page_records": f"""WITH {_BODIES} SELECT page_id, h1 AS title, CASE WHEN NOT regexp_matches(lower(lang), '^en(-|$)') THEN 'not_en_page' WHEN h1 = '' THEN 'missing_h1' WHEN NOT {_LETTERS.format('h1')} THEN 'not_en_record'
+            WHEN t = '' THEN 'missing_body' WHEN several THEN 'ambiguous_body' WHEN NOT {_LETTERS.format('t')} THEN 'not_en_record' ELSE 'record' END AS reason,
+            CASE WHEN regexp_matches(lower(lang), '^en(-|$)') AND {_LETTERS.format('h1')} AND t <> '' AND NOT several AND {_LETTERS.format('t')} THEN CAST(length(t) AS BIGINT) END AS chars FROM t""",
+    "page_trees": """WITH e AS (SELECT page_id, regexp_replace(html, '<(script|style)>.*?</(script|style)>', '<\\1></\\1>', 'gs') AS h FROM pages),
+        n AS (SELECT page_id, unnest(['html', 'head', 'meta', 'title', 'style', 'script', 'body', 'nav', 'ul', 'li', 'a', 'div', 'article', 'h1', 'p', 'b', 'br', 'footer']) AS tag, h FROM e),
+        c AS (SELECT page_id, tag, len(regexp_extract_all(h, '<' || tag || '[ >]')) AS n, len(regexp_extract_all(h, '<p>(<b>)?[^<]*<br>')) AS broken, len(regexp_extract_all(h, '<a[ >]')) AS links FROM n),
+        d(tag, depth) AS (VALUES ('html', 0), ('head', 1), ('meta', 2), ('title', 2), ('style', 2), ('script', 2), ('body', 1), ('nav', 2), ('ul', 3), ('li', 4), ('a', 5), ('div', 2), ('article', 2), ('h1', 3), ('p', 3), ('b', 4), ('br', 5), ('footer', 2))
+        SELECT page_id, tag, n, CAST(n * depth AS BIGINT) AS depths, CASE WHEN tag IN ('nav', 'ul', 'li', 'article') AND tag <> 'article' THEN links ELSE 0 END AS links FROM c JOIN d USING (tag) WHERE n > 0""",
+    "tree_links": r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages),
+        t AS (SELECT DISTINCT page_id, string_split(CASE WHEN starts_with(href, '/') THEN host || href ELSE href END, '#')[1] AS target FROM l)
+        SELECT page_id, target, regexp_full_match(target, 'https?://[^/?#@:]+(:[0-9]+)?/[a-zA-Z]+(\?.*)?') AS allowed FROM t""",
 }

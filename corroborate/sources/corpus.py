@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import lzma
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,23 +39,44 @@ def _strict(text: str | None) -> str | None:
     return None if isinstance(value, dict) else "not_object"
 
 
+def numbered_lines(spark: SparkSession, path: str, check=None) -> DataFrame:
+    """(file, line, value, rule): the lines of all files under path, numbered from 1 within their file; rule is check(value).
+
+    Files are cut into splits that many tasks read, however long a file is: a task counts the lines of its splits, sums over a
+    file's splits in order give where each begins, and a second read adds the line's place in its split.  Lines end at \\n,
+    where a \\r before it stays.  A line that is no UTF-8 has rule not_utf8 and its broken bytes replaced; a file without
+    lines is one row with line null and rule empty.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("value"), F.is_valid_utf8("value").alias("valid"))
+    counts = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+    def number(batches):
+        last, at = None, 0
+        for b in batches:
+            places, rules = [], []
+            for key, value, valid in zip(zip(b.column("file").to_pylist(), b.column("block").to_pylist()), b.column("value").to_pylist(), b.column("valid").to_pylist()):
+                last, at = (key, at + 1) if key == last else (key, 1)
+                places.append(at)
+                rules.append(check(value) if valid and check else None if valid else "not_utf8")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file", "block", "value")), pa.array(places, pa.int64()), pa.array(rules, pa.string())], ["file", "block", "value", "at", "rule"])
+
+    found = rows.mapInArrow(number, "file string, block long, value string, at long, rule string").join(starts, ["file", "block"])
+    found = found.select("file", (F.col("before") + F.col("at")).alias("line"), "value", "rule")
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in text.inputFiles()], "file string")  # as many as the files, which the driver lists anyway
+    return found.unionByName(names.join(counts, "file", "left_anti").select("file", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("value"), F.lit("empty").alias("rule")))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, violations): each line of each file under path as a record of the closed schema.
 
-    Records carry file and line (from 1); violations(file, line, rule) name what a line breaks: see _strict, and unknown_key
-    and wrong_type against the schema.  Lines are numbered within a file by reading it whole, so give many files, not one
-    large one; a file is one task's work.
+    Records carry file and line (from 1, see numbered_lines); violations(file, line, rule) name what a line breaks: see
+    _strict, not_utf8, unknown_key and wrong_type against the schema; an empty file breaks rule empty, without a line.
     """
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-
-    def check(batches):
-        for b in batches:
-            yield pd.DataFrame({"file": b["file"], "line": b["line"], "value": b["value"], "rule": [_strict(v) for v in b["value"]]})
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
-    checked = lines.mapInPandas(check, "file string, line int, value string, rule string")
-    parsed = checked.withColumn("record", F.from_json("value", T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = numbered_lines(spark, path, _strict).withColumn("record", F.from_json("value", T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
     unknown = F.size(F.array_except(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in schema]))) > 0
     rule = F.coalesce("rule", F.when(unknown, "unknown_key"), F.when(F.col("record._bad").isNotNull(), "wrong_type"))
     parsed = parsed.withColumn("rule", rule)

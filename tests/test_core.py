@@ -2,6 +2,7 @@ import datetime
 import json
 import random
 import unicodedata
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corroborate import plans
-from corroborate.functions import text
-from corroborate.operators import detect, evaluation, gates, pages, rules, spans
+from corroborate.functions import sql, text
+from corroborate.operators import detect, evaluation, gates, pages, ranks, rules, spans
 from corroborate.operators.index import build_index
 from corroborate.sources import corpus
 from corroborate.streaming import telemetry
@@ -274,8 +275,42 @@ def test_fragments_join_the_claim_before(spark):
 
 
 def test_sql_functions(spark):
-    text.register(spark)
-    assert spark.sql("SELECT norm_ar('قَلَمٌ  أحمر') AS k").first().k == "قلم احمر"
+    sql.register(spark)
+    texts = ["قَلَمٌ  أحمر", "والكتاب ﻻ x_y", "", "café", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df.createOrReplaceTempView("said")
+    got = spark.sql("SELECT t, norm_ar(t) AS k, alias_groups(t) AS g, comparison_words(t) AS w, word_distance(comparison_words(t), array('x')) AS d FROM said").collect()
+    want = {r.t: r for r in df.select("t", text.norm_ar(F.col("t")).alias("k"), text.alias_groups(F.col("t")).alias("g"), text.comparison_words(F.col("t")).alias("w")).collect()}
+    for r in got:
+        assert (r.k, r.g, r.w) == (want[r.t].k, want[r.t].g, want[r.t].w)
+        assert r.d == (None if r.t is None else _distance(list(r.w), ["x"]))
+
+
+def test_windows_as_a_table_function(spark):
+    rng = random.Random(7)
+    records = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 3, 5, 9, 12])))) for i in range(9)]
+    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))) for i in range(20)] + [(99, None)]
+    held = spans.record_words(spark.createDataFrame(records, "item_id long, text string"))
+    sql.register_windows(spark, held)
+    spark.createDataFrame(docs, "doc_id long, text string").createOrReplaceTempView("texts")
+    got = {tuple(r) for r in spark.sql("SELECT doc_id, start, end, classification, item_id, distance FROM texts, LATERAL match_windows(text)").collect()}
+    words = spans.document_words(spark.createDataFrame(docs, "doc_id long, text string"))
+    exact = spans.exact_windows(words, held)
+    best = spans.best_windows(spans.near_windows(words, held), exact)
+    place = lambda r: (r.doc_id, 2 * (r.start - 1), 2 * (r.start - 1 + r.n) - 1)
+    want = {(*place(r), "VERBATIM", r.item_id, 0) for r in exact.collect()} | {(*place(r), "NEAR_MISS", r.item_id, r.distance) for r in best.collect()}
+    assert got == want and len({w[3] for w in want}) == 2
+    with pytest.raises(ValueError):
+        sql.register_windows(spark, held, most_words=5)
+
+
+def test_ranks_of_long_lists(spark):
+    rows = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 7 > 0, F.col("id")).alias("k"), (F.col("id") * 37 % 11).alias("v"), "id")
+    got = ranks.ranked_by_range(rows, "k", F.desc("v"), "id", parts=7).collect()
+    lists = defaultdict(list)
+    for r in sorted(got, key=lambda r: (-r.v, r.id)):
+        lists[r.k].append(r["rank"])
+    assert len(got) == 400 and all(v == list(range(1, len(v) + 1)) for v in lists.values()) and len(lists[1]) > 200
 
 
 def test_stream_receipts_and_new_items(spark, tmp_path):
