@@ -55,6 +55,13 @@ def utf8_rows(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def slices(batches, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that what a task makes of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def blocks(ids: list, texts: list, limit: int) -> Iterator[tuple[list, list]]:
     """Consecutive rows whose texts hold at most `limit` bytes together; a longer text stands alone."""
     start = size = 0

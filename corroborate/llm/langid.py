@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, utf8_rows
+from .common import blocks, slices, utf8_rows
 
 UNKNOWN = "und"
 PIECE = 1 << 18  # bytes that are looked up at once
@@ -171,7 +171,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, order:
 def _score(shared, text_col: str, names: tuple[str, str]):
     def run(batches):
         trees: Trees = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = utf8_rows(b.column(text_col))
             lettered = [bool(t and trees.langs) and any(map(str.isalpha, t.decode())) for t in texts]
             total = trees.text_bits([t if ok else b"" for t, ok in zip(texts, lettered)])

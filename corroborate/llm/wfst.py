@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_rows
+from .common import slices, utf8_rows
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -331,7 +331,7 @@ def _run(shared, keep_ids: bool, keep_text: bool):
         t: Transducer = shared.value  # with its cache, a worker's tasks share it
         fallback = [int.from_bytes(x, "little") for x in t.byte.values()] or [-1]
         low, high = min(fallback), max(fallback)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in utf8_rows(b.column("text")):
                 if text is None:
