@@ -108,8 +108,10 @@ def claims_repaired(claims: DataFrame) -> DataFrame:
 
 def relevant(selected: DataFrame, question: Column, record: Column, compose: bool = True) -> DataFrame:
     """Selected rows whose record shares a content word with the question, or has the same words."""
-    asked, held = alias_groups(question, compose), alias_groups(record, compose)
-    return selected.filter(content_overlap(asked, held) | (F.flatten(asked) == F.flatten(held)))
+    # columns of their own: composition may go to Python, which no lambda can hold
+    both = selected.withColumns({"_asked": alias_groups(question, compose), "_held": alias_groups(record, compose)})
+    asked, held = F.col("_asked"), F.col("_held")
+    return both.filter(content_overlap(asked, held) | (F.flatten(asked) == F.flatten(held))).drop("_asked", "_held")
 
 
 # Why a card says nothing, in the order in which reasons are tried, and its label.

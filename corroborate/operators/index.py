@@ -39,7 +39,7 @@ class Index:
         return Index(kept(self.rows, "index"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str | None = None, compose: bool = False) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str | None = None, compose: bool = True) -> Index:
     """Documents are dealt by id before their texts are read, and that one shuffle serves all counts.  Words are counted for each
     document first; aliases are worked out for its distinct words only."""
     domain = (docs[domain_col] if domain_col else F.lit(None).cast("string")).alias("domain")
@@ -52,7 +52,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Index(terms.groupBy(*each, "term").agg(F.sum("n").alias("tf")))
 
 
-def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "text", top_k: int | None = 5, domain: str | None = None, floor: float = 0.0, min_terms: int = 1, best: str = "tf", compose: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, index: Index, query_col: str = "query_id", text_col: str = "text", top_k: int | None = 5, domain: str | None = None, floor: float = 0.0, min_terms: int = 1, best: str = "tf", compose: bool = True) -> DataFrame:
     """(query_id, doc_id, score, overlap, rank).
 
     Each distinct query word counts once, with its best alias: by (tf, idf) if best is "tf", by score if "score".
@@ -91,7 +91,7 @@ def best_over_queries(hits: DataFrame, claim_col: str, top_k: int = 5) -> DataFr
 
 def token_overlap(queries: DataFrame, titles: DataFrame, top_k: int = 2) -> DataFrame:
     """Titles by the number of distinct words shared with the query; queries(query_id, text), titles(title_id, text); ties to the smaller id."""
-    word = lambda df, key: df.select(key, F.explode(F.array_distinct(F.flatten(alias_groups(F.col("text"), False)))).alias("word"))
+    word = lambda df, key: df.select(key, F.explode(F.array_distinct(F.flatten(alias_groups(F.col("text"))))).alias("word"))
     shared = word(queries, "query_id").join(word(titles, "title_id"), "word").groupBy("query_id", "title_id").agg(F.count("*").alias("shared"))
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "title_id")
     return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)

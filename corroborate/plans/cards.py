@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import cards as C
+from ..operators import contract
 from ..operators import evaluation as ev
 from .common import table
 
@@ -57,7 +60,7 @@ def repeated_quotes(spark, sf_dir):
 
 
 def quoted_input(spark, sf_dir):
-    inputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.substring("text", 1, 30).alias("input"))
+    inputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("input"))
     return C.quoted_input(_cards(spark, sf_dir), inputs).select("case_id")
 
 
@@ -76,7 +79,7 @@ def case_assertions(spark, sf_dir):
 
 def _gates(spark, sf_dir, filtered=False):
     cases = ev.case_status(_assertions(spark, sf_dir), "case_id").join(_expected(spark, sf_dir).select("case_id", "input_kind", (F.col("level") == "D").alias("adversarial")), "case_id")
-    inputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.substring("text", 1, 30).alias("input"))
+    inputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("input"))
     required = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"))
     return C.gate_results(_cards(spark, sf_dir), inputs, cases, required, None, filtered), cases
 
@@ -104,11 +107,28 @@ def citation_faults(spark, sf_dir):
 def compare_arms(spark, sf_dir):
     """Labels and what simple rules say of the documents, as two arms."""
     a = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), "quality")
-    b = table(spark, sf_dir, "documents").filter("lang <> 'es'").select(F.col("doc_id").alias("case_id"), (F.col("n_chars") > 300).cast("int").alias("quality"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), (F.col("n_chars") > 300).cast("int").alias("quality"))
     return C.compare_arms(a, b, "case_id", ["quality"])
 
 
-QUERIES = {f.__name__: f for f in (card_problems, repeated_quotes, quoted_input, forbidden_hits, case_assertions, card_gates, run_outcome, request_bounds, citation_faults, compare_arms)}
+#: A card that keeps the contract, as JSON; documents put their language, text and length into it.
+BASE_CARD = {
+    "card_id": "c", "card_schema_version": "1", "input_kind": "claim", "state": "SUPPORTED", "alignment": "CONFIRMS", "alignment_confidence": 0.9, "state_label_key": "supported_confirms", "positions": [], "term": None,
+    "explanation_ar": "ش", "explanation_en": None, "referral": None, "how_to_verify_ar": ["أ", "ب"], "misquote_notice": None, "abstained_reason": None, "policy_version": "p", "tuning_version": "t", "gate_report": {g: "pass" for g in contract.GATES},
+    "evidence": [{"evidence_id": "e", "corpus_id": "x", "domain": "faq", "source_id": "s", "source_name_ar": "م", "source_url": "https://s.example/x", "quote_ar": "ق", "translation": None, "ref": {"n": 1}, "grading": None, "verbatim_verified": True, "retrieval_score": 1}],
+}
+
+
+def card_contract(spark, sf_dir):
+    """What the documents' cards break of the contract: languages other than its two, no text, a confidence over 1, no English
+    explanation of an English claim."""
+    part = json.dumps(BASE_CARD, ensure_ascii=False)[1:-1]
+    claim = F.to_json(F.struct(F.lit("1").alias("id"), F.lit("ن").alias("text_ar"), F.col("text").alias("text_original"), "lang", F.struct(F.lit(0).alias("start"), F.lit(1).alias("end")).alias("span"), F.lit(None).cast("string").alias("time_span"), F.lit("stated").alias("origin"), F.lit("B").alias("level"), F.lit("r").alias("level_rationale_en"), F.array().cast("array<string>").alias("scripture_spans"), F.lit("ran").alias("span_detector_status")), {"ignoreNullFields": "false"})
+    card = F.concat(F.lit("{" + part + ', "confidence": '), F.coalesce((F.col("n_chars") / 5000).cast("string"), F.lit("null")), F.lit(', "claim": '), claim, F.lit("}"))
+    return contract.violations(table(spark, sf_dir, "documents").select("doc_id", card.alias("card")), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (card_problems, repeated_quotes, quoted_input, forbidden_hits, case_assertions, card_gates, run_outcome, request_bounds, citation_faults, compare_arms, card_contract)}
 
 _CARDS = """c AS (SELECT doc_id AS d, b.text AS quote, source, lang, quality, toxic, CASE WHEN doc_id % 10 = 7 THEN 'DISPUTED' WHEN quality = 1 THEN 'SUPPORTED' ELSE 'CANNOT_CONFIRM' END AS state,
             CASE WHEN toxic = 1 THEN 'D' WHEN lang = 'fr' THEN 'C' ELSE 'A' END AS level, documents.text AS doc
@@ -140,7 +160,7 @@ _ASSERTED = f"""{_CARDS}, a AS (SELECT l.doc_id, g.*, l.quality AS lq, l.toxic A
             {{'name': 'required_corpus_ids', 's': CASE WHEN doc_id % 5 <> 0 THEN 'pass' WHEN NOT known OR NOT valid THEN 'not_evaluated' WHEN quote IS NOT NULL THEN 'pass' ELSE 'fail' END}},
             {{'name': 'forbidden_substrings_ar', 's': CASE WHEN doc_id % 7 <> 0 THEN 'pass' WHEN NOT valid THEN 'not_evaluated' WHEN said LIKE '%see %' THEN 'fail' ELSE 'pass' END}}]) AS x FROM a),
         cs AS (SELECT doc_id, CASE WHEN bool_or(x.s = 'fail') THEN 'fail' WHEN bool_or(x.s = 'not_evaluated') THEN 'not_evaluated' ELSE 'pass' END AS case_status FROM n GROUP BY doc_id)"""
-_QUOTED = """qi AS (SELECT d FROM g WHERE (d % 41 = 0 AND length(trim(left(quote, 12))) >= 8) OR (length(trim(left(doc, 30))) >= 8 AND contains(quote, trim(left(doc, 30)))) OR (d % 41 <> 0 AND contains(quote, 'nothing of the kind')))"""
+_QUOTED = """qi AS (SELECT d FROM g WHERE (d % 41 = 0 AND length(trim(left(quote, 12))) >= 8) OR (length(trim(doc)) >= 8 AND contains(quote, trim(doc))) OR (d % 41 <> 0 AND contains(quote, 'nothing of the kind')))"""
 _REPEATED = "rq AS (SELECT d FROM g WHERE d % 19 = 0 AND length(trim(quote)) >= 8)"
 _GATES = f"""{_ASSERTED}, {_QUOTED}, {_REPEATED}, pr AS (SELECT p FROM (SELECT unnest(list_filter([
             CASE WHEN quote IS NOT NULL AND d % 11 = 0 THEN 'G2' END, CASE WHEN trim(quote) = '' THEN 'G2' END, CASE WHEN quote IS NOT NULL AND d % 2 = 0 AND d % 13 = 0 THEN 'G3' END,
@@ -168,6 +188,9 @@ SQL = {
         SELECT request_id, unnest(list_filter([CASE WHEN n > 20 THEN 'claims' END, CASE WHEN chars > 300 THEN 'chars' END, CASE WHEN ids < n THEN 'ids' END], lambda x: x IS NOT NULL)) AS rule FROM c""",
     "citation_faults": """WITH c AS (SELECT doc_id AS d, CASE WHEN doc_id % 4 = 0 THEN [doc_id, doc_id] ELSE [doc_id, doc_id % 9] END AS ids, doc_id % 5 AS p, [doc_id, doc_id % 3] AS o FROM documents)
         SELECT d AS claim_id, unnest(list_filter([CASE WHEN NOT list_has_all(o, ids) THEN 'not_offered' END, CASE WHEN ids[1] = ids[2] THEN 'twice' END, CASE WHEN NOT list_contains(ids, p) THEN 'position_not_cited' END], lambda x: x IS NOT NULL)) AS fault FROM c""",
-    "compare_arms": """WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, CAST(n_chars > 300 AS INTEGER) AS quality FROM documents WHERE lang <> 'es')
+    "compare_arms": """WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, CAST(n_chars > 300 AS INTEGER) AS quality FROM documents)
         SELECT coalesce(a.doc_id, b.doc_id) AS case_id, a.doc_id IS NOT NULL AS in_a, b.doc_id IS NOT NULL AS in_b, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.quality IS NOT DISTINCT FROM b.quality AS same FROM a FULL JOIN b USING (doc_id)""",
+    "card_contract": """
+        SELECT doc_id, 'claim.lang' AS path, 'in' AS rule FROM documents WHERE lang IS NULL OR lang NOT IN ('ar', 'en') UNION ALL SELECT doc_id, 'claim.text_original', 'text' FROM documents WHERE coalesce(text, '') = ''
+        UNION ALL SELECT doc_id, 'confidence', 'number' FROM documents WHERE n_chars IS NULL OR n_chars > 5000 UNION ALL SELECT doc_id, 'explanation_en', 'text' FROM documents WHERE lang = 'en'""",
 }

@@ -23,11 +23,11 @@ def _titles(spark, sf_dir):
 
 
 def comparison_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.comparison_key(F.col("text"), compose=False)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.comparison_key(F.col("text"))).alias("key"))
 
 
 def routing_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.routing_key(F.col("text"), compose=False)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.routing_key(F.col("text"))).alias("key"))
 
 
 def offset_tokens(spark, sf_dir):
@@ -78,17 +78,17 @@ def _with_titles(spark, sf_dir):
 
 def title_shares(spark, sf_dir):
     """How much of each turn its conversation's page title carries, and whether they share a content word."""
-    q, t = T.alias_groups(F.col("text"), False), T.alias_groups(F.col("title"), False)
-    return _with_titles(spark, sf_dir).select("claim_id", F.round(T.title_share(q, t), 6).alias("share"), T.content_overlap(q, t).alias("overlap"))
+    both = _with_titles(spark, sf_dir).select("claim_id", T.alias_groups(F.col("text")).alias("q"), T.alias_groups(F.col("title")).alias("t"))
+    return both.select("claim_id", F.round(T.title_share(F.col("q"), F.col("t")), 6).alias("share"), T.content_overlap(F.col("q"), F.col("t")).alias("overlap"))
 
 
 def term_mentions(spark, sf_dir):
-    aliases = T.search_tokens(F.col("text"), False)
-    return _with_titles(spark, sf_dir).select("claim_id", T.mentions_term(F.element_at(F.split("title", " "), 1), aliases, False).alias("mentioned"))
+    aliases = T.search_tokens(F.col("text"))
+    return _with_titles(spark, sf_dir).select("claim_id", T.mentions_term(F.element_at(F.split("title", " "), 1), aliases).alias("mentioned"))
 
 
 def relevant_rows(spark, sf_dir):
-    return C.relevant(_with_titles(spark, sf_dir), F.col("text"), F.col("title"), False).select("claim_id", "page_id")
+    return C.relevant(_with_titles(spark, sf_dir), F.col("text"), F.col("title")).select("claim_id", "page_id")
 
 
 def topic_queries(spark, sf_dir):
@@ -258,7 +258,7 @@ def evidence_verdicts(spark, sf_dir):
     records = items.select(i.alias("corpus_id"), F.when(i % 2 == 0, "hadith").otherwise("faq").alias("domain"), F.lit("src1").alias("source_id"), "text", F.when(i % 4 != 0, "good").alias("grade"), F.lit("grader").alias("grader"))
     cited = items.select(i.alias("claim_id"), F.when(i % 11 == 0, i + 1000000).otherwise(i).alias("corpus_id"), F.when(i % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit(" "), "text")).alias("quote"), F.when(i % 7 == 0, "src2").otherwise("src1").alias("source_id"), F.when(i % 3 == 0, "https://other.example/x").otherwise("https://src1.example/x").alias("source_url"))
     registry = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id")).distinct().select("source_id", F.array(F.concat("source_id", F.lit(".example"))).alias("hosts"), F.array(F.lit("faq")).alias("domains"))
-    out = gates.verified_evidence(cited, records, registry, lambda c: T.norm_ar(c, False))
+    out = gates.verified_evidence(cited, records, registry, T.norm_ar)
     return out.select("claim_id", "verdict")
 
 
@@ -296,7 +296,7 @@ def contract_violations(spark, sf_dir):
     s = F.col("source_id")
     sources = names.select(s, F.array(F.lit("hadith"), F.lit("faq")).alias("domains"), F.concat(F.lit("https://"), s, F.lit(".example/a")).alias("entry_url"), F.lit("confirmed").alias("license_status"), (s != "src6").alias("ingestion_allowed"), (s != "src7").alias("redistribution_allowed"), F.lit(False).alias("public_display_allowed"))
     register = names.select(s, F.lit("hadith").alias("domain"), F.lit("open").alias("license"), F.lit("https://l.example/").alias("license_url"))
-    out = validate.contract_violations(corpus, sources, register, ["src1"], need_redistribution=False, public_display=True, compose=False)
+    out = validate.contract_violations(corpus, sources, register, ["src1"], need_redistribution=False, public_display=True)
     return out.groupBy("rule").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
 
 

@@ -15,7 +15,7 @@ CUES = [("D", ["idiot|clown|moron"]), ("C", ["license"]), ("B", ["token|the and"
 
 def level_floor(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", rules.level_floor(F.lower(norm_ar(F.col("text"), False)), CUES).alias("level"))
+    return docs.select("doc_id", rules.level_floor(F.lower(norm_ar(F.col("text"))), CUES).alias("level"))
 
 
 def _proposals(spark, sf_dir):
@@ -67,7 +67,7 @@ def _corpus(spark, sf_dir):
 
 def corpus_violations(spark, sf_dir):
     rows, sources = _corpus(spark, sf_dir)
-    out = validate.corpus_violations(rows, sources, ["en", "fr", "de", "es"], need_redistribution=True, compose=False)
+    out = validate.corpus_violations(rows, sources, ["en", "fr", "de", "es"], need_redistribution=True)
     return out.groupBy("row_id", "rule").agg(F.count("*").alias("n"))
 
 
@@ -87,7 +87,7 @@ def conflicting_duplicates(spark, sf_dir):
 
 
 def twin_peers(spark, sf_dir):
-    return gates.twin_peers(table(spark, sf_dir, "documents"), F.md5(F.lower(norm_ar(F.col("text"), False))), "doc_id", "source")
+    return gates.twin_peers(table(spark, sf_dir, "documents"), F.md5(F.lower(norm_ar(F.col("text")))), "doc_id", "source")
 
 
 def received_registry(spark, sf_dir):
@@ -101,7 +101,7 @@ def quote_verification(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     i = F.col("item_id")
     cited = items.select(i.alias("claim_id"), F.when(i % 11 == 0, i + 1000000).otherwise(i).alias("item_id"), F.when(i % 3 == 1, F.concat(F.lit("  "), "text", F.lit(" "))).when(i % 3 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("quote"))
-    return gates.verified_quotes(cited, items, lambda c: norm_ar(c, False)).select("claim_id", "verdict")
+    return gates.verified_quotes(cited, items, norm_ar).select("claim_id", "verdict")
 
 
 def dependency_closure(spark, sf_dir):
@@ -161,8 +161,7 @@ def eval_confusion(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).alias("partner"))
-    return docs.filter("doc_id % 9 <> 4")
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).alias("partner"))
 
 
 def pair_consistency(spark, sf_dir):
@@ -187,7 +186,7 @@ def required_records(spark, sf_dir):
 def set_ops(spark, sf_dir):
     """Customers and suppliers by nation: union, intersection and difference."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey % 3 <> 0").select(F.col("s_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
     name = lambda df, kind: df.withColumn("kind", F.lit(kind))
     return name(c.union(s).distinct(), "union").unionByName(name(c.intersect(s), "intersect")).unionByName(name(c.distinct().exceptAll(s.distinct()), "except")).select("kind", F.col("nation").cast("long").alias("nation"))
 
@@ -225,7 +224,7 @@ _CASES = """c AS (SELECT l.doc_id, quality, toxic, d.doc_id IS NOT NULL AS obser
         k AS (SELECT doc_id, lang, 'quality' AS name, CASE WHEN NOT observed THEN 'not_evaluated' WHEN quality IS NOT DISTINCT FROM got_quality THEN 'pass' ELSE 'fail' END AS status FROM c
             UNION ALL SELECT doc_id, lang, 'toxic', CASE WHEN NOT observed THEN 'not_evaluated' WHEN toxic IS NOT DISTINCT FROM got_toxic THEN 'pass' ELSE 'fail' END FROM c),
         s AS (SELECT doc_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'not_evaluated') THEN 'not_evaluated' ELSE 'pass' END AS case_status FROM k GROUP BY doc_id)"""
-_PAIRS = "p AS (SELECT doc_id, doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS partner FROM documents WHERE doc_id % 9 <> 4)"
+_PAIRS = "p AS (SELECT doc_id, doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS partner FROM documents)"
 
 SQL = {
     "level_floor": _LEVELS,
@@ -286,7 +285,7 @@ SQL = {
         need AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN rr USING (run)),
         j AS (SELECT need.doc_id, need.item_id % 4 <> 0 AS known, contains(' ' || array_to_string(dw, ' ') || ' ', ' ' || array_to_string(rw, ' ') || ' ') AS seen FROM need JOIN d USING (doc_id) JOIN r USING (item_id))
         SELECT doc_id, CASE WHEN bool_or(NOT known) THEN 'not_evaluated' WHEN bool_or(NOT seen) THEN 'fail' ELSE 'pass' END AS status FROM j GROUP BY doc_id""",
-    "set_ops": """WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer), s AS (SELECT CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE s_nationkey % 3 <> 0)
+    "set_ops": """WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer), s AS (SELECT CAST(s_nationkey AS BIGINT) AS nation FROM supplier)
         SELECT 'union' AS kind, nation FROM (SELECT nation FROM c UNION SELECT nation FROM s) UNION ALL SELECT 'intersect', nation FROM (SELECT nation FROM c INTERSECT SELECT nation FROM s)
         UNION ALL SELECT 'except', nation FROM (SELECT nation FROM c EXCEPT SELECT nation FROM s)""",
     "dim_joins": "SELECT r_name, n_name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",

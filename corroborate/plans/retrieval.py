@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.index import best_over_queries, bm25, build_index, token_overlap
 from ..operators.vectors import cosine_hits, fuse, ranked
-from .common import table
+from ..functions.text import alias_groups
+from .common import aliases_sql, arabic_key_sql, decomposed, table
 
 
 def _asked(spark, sf_dir):
@@ -66,7 +67,21 @@ def hybrid_rrf(spark, sf_dir):
     return out.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_floor_overlap, bm25_delta_equals_rebuild, title_token_overlap, multi_query_best, vector_topk, hybrid_rrf)}
+def arabic_bm25(spark, sf_dir):
+    """Items and documents in Arabic spelling, with marks and decomposed letters: words meet by their best alias."""
+    spelt = lambda name, key: table(spark, sf_dir, name).select(F.col(key), decomposed(F.col("text")).alias("text"))
+    index = build_index(spelt("documents", "doc_id")).kept()
+    return _result(bm25(spelt("benchmark", "item_id").withColumnRenamed("item_id", "query_id"), index, top_k=10))
+
+
+def alias_words(spark, sf_dir):
+    """Per document in Arabic spelling: its words, all their aliases, and a hash of the distinct ones."""
+    t = table(spark, sf_dir, "documents").select("doc_id", alias_groups(decomposed(F.col("text"))).alias("g"))
+    all_ = F.flatten("g")
+    return t.select("doc_id", F.size("g").cast("long").alias("n_words"), F.size(all_).cast("long").alias("n_aliases"), F.md5(F.array_join(F.array_sort(F.array_distinct(all_)), " ").cast("binary")).alias("aliases_md5"))
+
+
+QUERIES = {f.__name__: f for f in (arabic_bm25, alias_words, bm25_topk, bm25_floor_overlap, bm25_delta_equals_rebuild, title_token_overlap, multi_query_best, vector_topk, hybrid_rrf)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -93,7 +108,27 @@ _COSINE = """u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS
         semantic AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS score
             FROM u a, u b WHERE a.vec_id % 50 = 0 AND score >= 0.25)"""
 
+_ARABIC_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
 SQL = {
+    "alias_words": f"""
+        WITH d AS (SELECT doc_id, {_ARABIC_WORDS.format(arabic_key_sql('text'))} AS w FROM documents),
+        a AS (SELECT doc_id, len(w) AS n, flatten(list_transform(w, lambda x: {aliases_sql('x')})) AS a FROM d)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(a), 0) AS BIGINT) AS n_aliases, md5(coalesce(array_to_string(list_sort(list_distinct(a)), ' '), '')) AS aliases_md5 FROM a""",
+    "arabic_bm25": f"""
+        WITH d AS (SELECT doc_id, {_ARABIC_WORDS.format(arabic_key_sql('text'))} AS words FROM documents),
+        q AS (SELECT item_id AS query_id, {_ARABIC_WORDS.format(arabic_key_sql('text'))} AS words FROM benchmark),
+        w AS (SELECT doc_id, unnest(words) AS word FROM d),
+        a AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
+        p AS (SELECT doc_id, term, sum(n) AS tf FROM (SELECT doc_id, n, unnest({aliases_sql('word')}) AS term FROM a) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),
+        g AS (SELECT DISTINCT query_id, unnest(list_distinct(words)) AS word FROM q),
+        t AS (SELECT query_id, word, unnest({aliases_sql('word')}) AS term FROM g),
+        h AS (SELECT query_id, word, p.doc_id, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, len(d.words) / mean AS share FROM t JOIN p USING (term) JOIN f USING (term) JOIN d ON d.doc_id = p.doc_id, s),
+        b AS (SELECT query_id, word, doc_id, (max(struct_pack(tf := tf, idf := idf, score := idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * share))))).score AS score FROM h GROUP BY query_id, word, doc_id),
+        scored AS (SELECT query_id, doc_id, sum(score) AS score FROM b GROUP BY ALL)
+        SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 10""",
     "bm25_topk": _bm25_sql(_DOCS, _ITEMS, _TOP10),
     "bm25_delta_equals_rebuild": _bm25_sql(_DOCS, _ITEMS, _TOP10),
     "bm25_floor_overlap": _bm25_sql(_DOCS, _ITEMS, f"SELECT query_id, doc_id, round(score, 6) AS score, round(overlap3, 6) AS overlap FROM scored WHERE overlap3 >= 0.25 QUALIFY {_RANK} <= 5", "WHERE lang = 'en'"),

@@ -8,7 +8,7 @@ from ..common import kept
 from ..functions.text import shingles, words
 from ..functions.tokens import comparison_tokens
 from ..operators import detect, spans
-from .common import table
+from .common import ARABIC, LATIN, arabic, table
 
 
 def _both(spark, sf_dir):
@@ -108,21 +108,12 @@ def formula_places(spark, sf_dir):
 def key_word_places(spark, sf_dir):
     """Each document's words of the comparison key, and the sums of their places, over the text spelt with Arabic letters, marks
     and compatibility forms."""
-    t = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", F.col("text").alias("plain"), _arabic(F.col("text")).alias("text"))
+    t = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", F.col("text").alias("plain"), arabic(F.col("text")).alias("text"))
     t = t.select("doc_id", "plain", "text", comparison_tokens(F.col("text")).alias("w"))
     total = lambda of: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + of(x))
     return t.select("doc_id", F.size("w").cast("long").alias("n"), total(lambda x: x["start"]).alias("starts"), total(lambda x: x["end"]).alias("ends"), F.md5(F.array_join(F.col("w.word"), " ").cast("binary")).alias("words_md5"))
 
 
-#: Letters that the Arabic spelling of a text takes for a to z, hamza forms and both kinds of final ya and ta among them.
-LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "اأإآبةتثجحخدذرزسشصطعغفىقلم"
-
-
-def _arabic(text):
-    """A Latin text as Arabic letters with a vowel sign after every s, the ligature of lam and alef for z, and Arabic digits."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), LATIN + "0123456789", ARABIC + "٠١٢٣٤٥٦٧٨٩"), "ز", "زَ"), "م", "ﻻ")
-
-
 def detection_status(spark, sf_dir):
     docs, records = _both(spark, sf_dir)
     found = spans.exact_windows(docs, records)
