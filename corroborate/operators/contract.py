@@ -163,15 +163,17 @@ def _as(x: Column, kind: str) -> Column:
 
 
 def _is_one_of(x: Column, values: Sequence) -> Column:
-    """x is one of texts, True, None (null), "absent", "an object" or "a text"."""
+    """x is one of texts, True, False, None (null), "absent", "an object", "a text" or ("not", text), any other text."""
     out = F.lit(False)
     special = {None: _kind(x) == "null", "absent": x.isNull(), "an object": _kind(x) == "object", "a text": _kind(x) == "text"}
     texts = [v for v in values if isinstance(v, str) and v not in special]
     if texts:
         out = (_kind(x) == "text") & _as(x, "string").isin(texts)
     for v in values:
-        if v is True:
-            out = out | ((_kind(x) == "boolean") & _as(x, "boolean"))
+        if isinstance(v, bool):
+            out = out | ((_kind(x) == "boolean") & (_as(x, "boolean") == v))
+        elif isinstance(v, tuple):
+            out = out | ((_kind(x) == "text") & (_as(x, "string") != v[1]))
         elif v in special:
             out = out | special[v]
     return F.coalesce(out, F.lit(False))
@@ -189,6 +191,8 @@ def _breaks(x: Column, rule: str, args: tuple) -> Column:
     rule = rule.rstrip("?")
     if rule == "text":
         good = (kind == "text") & (F.length(_as(x, "string")) >= 1)
+    elif rule == "filled":
+        good = (kind == "text") & (F.length(F.trim(_as(x, "string"))) >= 1)
     elif rule == "match":
         good = (kind == "text") & _as(x, "string").rlike(args[0])
     elif rule == "in":

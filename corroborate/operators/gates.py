@@ -52,11 +52,17 @@ def verified_quotes(cited: DataFrame, records: DataFrame, key) -> DataFrame:
 
 
 def leaks(prose: DataFrame, source: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """Per text: shingles found in source records other than its own; prose(text_id, run), source(record_id, run), own(text_id, record_id)."""
-    hits = prose.distinct().join(source.distinct(), "run")
+    """Per text: shingles found in source records other than its own; prose(text_id, run), source(record_id, run), own(text_id, record_id).
+
+    A run counts if more records hold it than records of the text's own; so a run that many records hold meets a text once,
+    as a number.
+    """
+    held = source.distinct()
+    hits = prose.distinct().join(held.groupBy("run").agg(F.count("*").alias("_held")), "run")
     if own is not None:
-        hits = hits.join(own, ["text_id", "record_id"], "left_anti")
-    return hits.groupBy("text_id").agg(F.countDistinct("run").alias("leaked"))
+        exempt = own.distinct().join(held, "record_id").groupBy("text_id", "run").agg(F.count("*").alias("_own"))
+        hits = hits.join(exempt, ["text_id", "run"], "left").filter(F.col("_held") > F.coalesce("_own", F.lit(0)))
+    return hits.groupBy("text_id").agg(F.count("*").alias("leaked"))
 
 
 def twin_pairs(records: DataFrame, key: Column, id_col: str, source_col: str) -> DataFrame:

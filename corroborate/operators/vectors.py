@@ -17,9 +17,12 @@ def unit(c):
     return F.when(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0), F.transform(v, lambda x: x / norm))
 
 
-def cosine_hits(queries: DataFrame, vectors: DataFrame, floor: float = 0.25, block: int = 1024) -> DataFrame:
+def cosine_hits(queries: DataFrame, vectors: DataFrame, floor: float = 0.25, block: int = 1024, top_k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all pairs with cosine >= floor; queries(query_id, v), vectors(doc_id, v).
 
+    With top_k only pairs come out that are among a query's top_k of their batch, in the order of `ranked`; so the top_k of all
+    are among them, and what a query gives is bounded by the batches, not by the vectors.
+
     Queries travel in blocks of `block`; each block meets each batch of vectors once, as a matrix product, and only what
     reaches the floor comes out.
     """
@@ -40,6 +43,12 @@ def cosine_hits(queries: DataFrame, vectors: DataFrame, floor: float = 0.25, blo
                 if v.shape[1] == matrix.shape[1]:
                     s = v @ matrix.T
                     r, q = np.nonzero(s >= floor)
+                    if top_k is not None and len(r):
+                        order = np.lexsort((b.column("doc_id").to_numpy()[r], -np.round(s[r, q], 9), q))
+                        r, q = r[order], q[order]
+                        first = np.flatnonzero(np.diff(q, prepend=-1))
+                        keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < top_k
+                        r, q = r[keep], q[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), b.column("doc_id").take(pa.array(r)), pa.array(s[r, q])], ["query_id", "doc_id", "score"])
 
         found = rows.mapInArrow(score, "query_id long, doc_id long, score double")

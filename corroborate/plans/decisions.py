@@ -161,7 +161,9 @@ def eval_confusion(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).alias("partner"))
+    """Neighbours by number; documents that aren't English name the next one, whatever it names."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", (d + F.when((d % 2 == 0) | (F.col("lang") != "en"), 1).otherwise(-1)).alias("partner"))
 
 
 def pair_consistency(spark, sf_dir):
@@ -224,7 +226,7 @@ _CASES = """c AS (SELECT l.doc_id, quality, toxic, d.doc_id IS NOT NULL AS obser
         k AS (SELECT doc_id, lang, 'quality' AS name, CASE WHEN NOT observed THEN 'not_evaluated' WHEN quality IS NOT DISTINCT FROM got_quality THEN 'pass' ELSE 'fail' END AS status FROM c
             UNION ALL SELECT doc_id, lang, 'toxic', CASE WHEN NOT observed THEN 'not_evaluated' WHEN toxic IS NOT DISTINCT FROM got_toxic THEN 'pass' ELSE 'fail' END FROM c),
         s AS (SELECT doc_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'not_evaluated') THEN 'not_evaluated' ELSE 'pass' END AS case_status FROM k GROUP BY doc_id)"""
-_PAIRS = "p AS (SELECT doc_id, doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS partner FROM documents)"
+_PAIRS = "p AS (SELECT doc_id, doc_id + CASE WHEN doc_id % 2 = 0 OR lang <> 'en' THEN 1 ELSE -1 END AS partner FROM documents)"
 
 SQL = {
     "level_floor": _LEVELS,

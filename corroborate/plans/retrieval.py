@@ -51,14 +51,14 @@ def multi_query_best(spark, sf_dir):
     return out.select("conv_id", F.col("doc_id").alias("item_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _semantic(spark, sf_dir):
+def _semantic(spark, sf_dir, **more):
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return cosine_hits(queries, rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 0.25)
+    return cosine_hits(queries, rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 0.25, **more)
 
 
 def vector_topk(spark, sf_dir):
-    return _result(ranked(_semantic(spark, sf_dir), 5))
+    return _result(ranked(_semantic(spark, sf_dir, top_k=5), 5))
 
 
 def hybrid_rrf(spark, sf_dir):

@@ -75,8 +75,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> tu
     Records carry file and line (from 1, see numbered_lines); violations(file, line, rule) name what a line breaks: see
     _strict, not_utf8, unknown_key and wrong_type against the schema; an empty file breaks rule empty, without a line.
     """
+    return parsed_lines(numbered_lines(spark, path, _strict), schema)
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(records, violations) of lines(file, line, value, rule), as read_jsonl."""
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    parsed = numbered_lines(spark, path, _strict).withColumn("record", F.from_json("value", T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = lines.withColumn("record", F.from_json("value", T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
     unknown = F.size(F.array_except(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in schema]))) > 0
     rule = F.coalesce("rule", F.when(unknown, "unknown_key"), F.when(F.col("record._bad").isNotNull(), "wrong_type"))
     parsed = parsed.withColumn("rule", rule)
