@@ -297,10 +297,13 @@ def display_text(summary: Column, answer: Column) -> Column:
     return F.coalesce(F.when(F.length(F.trim(summary)) > 0, summary), first_paragraph(answer))
 
 
+#: Fixed value: the names of English in a list of translations.
+ENGLISH_NAMES = r"(?i)english|الإنجليزية|الانجليزية|إنجليزي|انجليزي"
+
+
 def english_item(items: Column) -> Column:
     """The first item of a list that names English and has two Latin letters besides the name; null if none has."""
-    name = r"(?i)english|الإنجليزية|الانجليزية|إنجليزي|انجليزي"
-    return F.try_element_at(F.filter(items, lambda x: x.rlike(name) & (F.regexp_count(F.regexp_replace(x, name, ""), F.lit("[A-Za-z]")) >= 2)), F.lit(1))
+    return F.try_element_at(F.filter(items, lambda x: x.rlike(ENGLISH_NAMES) & (F.regexp_count(F.regexp_replace(x, ENGLISH_NAMES, ""), F.lit("[A-Za-z]")) >= 2)), F.lit(1))
 
 
 def clean_lines(c: Column) -> Column:
@@ -380,6 +383,14 @@ def mentions_term(term: Column, text_aliases: Column, compose: bool = True) -> C
     return F.coalesce(F.array_contains(text_aliases, key) | F.coalesce(F.array_contains(text_aliases, bare), F.lit(False)), F.lit(False))
 
 
+def mentions_english(equivalent: Column, items: Column, text: Column) -> Column:
+    """Whether a word of four letters or more of a term's English equivalent stands in the text: of `equivalent`, or if that is blank
+    of the item that names English, without the language's name."""
+    said = F.coalesce(F.when(F.length(F.trim(equivalent)) > 0, equivalent), english_item(items))
+    wanted = F.regexp_extract_all(F.lower(F.regexp_replace(said, ENGLISH_NAMES, "")), F.lit("[a-z]{4,}"), F.lit(0))
+    return F.coalesce(F.arrays_overlap(wanted, F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))), F.lit(False))
+
+
 def relocated(text: Column, source: Column, start: Column, end: Column) -> Column:
     """Struct(start, end) of the source text: the given offsets if right, else its first place; null if absent."""
     right = (start >= 0) & (start < end) & (end <= F.length(text)) & (F.substring(text, start + 1, end - start) == source)

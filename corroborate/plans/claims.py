@@ -87,6 +87,14 @@ def term_mentions(spark, sf_dir):
     return _with_titles(spark, sf_dir).select("claim_id", T.mentions_term(F.element_at(F.split("title", " "), 1), aliases).alias("mentioned"))
 
 
+def english_mentions(spark, sf_dir):
+    """Turns that hold a word of their page title's English item; pages in English have the title as it is."""
+    rows = _with_titles(spark, sf_dir)
+    english = F.regexp_extract("html", '<html lang="([^"]*)"', 1) == "en"
+    items = F.array(F.lit("Français: mot"), F.concat(F.lit("English: "), "title"))
+    return rows.select("claim_id", T.mentions_english(F.when(english, F.col("title")), items, F.col("text")).alias("mentioned"))
+
+
 def relevant_rows(spark, sf_dir):
     return C.relevant(_with_titles(spark, sf_dir), F.col("text"), F.col("title")).select("claim_id", "page_id")
 
@@ -382,6 +390,6 @@ def shared_deadlines(spark, sf_dir):
     return out.select("request_id", F.unix_micros("asked").alias("asked"), F.unix_micros("sealed").alias("sealed"), joined("sources").alias("sources"), joined(F.transform("cards", lambda c: F.concat_ws(":", c["claim"], c["state"]))).alias("cards"), joined("retryable").alias("retryable"))
 
 
-QUERIES = {f.__name__: f for f in (comparison_keys, routing_keys, offset_tokens, utf8_heads, qa_display, language_flags, english_items, verse_references, claim_flags, title_shares, term_mentions, relevant_rows, topic_queries, relocated_claims, claim_repair, field_repair, claim_numbers, question_context, level_families, nominated_scores, offered_records, routed_candidates, unambiguous_aliases, union_first, twin_pairs, spans_in_claims, outside_marked, positions_in_order, publisher_answers, abstentions, term_blocks, correction_cards, state_facts, received_layers, evidence_verdicts, published_titles, dependency_records, source_url_rules, contract_violations, short_index_rules, category_members, pagination_complete, number_gaps, assembled_runs, item_health, tagged_blocks, response_rows, landed_items, receipts_in_time, sealed_progress, shared_deadlines)}
+QUERIES = {f.__name__: f for f in (comparison_keys, routing_keys, offset_tokens, utf8_heads, qa_display, language_flags, english_items, verse_references, claim_flags, title_shares, term_mentions, relevant_rows, topic_queries, relocated_claims, claim_repair, field_repair, claim_numbers, question_context, level_families, nominated_scores, offered_records, routed_candidates, unambiguous_aliases, union_first, twin_pairs, spans_in_claims, outside_marked, positions_in_order, publisher_answers, abstentions, term_blocks, correction_cards, state_facts, received_layers, evidence_verdicts, published_titles, dependency_records, source_url_rules, contract_violations, short_index_rules, category_members, pagination_complete, number_gaps, assembled_runs, item_health, tagged_blocks, response_rows, landed_items, receipts_in_time, sealed_progress, shared_deadlines, english_mentions)}
 
 from .claims_sql import SQL  # noqa: E402,F401

@@ -116,4 +116,8 @@ SQL = {
         rs AS (SELECT q, string_agg(name, ',' ORDER BY name) AS sources FROM r GROUP BY q),
         cs AS (SELECT c.q, string_agg(c.name || ':' || state, ',' ORDER BY c.name) FILTER (WHERE state IS NOT NULL) AS cards, string_agg(c.name, ',' ORDER BY c.name) FILTER (WHERE state IS NULL) AS retryable FROM c LEFT JOIN d USING (q, name) GROUP BY c.q)
         SELECT s.q AS request_id, asked, sealed, coalesce(sources, '') AS sources, coalesce(cards, '') AS cards, coalesce(retryable, '') AS retryable FROM s LEFT JOIN rs USING (q) LEFT JOIN cs USING (q)""",
+    "english_mentions": """WITH t AS (SELECT conv_id * 1000 + turn AS claim_id, conv_id AS page_id, text FROM conversations WHERE role = 'user'),
+            p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) = 'en' AS en FROM pages)
+        SELECT claim_id, CASE WHEN (en AND trim(title) <> '') OR len(regexp_extract_all(regexp_replace(title, 'english', '', 'gi'), '[A-Za-z]')) >= 2
+            THEN len(list_intersect(regexp_extract_all(lower(regexp_replace(title, 'english', '', 'gi')), '[a-z]{4,}'), regexp_extract_all(lower(text), '[a-z]+'))) > 0 ELSE false END AS mentioned FROM t JOIN p USING (page_id)""",
 }

@@ -171,3 +171,27 @@ def write_report(path: str, cases: DataFrame, checks: DataFrame, gates: DataFram
         whole = whole.unionByName(more)
     whole.orderBy("part", "key", "line").select("value").write.text(f"{path}/markdown")
     return summary
+
+
+# --- collections that go on -----------------------------------------------------------------------------------------
+
+
+def resumed(spark: SparkSession, path: str, schema: str, discovered: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, pending, violations) of a collection that was broken off: what has landed at path as JSON lines, each id once, the
+    first by file and line; the discovered ids that haven't; and what lines break.
+
+    The last line of a file may be torn: if it is no JSON it is rule torn, and its id is pending.  Records without an id are
+    violations (no_id), repeated ones (repeated_id) are left out.
+    """
+    lines = kept(numbered_lines(spark, path, _strict), "landed")
+    last = lines.groupBy("file").agg(F.max("line").alias("line")).withColumn("_last", F.lit(True))
+    torn = F.when((F.col("rule") == "not_json") & F.col("_last"), "torn").otherwise(F.col("rule"))
+    records, bad = parsed_lines(lines.join(last, ["file", "line"], "left").select("file", "line", "value", torn.alias("rule")), schema)
+    records = kept(records, "landed-records")
+    named = records.filter(F.col(id_col).isNotNull())
+    first = named.groupBy(id_col).agg(F.min(F.struct("file", "line")).alias("_at"))
+    place = [F.col("_at.file").alias("file"), F.col("_at.line").alias("line"), F.col(id_col)]
+    once = named.join(first.select(*place), ["file", "line", id_col], "left_semi")
+    again = named.join(first.select(*place), ["file", "line", id_col], "left_anti")
+    bad = bad.unionByName(records.filter(F.col(id_col).isNull()).select("file", "line", F.lit("no_id").alias("rule"))).unionByName(again.select("file", "line", F.lit("repeated_id").alias("rule")))
+    return once, discovered.select(id_col).distinct().join(once.select(id_col), id_col, "left_anti"), bad

@@ -108,3 +108,13 @@ def test_report(spark, tmp_path):
     assert lines[0] == "# Run of arm a: fail" and "- level: fail wanted A" in lines and lines.index("### 1: fail") < lines.index("### 10: pass") < lines.index("### 2: pass") < lines.index("## Gates") < lines.index("- G2: not_evaluated (0)") < lines.index("## Properties")
     some = loads.write_report(str(tmp_path / "some"), cases.filter("case_id > 1"), checks, gates, properties, metrics, "b", most=1).first()
     assert (some.cases, some.outcome) == (1, "pass")
+
+
+def test_a_collection_that_was_broken_off(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "t": "x"}\n{"id": 2, "t": "y"}\n{"id": 3, "t": "z')  # torn
+    (tmp_path / "b.jsonl").write_text('{"id": 2, "t": "again"}\n{bad\n{"t": "none"}\n{"id": 4, "t": "w"}\n')
+    found = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 5)], "id long")
+    records, pending, bad = loads.resumed(spark, str(tmp_path), "id long, t string", found)
+    assert sorted((r.id, r.t) for r in records.collect()) == [(1, "x"), (2, "y"), (4, "w")]
+    assert sorted(r.id for r in pending.collect()) == [3, 5]
+    assert {(r.file[-7:], r.line, r.rule) for r in bad.collect()} == {("a.jsonl", 3, "torn"), ("b.jsonl", 1, "repeated_id"), ("b.jsonl", 2, "not_json"), ("b.jsonl", 3, "no_id")}
