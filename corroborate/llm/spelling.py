@@ -159,14 +159,15 @@ def links(words: DataFrame, tile: int = 1024) -> DataFrame:
 
     placed = written(words.select("word", "n").mapInArrow(put, "block string, word string, n long"), "blocks")
     sizes = written(placed.groupBy("block").agg(F.ceil(F.count("*") / tile).alias("tiles")), "sizes")
-    cut = placed.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("word"), "tiles"))
+    # merge joins: blocks and their pairs grow with the words, and what makes the pairs has no size that Spark could know
+    cut = placed.join(sizes.hint("merge"), "block").withColumn("tile", F.pmod(F.xxhash64("word"), "tiles"))
     rows = F.sort_array(F.collect_list(F.struct("word", "n")))  # some `tile` words each
     tiles = cut.groupBy("block", "tile").agg(rows.alias("rows"))
     tiles = written(tiles.select("block", "tile", F.array_join("rows.word", "").alias("letters"), F.col("rows.n").alias("ns")), "tiles")
-    pairs = sizes.select(F.col("block").alias("guest")).mapInArrow(beside, "guest string, host string").join(sizes.withColumnRenamed("block", "host"), "host")
-    guests = tiles.select(F.col("block").alias("guest"), F.col("tile").alias("guest_tile"), F.col("letters").alias("guests"), F.col("ns").alias("guest_ns")).join(pairs, "guest")
+    pairs = sizes.select(F.col("block").alias("guest")).mapInArrow(beside, "guest string, host string").join(sizes.withColumnRenamed("block", "host").hint("merge"), "host")
+    guests = tiles.select(F.col("block").alias("guest"), F.col("tile").alias("guest_tile"), F.col("letters").alias("guests"), F.col("ns").alias("guest_ns")).join(pairs.hint("merge"), "guest")
     guests = guests.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).filter("guest <> host or guest_tile <= tile")
-    meet = guests.join(tiles.select(F.col("block").alias("host"), "tile", F.col("letters").alias("hosts"), F.col("ns").alias("host_ns")), ["host", "tile"])
+    meet = guests.join(tiles.select(F.col("block").alias("host"), "tile", F.col("letters").alias("hosts"), F.col("ns").alias("host_ns")).hint("merge"), ["host", "tile"])
     meet = meet.select("host", "tile", "hosts", "host_ns", "guests", "guest_ns", F.expr("guest = host and guest_tile = tile").alias("same"))
 
     def search(batches):
@@ -214,16 +215,16 @@ def group(words: DataFrame, times: int = 10, tile: int = 1024) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near")))
     near = links(words, tile).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     has = F.coalesce(-F.col("best.minus") >= F.lit(times) * F.col("n"), F.lit(False))
-    out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.near")).alias("form"), F.when(has, -F.col("best.minus")).alias("form_n"))
+    out = words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.near")).alias("form"), F.when(has, -F.col("best.minus")).alias("form_n"))
     out = written(out, "forms")
     step = out.filter("form is not null").select("word", F.col("form").alias("root"))
     while True:
         nxt = step.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = written(step.join(nxt, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        step = written(step.join(nxt.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if not step.filter("moved").head(1):
             break
         step = step.select("word", "root")
-    return out.join(step.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return out.join(step.select("word", "root").hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:
