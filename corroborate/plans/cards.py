@@ -125,7 +125,8 @@ def card_contract(spark, sf_dir):
     part = json.dumps(BASE_CARD, ensure_ascii=False)[1:-1]
     claim = F.to_json(F.struct(F.lit("1").alias("id"), F.lit("ن").alias("text_ar"), F.col("text").alias("text_original"), "lang", F.struct(F.lit(0).alias("start"), F.lit(1).alias("end")).alias("span"), F.lit(None).cast("string").alias("time_span"), F.lit("stated").alias("origin"), F.lit("B").alias("level"), F.lit("r").alias("level_rationale_en"), F.array().cast("array<string>").alias("scripture_spans"), F.lit("ran").alias("span_detector_status")), {"ignoreNullFields": "false"})
     card = F.concat(F.lit("{" + part + ', "confidence": '), F.coalesce((F.col("n_chars") / 5000).cast("string"), F.lit("null")), F.lit(', "claim": '), claim, F.lit("}"))
-    return contract.violations(table(spark, sf_dir, "documents").select("doc_id", card.alias("card")), ["doc_id"])
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")  # a few blocks of the file would be a few tasks
+    return contract.violations(docs.select("doc_id", card.alias("card")), ["doc_id"])
 
 
 QUERIES = {f.__name__: f for f in (card_problems, repeated_quotes, quoted_input, forbidden_hits, case_assertions, card_gates, run_outcome, request_bounds, citation_faults, compare_arms, card_contract)}
