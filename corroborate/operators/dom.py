@@ -149,6 +149,11 @@ def dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", label
     return pages.select(pages[id_col].alias("page_id"), pages[html_col].alias("html")).mapInArrow(run, f"page_id long, text string, nodes array<{NODE_TYPE}>")
 
 
+def closed_references(html: Column) -> Column:
+    """html in which only character references with a semicolon count; browsers read many without one too."""
+    return F.regexp_replace(html, "&(?=(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+)(?![A-Za-z0-9;]))", "&amp;")
+
+
 def nodes_of(doms: DataFrame) -> DataFrame:
     return doms.select("page_id", F.inline("nodes"))
 
@@ -174,14 +179,15 @@ def links(doms: DataFrame, pages: DataFrame, hosts: list[str] | None = None, pat
     return found.filter("target <> ''").distinct().withColumn("allowed", url_is_clean(F.col("target"), hosts) & classes)
 
 
-def sections(doms: DataFrame, wanted: DataFrame, nested: list[str] = (), panes: dict[str, list[str]] | None = None, full_pane: str = "", preferred: dict[str, str] | None = None) -> DataFrame:
+def sections(doms: DataFrame, wanted: DataFrame, nested: list[str] = (), panes: dict[str, list[str]] | None = None, full_pane: str = "", preferred: dict[str, str] | None = None, within: str | None = None) -> DataFrame:
     """(page_id, label, status, text, items) for every page and each of its wanted labels; wanted(label, stops[, page_id]).
 
     A section is what follows the innermost element whose whole text is the label: its next siblings, up to a stop label or a
     heading that is no nested label; where it is alone in its wrapper, the wrapper's next siblings.  A label in a tab's link
     stands for the tab's pane.  Without any such element one of `panes`[label], ids in order, may hold the section.  Of several
     sections those outside `full_pane` count, then those in `preferred`[label]; equal texts are one; if several are left the
-    label is ambiguous, unless it has a preferred pane, then the first counts.  Status is ok, missing or ambiguous; items are
+    label is ambiguous, unless it has a preferred pane, then the first counts.  With `within` only labels inside an element of that
+    kind head a section.  Status is ok, missing or ambiguous; items are
     the texts of list items in the section, else its lines.
     """
     panes, preferred = panes or {}, preferred or {}
@@ -191,6 +197,9 @@ def sections(doms: DataFrame, wanted: DataFrame, nested: list[str] = (), panes:
     by = lambda prefix, *cols: nodes.select("page_id", *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
     alike = asked.select("page_id", "name").join(nodes.filter("tag <> ''"), (asked["page_id"] == nodes["page_id"]) & (asked["name"] == nodes["label"])).select(asked["page_id"], "name", "pre", "last", "parent", "depth")
+    if within:
+        around = nodes.filter(F.col("tag") == within).select(F.col("page_id").alias("w_page"), F.col("pre").alias("w_pre"), F.col("last").alias("w_last"))
+        alike = alike.join(around, (F.col("page_id") == F.col("w_page")) & (F.col("pre") > F.col("w_pre")) & (F.col("pre") <= F.col("w_last")), "left_semi")
     inner = alike.select(F.col("page_id").alias("i_page"), F.col("name").alias("i_name"), F.col("pre").alias("i_pre"))
     heads = kept(alike.join(inner, (F.col("page_id") == F.col("i_page")) & (F.col("name") == F.col("i_name")) & (F.col("i_pre") > F.col("pre")) & (F.col("i_pre") <= F.col("last")), "left_anti"), "heads")
 

@@ -1,7 +1,9 @@
 """Pages as trees: intervals, sections with panes, wrappers, nested labels and duplicates, links and records."""
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from corroborate.operators import dom
 
 LABELS = ["Question", "Answer", "Summary", "Words"]
@@ -98,3 +100,19 @@ def test_records_and_reasons(spark, title_for):
 
 def test_label_text():
     assert dom._label(" a\t b：\n") == "a b" and dom._label("x:") == "x"
+
+
+@pytest.mark.parametrize("name", ["page_sections", "page_records"])
+def test_queries_of_headings_that_recur_or_end_in_a_reference(spark, tmp_path, name):
+    """A heading's text outside the article heads nothing; a reference without a semicolon is text."""
+    long = "Words of a heading that has more than forty letters in all"
+    page = lambda before, head: f'<html lang="en"><body><div class="ad">{before}</div><article><h1>{head}</h1><p>{long}.</p><p>And more.</p></article></body></html>'
+    rows = [(0, page(long, long)), (1, page("ad", long + "&amp")), (2, page("ad", long + "&amp;lt")), (3, page("ad", long + "&am"))]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    rel = con.execute(entry.oracle_sql()[name])
+    cols = [d[0] for d in rel.description]
+    want = sorted(repr(row) for row in rel.fetchall())
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want
