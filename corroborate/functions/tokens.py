@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import comparable_text
+from .text import comparable_text, token_lists
 
 _CHUNK = regex.compile(r"\S+")
 #: A character with the marks and format characters on it: what one place of the key is made from.
@@ -43,14 +43,11 @@ def key_tokens(text: str, fold: bool = True) -> list[tuple[str, int, int]]:
     return out
 
 
-TOKENS = pa.list_(pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
 def comparison_tokens(c: Column, fold: bool = True) -> Column:
     """Array of (word, start, end): the comparison key's words with their places in the text; null stays null."""
 
     @F.arrow_udf("array<struct<word:string,start:int,end:int>>")
     def places(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [dict(zip(("word", "start", "end"), x)) for x in key_tokens(t, fold)] for t in texts.to_pylist()], TOKENS)
+        return token_lists(texts, lambda t: key_tokens(t, fold))
 
     return places(c)

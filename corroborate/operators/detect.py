@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import kept
+from ..common import kept, slices
 from ..functions.automaton import Patterns, grouped
 from ..functions.text import comparison_words
 from ..functions.tokens import key_tokens
@@ -32,7 +32,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, text, dw, starts, ends): each text's words of the comparison key and their places; a null text is empty."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [key_tokens(t) for t in b.column("text").to_pylist()]
             words = pa.array([[x[0] for x in row] for row in found], pa.list_(pa.string()))
             places = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int32())) for i in (1, 2)]
@@ -54,7 +54,7 @@ def phrase_places(texts: DataFrame, phrases: Sequence[Sequence[str]], most_words
 
         def run(batches, shared=shared):
             numbers, automaton = shared.value
-            for b in batches:
+            for b in slices(batches):
                 hits = [(i, numbers[k], at) for i, words in zip(b.column("doc_id").to_pylist(), b.column("dw").to_pylist()) for at, k in automaton.find(words)]
                 columns = list(zip(*hits)) if hits else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "phrase", "at"])
@@ -79,7 +79,7 @@ def marked(texts: DataFrame, formulas: Sequence[str], pairs=spans.QUOTES, most_w
     stop, opening = re.compile(r"[\n.!?؟؛]"), re.compile(r"[\s:،]*")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for i, text, ends, hits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "ends", "hits"))):
                 found = {(*m.span(1), name) for pattern, name in quotes for m in pattern.finditer(text)}
@@ -122,7 +122,7 @@ def excerpts_of(texts: DataFrame, records: DataFrame) -> DataFrame:
     pairs = pairs.join(records.select("item_id", "rw"), "item_id")
 
     def compare(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for item, words, edits, needed, record in zip(*(b.column(c).to_pylist() for c in ("item_id", "dw", "b", "needed", "rw"))):
                 if len(set(words) & set(record)) < needed:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import kept
+from ..common import kept, slices
 from ..functions.text import clean_lines, is_arabic_mostly, url_is_clean
 
 #: Fixed values of the HTML standard and of the pages' layout: elements without an end, with hidden text, ending a line, closing
@@ -141,7 +141,7 @@ def dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", label
     def run(batches):
         kinds = [pa.int32()] * 4 + [pa.string()] * 7 + [pa.int32()] * 2 + [pa.string()]
         kind = pa.list_(pa.struct(list(zip(_NODE, kinds))))
-        for b in batches:
+        for b in slices(batches):
             read = [tree(h, label_chars) for h in b.column("html").to_pylist()]
             nodes = pa.array([[dict(zip(_NODE, n)) for n in found] for _, found in read], kind)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([t for t, _ in read], pa.string()), nodes], ["page_id", "text", "nodes"])

@@ -358,3 +358,15 @@ def test_seconds_are_rounded_as_in_sql(spark, tmp_path, name):
     cols = [d[0] for d in rel.description]
     want = sorted(repr(row) for row in rel.fetchall())
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want
+
+
+def test_python_holds_the_tokens_of_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from corroborate.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"t": [str(i) for i in range(150)]})
+    assert [b.num_rows for b in slices([batch])] == [64, 64, 22]
+    held = text.token_lists(pa.array(["ab c", None, ""] * 50), lambda t: [(w, 0, len(w)) for w in t.split()], 7)
+    assert held.to_pylist()[:3] == [[{"word": "ab", "start": 0, "end": 2}, {"word": "c", "start": 0, "end": 1}], None, []] and len(held) == 150
+    assert len(text.token_lists(pa.array([], pa.string()), list)) == 0
