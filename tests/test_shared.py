@@ -66,3 +66,14 @@ def test_queries_of_repeated_turns(spark, tmp_path, name):
     cols = [d[0] for d in rel.description]
     want = sorted(repr(row) for row in rel.fetchall())
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("n, m", [(134_000, 128_000), (800_000, 770_000), (5_000_000, 100), (0, 0), (100, 5_000_000)])
+def test_a_grid_copies_few_words(n, m):
+    """Cells are bounded, and texts are copied no more often than that and the number of cells ask for."""
+    high, wide = shared._shape(n, m, 40.0, 12.0)
+    assert -(-n // high) <= shared.MOST and -(-m // wide) <= shared.BLOCK
+    assert high * wide >= min(shared.GROUPS, -(-n // shared.LEAST))
+    least = max(1, -(-n // shared.MOST)), max(1, -(-m // shared.BLOCK))
+    assert (high - least[0]) * (wide - least[1]) <= shared.GROUPS
+    assert n * 40 * wide + m * 12 * high <= 13 * max(1, n * 40 + m * 12)
