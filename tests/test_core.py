@@ -2,7 +2,7 @@ import datetime
 import json
 import random
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -370,3 +370,41 @@ def test_python_holds_the_tokens_of_few_texts_at_a_time():
     held = text.token_lists(pa.array(["ab c", None, ""] * 50), lambda t: [(w, 0, len(w)) for w in t.split()], 7)
     assert held.to_pylist()[:3] == [[{"word": "ab", "start": 0, "end": 2}, {"word": "c", "start": 0, "end": 1}], None, []] and len(held) == 150
     assert len(text.token_lists(pa.array([], pa.string()), list)) == 0
+
+
+ARABIC_ROWS = [(1, "والكتاب بالعلم the cat the"), (2, None), (3, "كتاب، لعلم وكتاب dog"), (4, "the الكتأب cat"), (5, "ـــ"), (6, "لِلعِلم والعلم the dog")]
+
+
+@pytest.mark.parametrize("best, floor, top", [("tf", 0.0, None), ("score", 0.3, 2)])
+def test_scores_of_tables_and_of_joins_are_the_same(spark, monkeypatch, best, floor, top):
+    """Terms in every task's table, some documents at a time, or terms that join by shuffle: the same hits."""
+    from corroborate.operators import index as I
+
+    docs = spark.createDataFrame(ARABIC_ROWS, "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(7, "كتاب the"), (8, "والعلم dog nowhere"), (9, "")], "query_id long, text string")
+    hits = lambda: sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9), round(r.overlap, 9)) for r in I.bm25(asked, I.build_index(docs), top_k=top, best=best, floor=floor).collect())
+    monkeypatch.setattr(I, "CELLS", 5)
+    tables = hits()
+    monkeypatch.setattr(I, "BROADCAST_TERMS", 0)
+    assert tables and tables == hits()
+
+
+def test_words_are_counted_where_documents_lie(spark):
+    """Texts are dealt out, and no row for each word is dealt after that; aliases are those of the column."""
+    from corroborate.functions import text as T
+
+    docs = spark.createDataFrame(ARABIC_ROWS, "doc_id long, text string")
+    index = build_index(docs)
+    assert index.held._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    words = T.alias_groups(F.coalesce("text", F.lit("")))
+    want = {r.doc_id: Counter(w for g in r.g for w in g) for r in docs.select("doc_id", words.alias("g")).collect()}
+    assert {r.doc_id: dict(zip(r.terms, r.tfs)) for r in index.held.collect()} == want
+    assert any(len(T.word_aliases(w)) > 1 for w in "والكتاب للعلم".split())
+    plan = docs.select(T.retrieval_words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["spans_in_claims", "dependency_records", "required_records", "correction_cards"])
+def test_words_of_documents_are_worked_out_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(" not in plan
