@@ -8,31 +8,26 @@ from ..common import kept
 from ..functions.text import shingles, words
 from ..functions.tokens import comparison_tokens
 from ..operators import detect, spans
-from .common import ARABIC, LATIN, arabic, table
-
-
-def _both(spark, sf_dir):
-    """Words of documents and records, worked out once and kept; documents are dealt out first, however few blocks their file has."""
-    docs, records = table(spark, sf_dir, "documents").repartition("doc_id"), table(spark, sf_dir, "benchmark")
-    return kept(spans.document_words(docs), "document-words"), kept(spans.record_words(records), "record-words")
+from .common import ARABIC, LATIN, arabic, both_words, table
 
 
 def exact_window_hits(spark, sf_dir):
-    return spans.exact_windows(*_both(spark, sf_dir)).select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+    return spans.exact_windows(*both_words(spark, sf_dir)).select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
 
 
 def near_window_hits(spark, sf_dir):
-    return spans.near_windows(*_both(spark, sf_dir)).select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), F.col("distance").cast("long").alias("distance"))
+    return spans.near_windows(*both_words(spark, sf_dir)).select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), F.col("distance").cast("long").alias("distance"))
 
 
 def span_resolution(spark, sf_dir):
-    docs, records = _both(spark, sf_dir)
-    out = spans.resolve(spans.exact_windows(docs, records), spans.near_windows(docs, records), records)
+    docs, records = both_words(spark, sf_dir)
+    exact = kept(spans.exact_windows(docs, records), "exact")  # read three times
+    out = spans.resolve(exact, spans.near_windows(docs, records), records)
     return out.select("doc_id", "item_id", "start", "n", "classification")
 
 
 def excerpt_hits(spark, sf_dir):
-    return spans.excerpts(*_both(spark, sf_dir))
+    return spans.excerpts(*both_words(spark, sf_dir))
 
 
 def marked_spans(spark, sf_dir):
@@ -56,8 +51,8 @@ def shingle_leak(spark, sf_dir):
 
 def span_effects(spark, sf_dir):
     """Near misses of the records of odd number, which stand for the protected domain, in documents whose level is their language's."""
-    docs, records = _both(spark, sf_dir)
-    found = spans.resolve(spans.exact_windows(docs, records), spans.near_windows(docs, records), records)
+    docs, records = both_words(spark, sf_dir)
+    found = spans.resolve(kept(spans.exact_windows(docs, records), "exact"), spans.near_windows(docs, records), records)
     found = found.withColumn("domain", F.when(F.col("item_id") % 2 == 1, "quran").otherwise("other"))
     levels = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "D").otherwise("A").alias("level"))
     return spans.span_effects(found, levels, "quran")
@@ -115,7 +110,7 @@ def key_word_places(spark, sf_dir):
 
 
 def detection_status(spark, sf_dir):
-    docs, records = _both(spark, sf_dir)
+    docs, records = both_words(spark, sf_dir)
     found = spans.exact_windows(docs, records)
     required = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 50 + 1).alias("item_id"))
     return spans.detection_status(table(spark, sf_dir, "documents"), found, records, required)
