@@ -2,7 +2,7 @@
 
 A row says of a path what its value must be; paths step into objects with a dot and into every item of a list with [].  A
 condition row adds a rule that holds only for cards, or items, in which other values are as named.  The compiler turns rows
-into one array of violations for each card, evaluated in one pass over the card's variant.
+into one array of violations for each card: SQL over a struct of the values that the rules name, each looked up once.
 """
 
 from __future__ import annotations
@@ -162,85 +162,135 @@ def _as(x: Column, kind: str) -> Column:
     return F.try_variant_get(x, "$", kind)
 
 
-def _is_one_of(x: Column, values: Sequence) -> Column:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _texts(values: Sequence[str]) -> str:
+    return ", ".join(map(_quoted, values))
+
+
+class _Scope:
+    """What the rules of a card, or of each item of a list, ask of it: values by path, and lists with a scope for their items.
+
+    In SQL it is a struct, worked out once for each card or item: x and a number is a value, k and the number its kind, l and
+    the number its list's items.
+    """
+
+    def __init__(self, name: str, depth: int = 0):
+        self.name, self.depth = name, depth
+        self.paths: dict[str, int] = {}
+        self.lists: dict[int, _Scope] = {}
+
+    def value(self, path: str) -> tuple[str, str]:
+        """Names of the value at a path and of its kind."""
+        i = self.paths.setdefault(path, len(self.paths))
+        return f"{self.name}.x{i}", f"{self.name}.k{i}"
+
+    def each(self, path: str) -> tuple[str, _Scope]:
+        """Name of the items of the list at a path, and their scope."""
+        self.value(path)
+        i = self.paths[path]
+        return f"{self.name}.l{i}", self.lists.setdefault(i, _Scope(f"r{self.depth + 1}", self.depth + 1))
+
+    def structs(self, array: str) -> str:
+        """An array of the scope's structs for an array of variants."""
+        e, r = f"e{self.depth}", f"s{self.depth}"
+        got = ", ".join(f"'x{i}', " + (f"try_variant_get({e}, {_quoted('$.' + path)}, 'variant')" if path else e) for path, i in self.paths.items())
+        fields = [f"'x{i}', {r}.x{i}, 'k{i}', " + _KIND.format(x=f"{r}.x{i}") for i in self.paths.values()]
+        fields += [f"'l{i}', " + items.structs(f"IF(schema_of_variant({r}.x{i}) LIKE 'ARRAY%', {_items(f'{r}.x{i}')}, NULL)") for i, items in self.lists.items()]
+        return f"transform(transform({array}, {e} -> named_struct({got})), {r} -> named_struct({', '.join(fields)}))"
+
+
+#: As _kind, with the schema worked out once.
+_KIND = "coalesce(element_at(map('OB', 'object', 'AR', 'list', 'ST', 'text', 'BO', 'boolean', 'VO', 'null'), left(schema_of_variant({x}), 2)), IF({x} IS NOT NULL, 'number', NULL))"
+
+
+def _items(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'array<variant>')"
+
+
+def _text(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'string')"
+
+
+def _is_one_of(x: str, k: str, values: Sequence) -> str:
     """x is one of texts, True, False, None (null), "absent", "an object", "a text" or ("not", text), any other text."""
-    out = F.lit(False)
-    special = {None: _kind(x) == "null", "absent": x.isNull(), "an object": _kind(x) == "object", "a text": _kind(x) == "text"}
+    special = {None: f"{k} = 'null'", "absent": f"{x} IS NULL", "an object": f"{k} = 'object'", "a text": f"{k} = 'text'"}
     texts = [v for v in values if isinstance(v, str) and v not in special]
-    if texts:
-        out = (_kind(x) == "text") & _as(x, "string").isin(texts)
+    tests = [f"({k} = 'text' AND {_text(x)} IN ({_texts(texts)}))"] if texts else []
     for v in values:
         if isinstance(v, bool):
-            out = out | ((_kind(x) == "boolean") & (_as(x, "boolean") == v))
+            tests.append(f"({k} = 'boolean' AND try_variant_get({x}, '$', 'boolean') = {str(v).lower()})")
         elif isinstance(v, tuple):
-            out = out | ((_kind(x) == "text") & (_as(x, "string") != v[1]))
+            tests.append(f"({k} = 'text' AND {_text(x)} <> {_quoted(v[1])})")
         elif v in special:
-            out = out | special[v]
-    return F.coalesce(out, F.lit(False))
+            tests.append(f"({special[v]})")
+    return f"coalesce({' OR '.join(tests) or 'false'}, false)"
 
 
-def _within(n: Column, low, high) -> Column:
-    return (F.lit(True) if low is None else n >= low) & (F.lit(True) if high is None else n <= high)
+def _within(n: str, low, high) -> str:
+    return " AND ".join([*([] if low is None else [f"{n} >= {low}"]), *([] if high is None else [f"{n} <= {high}"])]) or "true"
 
 
-def _breaks(x: Column, rule: str, args: tuple) -> Column:
+def _breaks(x: str, k: str, rule: str, args: tuple) -> str:
     """Whether a present value breaks a rule; an absent one breaks `present` only."""
     if rule == "present":
-        return x.isNull()
-    kind, optional = _kind(x), rule.endswith("?")
+        return f"{x} IS NULL"
+    optional = rule.endswith("?")
     rule = rule.rstrip("?")
     if rule == "text":
-        good = (kind == "text") & (F.length(_as(x, "string")) >= 1)
+        good = f"{k} = 'text' AND length({_text(x)}) >= 1"
     elif rule == "filled":
-        good = (kind == "text") & (F.length(F.trim(_as(x, "string"))) >= 1)
+        good = f"{k} = 'text' AND length(trim({_text(x)})) >= 1"
     elif rule == "match":
-        good = (kind == "text") & _as(x, "string").rlike(args[0])
+        good = f"{k} = 'text' AND {_text(x)} RLIKE {_quoted(args[0])}"
     elif rule == "in":
-        good = _is_one_of(x, args[0])
+        good = _is_one_of(x, k, args[0])
     elif rule == "kind":
-        good = kind == args[0]
+        good = f"{k} = {_quoted(args[0])}"
     elif rule in ("number", "whole"):
-        n = _as(x, "double")
-        good = (kind == "number") & _within(n, *args) & (n == F.floor(n) if rule == "whole" else F.lit(True))
+        n = f"try_variant_get({x}, '$', 'double')"
+        good = f"{k} = 'number' AND {_within(n, *args)}" + (f" AND {n} = floor({n})" if rule == "whole" else "")
     elif rule == "list":
-        good = (kind == "list") & _within(F.size(_as(x, "array<variant>")), *args)
+        good = f"{k} = 'list' AND {_within(f'size({_items(x)})', *args)}"
     elif rule == "distinct":
-        texts = _as(x, "array<string>")
-        good = F.size(F.array_distinct(texts)) == F.size(texts)
+        texts = f"try_variant_get({x}, '$', 'array<string>')"
+        good = f"size(array_distinct({texts})) = size({texts})"
     elif rule == "holds":
-        good = F.exists(_as(x, "array<variant>"), lambda e: F.coalesce(F.try_variant_get(e, f"$.{args[0][0]}", "string") == args[0][1], F.lit(False)))
+        good = f"exists({_items(x)}, y -> coalesce(try_variant_get(y, {_quoted('$.' + args[0][0])}, 'string') = {_quoted(args[0][1])}, false))"
     elif rule == "one_of":
-        good = (kind != "object") | (sum((_get(x, k).isNotNull().cast("int") for k in args[0]), F.lit(0)) == 1)
+        held = " + ".join(f"IF(try_variant_get({x}, {_quoted('$.' + key)}, 'variant') IS NOT NULL, 1, 0)" for key in args[0])
+        good = f"{k} <> 'object' OR {held} = 1"
     elif rule == "pairs":
-        values = F.map_values(_as(x, "map<string,variant>"))
-        sound = F.forall(values, lambda e: ((_kind(e) == "text") & (F.length(_as(e, "string")) >= 1)) | ((_kind(e) == "number") & (_as(e, "double") >= 1) & (_as(e, "double") == F.floor(_as(e, "double")))))
-        good = (kind == "object") & (F.size(values) >= 1) & sound
+        values, kind = f"map_values(try_variant_get({x}, '$', 'map<string,variant>'))", _KIND.format(x="y")
+        n = "try_variant_get(y, '$', 'double')"
+        good = f"{k} = 'object' AND size({values}) >= 1 AND forall({values}, y -> ({kind} = 'text' AND length({_text('y')}) >= 1) OR ({kind} = 'number' AND {n} >= 1 AND {n} = floor({n})))"
     elif rule == "object":
-        keys = F.map_keys(_as(x, "map<string,variant>"))
-        allowed, needed = (F.array(*[F.lit(k) for k in a.split()]) for a in args)
-        good = (kind == "object") & (F.size(F.array_except(keys, allowed)) == 0) & (F.size(F.array_except(needed, keys)) == 0)
+        keys = f"map_keys(try_variant_get({x}, '$', 'map<string,variant>'))"
+        allowed, needed = (f"array({_texts(a.split())})" for a in args)
+        good = f"{k} = 'object' AND size(array_except({keys}, {allowed})) = 0 AND size(array_except({needed}, {keys})) = 0"
     else:
         raise ValueError(f"no such rule: {rule}")
     if optional:
-        good = good | (kind == "null")
-    return x.isNotNull() & ~F.coalesce(good, F.lit(False))
+        good = f"({good}) OR {k} = 'null'"
+    return f"{x} IS NOT NULL AND NOT coalesce({good}, false)"
 
 
-def _broken(v: Column, path: str, rule: str, args: tuple, when: list[tuple]) -> Column:
+def _broken(scope: _Scope, path: str, rule: str, args: tuple, when: list[tuple]) -> str:
     """Whether any value at a path breaks a rule in a card or item in which the conditions hold."""
     head, items, rest = path.partition("[]")
     here = [c for c in when if not (items and c[0].startswith(f"{head}[]"))]
     there = [(p.removeprefix(f"{head}[]").lstrip("."), values) for p, values in when if items and p.startswith(f"{head}[]")]
+    tests = [_is_one_of(*scope.value(p), values) for p, values in here]
     if items:
-        found = F.coalesce(F.exists(F.when(_kind(_get(v, head)) == "list", _as(_get(v, head), "array<variant>")), lambda e: _broken(e, rest.lstrip("."), rule, args, there)), F.lit(False))
+        array, inner = scope.each(head)
+        tests.append(f"exists({array}, {inner.name} -> {_broken(inner, rest.lstrip('.'), rule, args, there)})")
     else:
-        x = _get(v, path)
-        found = _breaks(x, rule, args)
+        tests.append(_breaks(*scope.value(path), rule, args))
         if rule == "present" and "." in path:  # what lacks the object breaks other rules
-            found = found & (_kind(_get(v, path.rpartition(".")[0])) == "object")
-    for p, values in here:
-        found = found & _is_one_of(_get(v, p), values)
-    return F.coalesce(found, F.lit(False))
+            tests.append(f"{scope.value(path.rpartition('.')[0])[1]} = 'object'")
+    return f"coalesce({' AND '.join(f'({t})' for t in tests)}, false)"
 
 
 def violations(cards: DataFrame, keys: Sequence[str], json_col: str = "card", contract: Sequence[tuple] = CARD, conditions: Sequence[tuple] = CONDITIONS) -> DataFrame:
@@ -249,17 +299,19 @@ def violations(cards: DataFrame, keys: Sequence[str], json_col: str = "card", co
     A text that is no JSON, or null, breaks rule json at the empty path.  An object's rule covers its keys: unknown ones and
     missing ones; values at paths that are absent break nothing else but `present`.
     """
-    v = F.try_parse_json(F.col(json_col))
-    rows = cards.select(*keys, v.alias("_v"))
-    rules = [(path, rule, _broken(F.col("_v"), path, rule, tuple(args), [])) for path, rule, *args in contract]
-    rules += [(path, rule, _broken(F.col("_v"), path, rule, tuple(args), when)) for when, path, rule, *args in conditions]
-    named = [F.when(F.col("_v").isNull(), F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))]
-    named += [F.when(F.col("_v").isNotNull() & test, F.struct(F.lit(path).alias("path"), F.lit(rule.rstrip("?")).alias("rule"))) for path, rule, test in rules]
+    card = _Scope("_c")
+    every = [((), *r) for r in contract] + list(conditions)
+    tests = [(path, rule, _broken(card, path, rule, tuple(args), list(when))) for when, path, rule, *args in every]
+    named = [f"IF(_v IS NOT NULL AND {test}, named_struct('path', {_quoted(path)}, 'rule', {_quoted(rule.rstrip('?'))}), NULL)" for path, rule, test in tests]
+    named.append("IF(_v IS NULL, named_struct('path', '', 'rule', 'json'), NULL)")
+    rows = cards.select(*keys, F.try_parse_json(F.col(json_col)).alias("_v"))
+    # each value is looked up once, whatever the number of rules on it
+    rows = rows.select(*keys, "_v", F.expr(f"element_at({card.structs('array(_v)')}, 1)").alias("_c"))
     # in groups, so that no generated expression grows with the whole contract
     groups = [named[i : i + 40] for i in range(0, len(named), 40)]
-    found = rows.withColumns({f"_g{i}": F.array_compact(F.array(*g)) for i, g in enumerate(groups)})
-    every = F.array_distinct(F.concat(*[F.col(f"_g{i}") for i in range(len(groups))]))
-    return found.select(*keys, F.inline(every))
+    found = rows.select(*keys, F.array_distinct(F.concat(*[F.expr(f"array_compact(array({', '.join(g)}))") for g in groups])).alias("_broken"))
+    # an inner generator would be given a filter on the array, which works all of it out once more, with every value looked up for each rule
+    return found.select(*keys, F.inline_outer("_broken")).filter("path IS NOT NULL")
 
 
 PROPERTIES = ["notice_eligibility", "referral_required", "alignment_confidence_present", "internal_gate_report", "explanation_en_presence", "input_preserved"]

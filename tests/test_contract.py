@@ -100,3 +100,13 @@ def test_properties(spark):
     got = run(several)
     assert all(got[p] == (1, "fail") for p in ("input_preserved", "internal_gate_report", "notice_eligibility")) and got["referral_required"] == (0, "pass")
     assert all(s == "not_evaluated" for _, s in run([*cards, ("a", {})]).values())
+
+
+def test_each_value_is_looked_up_once(spark):
+    rules = [("evidence", "list", None, None), ("evidence[]", "object", "a", "a"), ("evidence[].a", "text"), ("evidence[].a", "in", ["x"])]
+    conditions = [([("evidence[].a", ["y"])], "evidence[].b", "present")]
+    cards = spark.createDataFrame([(1, '{"evidence": [{"a": "y"}]}'), (2, '{"evidence": [{"a": "x"}]}'), (3, '{"evidence": 1}')], "k int, card string")
+    found = contract.violations(cards, ["k"], "card", rules, conditions)
+    assert {(r.k, r.path, r.rule) for r in found.collect()} == {(1, "evidence[].a", "in"), (1, "evidence[].b", "present"), (3, "evidence", "list")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.evidence,") == plan.count("$.a,") == plan.count("$.b,") == 1, plan
