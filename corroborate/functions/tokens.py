@@ -10,11 +10,13 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import comparable_text, token_lists
+from .text import _FOLDED, comparable_text, token_lists
 
 _CHUNK = regex.compile(r"\S+")
-#: A character with the marks and format characters on it: what one place of the key is made from.
-_CLUSTER = regex.compile(r"(?s).[\p{M}\p{Cf}]*")
+#: Signs of which each gives one place of the key, its folded form; with white space between them, and with what else may stand there.
+_SINGLE = "!-~¡-§©«¬®°±¶·»¿-ıĴ-ľŁ-ňŊ-žء-غف-ي،؛؟٠-٬‐‒-‖‘-‟"
+_SINGLES, _SPACED = re.compile(f"[{_SINGLE}]+"), re.compile(f"[{_SINGLE} \n\t\r]*")
+_PIECE = regex.compile(rf"(?s)([{_SINGLE}]+(?![\p{{M}}\p{{Cf}}]))|.[\p{{M}}\p{{Cf}}]*")
 _WORD = re.compile(r"[^\W_]+")
 _PLAIN = re.compile(r"[A-Za-z0-9]+")
 
@@ -32,13 +34,25 @@ def key_tokens(text: str, fold: bool = True) -> list[tuple[str, int, int]]:
     """
     if text.isascii():
         return [(m[0].lower(), m.start(), m.end()) for m in _PLAIN.finditer(text)]
+    table = _FOLDED[fold]
+    if _SPACED.fullmatch(text):
+        return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text.translate(table))]
     out = []
     for chunk in _CHUNK.finditer(text):
+        start, end = chunk.span()
+        if _SINGLES.fullmatch(text, start, end):
+            out += [(m[0].lower(), start + m.start(), start + m.end()) for m in _WORD.finditer(chunk[0].translate(table))]
+            continue
         key, places = [], []
-        for c in _CLUSTER.finditer(text, chunk.start(), chunk.end()):
-            value = _key(c[0], fold)
-            key.append(value)
-            places += [c.span()] * len(value)
+        # signs that give one place each, or a character with the marks and format characters on it
+        for c in _PIECE.finditer(text, start, end):
+            if c[1]:
+                key.append(c[1].translate(table))
+                places += [(i, i + 1) for i in range(*c.span())]
+            else:
+                value = _key(c[0], fold)
+                key.append(value)
+                places += [c.span()] * len(value)
         out += [(m[0].lower(), places[m.start()][0], places[m.end() - 1][1]) for m in _WORD.finditer("".join(key))]
     return out
 

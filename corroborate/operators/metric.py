@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import kept
+from ..common import kept, slices
 
 #: Word edits allowed up to a length, and beyond the last.
 BUDGETS, BEYOND = ((4, 1), (10, 2)), 3
@@ -148,7 +148,7 @@ def nearest_records(texts: DataFrame, records: DataFrame, leaf_rows: int = 2000,
     top = spark.sparkContext.broadcast(Vantage(sample, leaf_rows * max(len(sample), 1) / max(total, 1)))
 
     def place(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             found = [top.value.home(w) for w in b.column("rw").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("rw"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["item_id", "rw", "leaf", "nodes", "far"])
 
@@ -162,7 +162,7 @@ def nearest_records(texts: DataFrame, records: DataFrame, leaf_rows: int = 2000,
 
     def ask(first: bool):
         def run(batches):
-            for b in batches:
+            for b in slices(batches, 1024):
                 rows, leaf = [], []
                 for i, w in enumerate(b.column("dw").to_pylist()):
                     home = top.value.home(w)[0]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..common import kept
 from ..functions.text import shingles, words
-from ..functions.tokens import comparison_tokens
 from ..operators import detect, spans
 from .common import ARABIC, LATIN, arabic, both_words, table
 
@@ -103,10 +102,9 @@ def formula_places(spark, sf_dir):
 def key_word_places(spark, sf_dir):
     """Each document's words of the comparison key, and the sums of their places, over the text spelt with Arabic letters, marks
     and compatibility forms."""
-    t = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", F.col("text").alias("plain"), arabic(F.col("text")).alias("text"))
-    t = t.select("doc_id", "plain", "text", comparison_tokens(F.col("text")).alias("w"))
-    total = lambda of: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + of(x))
-    return t.select("doc_id", F.size("w").cast("long").alias("n"), total(lambda x: x["start"]).alias("starts"), total(lambda x: x["end"]).alias("ends"), F.md5(F.array_join(F.col("w.word"), " ").cast("binary")).alias("words_md5"))
+    t = detect.tokens(table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", arabic(F.col("text")).alias("text")))
+    total = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x)
+    return t.select("doc_id", F.size("dw").cast("long").alias("n"), total("starts").alias("starts"), total("ends").alias("ends"), F.md5(F.array_join("dw", " ").cast("binary")).alias("words_md5"))
 
 
 def detection_status(spark, sf_dir):

@@ -408,3 +408,28 @@ def test_words_are_counted_where_documents_lie(spark):
 def test_words_of_documents_are_worked_out_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(lower(" not in plan
+
+
+def test_python_holds_few_bytes_of_long_texts():
+    import pyarrow as pa
+
+    from corroborate.common import slices
+
+    texts = pa.array(["a" * 1000] * 5 + ["b" * 100_000] * 5)
+    held = [b.num_rows for b in slices([pa.RecordBatch.from_arrays([texts], ["t"])], 64, 150_000)]
+    assert sum(held) == 10 and held[-4:] == [1, 1, 1, 1]
+    assert text.text_keys(pa.array(["a", None, ""] * 50), str.upper, 7).to_pylist() == ["A", None, ""] * 50
+
+
+def test_texts_are_dealt_before_they_are_spelt(spark):
+    from corroborate.plans import retrieval
+
+    plan = retrieval.alias_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("translate(") < plan.find("RepartitionByExpression"), plan
+
+
+def test_key_words_of_documents_leave_python_in_small_batches(spark):
+    from corroborate.plans import spans
+
+    plan = spans.key_word_places(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan, plan
