@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..common import kept, slices
 from ..functions.automaton import Patterns, grouped
 from ..functions.text import comparison_words
-from ..functions.tokens import key_tokens
+from ..functions.tokens import key_token_lists, key_tokens
 from . import spans
 from .metric import Words, nearest_records
 
@@ -28,18 +28,19 @@ ATTRIBUTION = "attribution_formula"
 _FINDING = ["doc_id", "start", "end", "marker", "classification", "item_id", "distance", "token_count", "length_difference", "partial"]
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, dw, starts, ends): each text's words of the comparison key and their places; a null text is empty."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
+    """(doc_id, text, dw, starts, ends): each text's words of the comparison key and their places; a null text is empty.
+
+    carry=False leaves out the text.
+    """
 
     def run(batches):
-        for b in slices(batches):
-            found = [key_tokens(t) for t in b.column("text").to_pylist()]
-            words = pa.array([[x[0] for x in row] for row in found], pa.list_(pa.string()))
-            places = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int32())) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*b.columns, words, *places], ["doc_id", "text", "dw", "starts", "ends"])
+        for b in slices(batches, most=1 << 19):
+            own = b if carry else b.select(["doc_id"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *key_token_lists(b.column("text"))], [*own.schema.names, "dw", "starts", "ends"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, dw array<string>, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, f"doc_id long, {'text string, ' * carry}dw array<string>, starts array<int>, ends array<int>")
 
 
 def phrase_places(texts: DataFrame, phrases: Sequence[Sequence[str]], most_words: int = 100_000) -> DataFrame:

@@ -102,7 +102,7 @@ def formula_places(spark, sf_dir):
 def key_word_places(spark, sf_dir):
     """Each document's words of the comparison key, and the sums of their places, over the text spelt with Arabic letters, marks
     and compatibility forms."""
-    t = detect.tokens(table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", arabic(F.col("text")).alias("text")))
+    t = detect.tokens(table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", arabic(F.col("text")).alias("text")), carry=False)
     total = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x)
     return t.select("doc_id", F.size("dw").cast("long").alias("n"), total("starts").alias("starts"), total("ends").alias("ends"), F.md5(F.array_join("dw", " ").cast("binary")).alias("words_md5"))
 
