@@ -11,7 +11,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,31 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 def phrase_places(texts: DataFrame, phrases: Sequence[Sequence[str]], most_words: int = 100_000) -> DataFrame:
     """(doc_id, phrase, at): every place, in words from 0, of every phrase (a sequence of key words, by its number) in texts(doc_id, dw).
 
-    An automaton reads each text once for all phrases; phrases of over `most_words` words together are several automata, each
-    sent to the tasks on its own.  Phrases without words are nowhere.
+    An automaton reads each text once for all phrases, as numbers of the phrases' words, of what lies between those only that
+    it is there; phrases of over `most_words` words together are several automata, each sent to the tasks on its own.
+    Phrases without words are nowhere.
     """
     out = None
     for numbers in grouped(phrases, most_words) or [[]]:
-        shared = texts.sparkSession.sparkContext.broadcast((numbers, Patterns([phrases[i] for i in numbers])))
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for i in numbers for w in phrases[i]))}
+        automaton = Patterns([[known[w] for w in phrases[i]] for i in numbers])
+        shared = texts.sparkSession.sparkContext.broadcast((numbers, pa.array(list(known), pa.string()), automaton))
 
         def run(batches, shared=shared):
-            numbers, automaton = shared.value
+            numbers, known, automaton = shared.value
             for b in slices(batches):
-                hits = [(i, numbers[k], at) for i, words in zip(b.column("doc_id").to_pylist(), b.column("dw").to_pylist()) for at, k in automaton.find(words)]
-                columns = list(zip(*hits)) if hits else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "phrase", "at"])
+                lists = b.column("dw")
+                size = pc.list_value_length(lists).fill_null(0).to_numpy()
+                code = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(b.num_rows), size)
+                at = np.arange(len(code)) - (np.cumsum(size) - size)[row]
+                place = np.flatnonzero(code >= 0)
+                # -1, which no phrase has, before a word that doesn't follow the one before in its text
+                apart = np.flatnonzero((np.diff(place, prepend=-2) > 1) | (at[place] == 0))
+                place, read = np.insert(place, apart, -1), np.insert(code[place], apart, -1)
+                hits = [(place[i], numbers[k]) for i, k in automaton.find(read.tolist())]
+                start = np.array([x[0] for x in hits], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[start])), pa.array([x[1] for x in hits], pa.int32()), pa.array(at[start], pa.int32())], ["doc_id", "phrase", "at"])
 
         found = texts.select("doc_id", "dw").mapInArrow(run, "doc_id long, phrase int, at int")
         out = found if out is None else out.unionByName(found)

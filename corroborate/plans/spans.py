@@ -95,7 +95,7 @@ def detections(spark, sf_dir):
 
 def formula_places(spark, sf_dir):
     """Where attribution formulas stand in the documents, in key words from 0, found by one automaton."""
-    texts = detect.tokens(table(spark, sf_dir, "documents").repartition("doc_id"))
+    texts = detect.tokens(table(spark, sf_dir, "documents").repartition("doc_id"), carry=False)
     return detect.phrase_places(texts, [f.split() for f in FORMULAS]).select("doc_id", F.col("phrase").cast("long").alias("phrase"), F.col("at").cast("long").alias("at"))
 
 
