@@ -15,20 +15,22 @@ def _state(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest node next to it."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node (a, the larger end) and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Edges (a, b) of any direction, repeated or not; returns (node, root) for every node that has an edge, root the smallest reachable.
 
+    Joins are merge joins: edges to one root take few bytes on disk, and so many of them would pass for a small table.  The
+    least neighbours are written first, so that a join shuffles both sides anew and can be split at a node with many edges.
     Every round ends in a written table, so that lost executors cost one round; the number of rounds is logarithmic in
     the longest path.  Self-edges and null ends are dropped.
     """

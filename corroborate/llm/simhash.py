@@ -87,11 +87,12 @@ def links(fps: DataFrame, dense: int = 64) -> DataFrame:
     crowded = written(index.groupBy("key").count().filter(F.col("count") > dense).select("key"), "crowded")
     quiet = index.join(crowded, "key", "left_anti").toDF("key", "a")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= WITHIN
-    pairs = quiet.join(probe.toDF("key", "b"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    # Spark sizes an exploded table by the rows that went in: without the hints it would gather the keys or values on the driver
+    pairs = quiet.join(probe.toDF("key", "b").hint("merge"), "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     packed = written(probe.join(crowded, "key", "left_semi").select("fp").distinct(), "packed")
     values = _named(packed)
     least = values.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("value", "a")
-    stars = values.withColumnRenamed("fp", "b").join(least, "value").filter("a < b").select("a", "b").distinct()
+    stars = values.withColumnRenamed("fp", "b").join(least.hint("merge"), "value").filter("a < b").select("a", "b").distinct()
     return pairs.union(stars)
 
 
@@ -105,8 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = written(components(links(distinct.select("fp"))), "roots").withColumnRenamed("node", "fp")
-    classed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classed = distinct.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classed.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = classed.join(smallest, "root").select("fp", "component")
+    by_print = classed.join(smallest.hint("merge"), "root").select("fp", "component")
     component = F.when(F.col("component") != 2**63 - 1, F.col("component"))
-    return prints.join(by_print, "fp").select(id_back(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    return prints.join(by_print.hint("merge"), "fp").select(id_back(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corroborate.llm import line_dedup, simhash
-from corroborate.llm.components import components
+from corroborate.llm.components import _large, _small, components
 from corroborate.llm.line_dedup import remove_repeated_lines
 from corroborate.llm.simhash import fingerprint, links, near_duplicates
 from corroborate.llm.substring_dedup import remove_repeated_windows
@@ -170,6 +170,22 @@ def test_links_connect_alike_on_both_ways(spark, dense):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def _broadcasts(df):
+    """Lines of the plan that send a table to every task."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+
+
+def test_exploded_keys_and_stars_are_not_gathered_on_the_driver(spark, docs, tmp_path):
+    fps = spark.createDataFrame([(i * 2**40,) for i in range(200)], "fp long")
+    fps.write.parquet(str(tmp_path / "fps"))  # few bytes on disk, as sized by Spark
+    stored = spark.read.parquet(str(tmp_path / "fps"))
+    # only the crowded keys, written before, may go to every task
+    assert all("LeftAnti" in x for x in _broadcasts(links(stored)))
+    edges = stored.select(F.col("fp").alias("a"), F.lit(-1).cast("long").alias("b"))
+    assert not _broadcasts(_large(edges)) and not _broadcasts(_small(edges))
+    assert not _broadcasts(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 400)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
