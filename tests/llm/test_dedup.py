@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corroborate.llm import line_dedup, simhash
 from corroborate.llm.components import _large, _small, components
 from corroborate.llm.line_dedup import remove_repeated_lines
@@ -186,6 +187,11 @@ def test_exploded_keys_and_stars_are_not_gathered_on_the_driver(spark, docs, tmp
     assert not _broadcasts(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
 
 
+def test_the_pipelines_third_stage_gathers_nothing_on_the_driver(spark, docs):
+    rows = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, lang string")
+    assert not _broadcasts(corpus_pipeline.simhash_dedup(spark, rows, ""))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 400)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
