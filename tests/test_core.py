@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corroborate import plans
 from corroborate.functions import sql, text
-from corroborate.operators import detect, evaluation, gates, pages, ranks, rules, spans
+from corroborate.operators import detect, evaluation, gates, index, pages, ranks, rules, spans, vectors
 from corroborate.operators.index import build_index
 from corroborate.sources import corpus
 from corroborate.streaming import telemetry
@@ -433,3 +433,30 @@ def test_key_words_of_documents_leave_python_in_small_batches(spark):
 
     plan = spans.key_word_places(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan, plan
+
+
+@pytest.mark.parametrize("terms", [0, 100_000])
+def test_only_queries_with_two_lists_are_ranked_whole(spark, tmp_path, monkeypatch, terms):
+    """Of all other queries five rows are kept a batch; the fused result is that of the SQL."""
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    con = duckdb.connect()
+    for name, rows, kind in (
+        ("documents", [(i, said(12), "en") for i in range(90)], "doc_id long, text string, lang string"),
+        ("benchmark", [(i, said(4)) for i in range(3)], "item_id long, text string"),
+        ("embeddings", [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(101)], "vec_id long, embedding array<double>"),
+    ):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    whole = []
+
+    def noted(hits, *order):
+        whole.append({r.query_id for r in hits.select("query_id").distinct().collect()})
+        return ranks.ranked_by_range(hits, *order)
+
+    monkeypatch.setattr(vectors, "ranked_by_range", noted)
+    monkeypatch.setattr(index, "BROADCAST_TERMS", terms)
+    got = sorted(tuple(r) for r in entry.queries()["hybrid_rrf"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").collect())
+    rel = con.execute(entry.oracle_sql()["hybrid_rrf"])
+    assert got == sorted(rel.fetchall()) and len({r[0] for r in got}) == 5
+    assert whole == [{0}, {0}]
