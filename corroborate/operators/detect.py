@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import kept, slices
+from ..common import dealt, kept, slices
 from ..functions.automaton import Patterns, grouped
 from ..functions.text import comparison_words
 from ..functions.tokens import key_token_lists, key_tokens
@@ -192,8 +192,9 @@ def detect(docs: DataFrame, records: DataFrame, formulas: Sequence[str] = (), pa
     by distance, length difference, number of words and place.  A window inside a marked finding of the same class and
     record goes.  Rows without an id take no part; of records with the same words the first by id stands for all.
     """
-    docs = docs.filter(docs[id_col].isNotNull())
-    texts = kept(tokens(docs, id_col, text_col), "texts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartition(parts, "doc_id")
+    texts = dealt(tokens(rows), "doc_id", "texts")  # the one time that texts are shuffled
     held = kept(spans.record_words(records, item_col, record_col), "records")
     found = kept(marked(texts, formulas, pairs), "marked")
     judged = found.join(classify(found, held), "dw").select("doc_id", "start", "end", "marker", "classification", "item_id", "distance", "token_count", "length_difference", "partial")

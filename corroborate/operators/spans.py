@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import kept
 from ..functions.text import comparison_words, word_budget, word_signs
 
 
@@ -41,7 +42,8 @@ def _seeds(docs: DataFrame, records: DataFrame, take) -> DataFrame:
     asked = records.select(F.explode("rw").alias("word")).distinct()
     places = _places(docs).join(asked, "word", "left_semi")  # only words that records use
     frequency = places.groupBy("word").agg(F.count("*").alias("n"))
-    return places.join(_rarest(records, frequency, take), "word").select("doc_id", "item_id", "m", "p", "q")
+    rarest = kept(_rarest(records, frequency, take), "rarest")  # Spark sees how small it is, and need not shuffle the places
+    return places.join(rarest, "word").select("doc_id", "item_id", "m", "p", "q")
 
 
 def exact_windows(docs: DataFrame, records: DataFrame) -> DataFrame:

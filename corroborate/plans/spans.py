@@ -76,7 +76,7 @@ FORMULAS = ["that is", "this was", "que la", "por el", "in die", "pour la"]
 
 
 def _found(spark, sf_dir):
-    return kept(detect.detect(table(spark, sf_dir, "documents").repartition("doc_id"), table(spark, sf_dir, "benchmark"), FORMULAS), "findings")
+    return kept(detect.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), FORMULAS), "findings")
 
 
 def detect_findings(spark, sf_dir):
