@@ -460,3 +460,19 @@ def test_only_queries_with_two_lists_are_ranked_whole(spark, tmp_path, monkeypat
     rel = con.execute(entry.oracle_sql()["hybrid_rrf"])
     assert got == sorted(rel.fetchall()) and len({r[0] for r in got}) == 5
     assert whole == [{0}, {0}]
+
+
+def test_places_of_a_repeated_vector_add_up(spark, tmp_path):
+    """Both rows of a vector that is there twice count, however far down its list they stand."""
+    rng = random.Random(6)
+    con = duckdb.connect()
+    vectors_ = [(i, [1.0, 0.01 * (i + 1)]) for i in range(20)]
+    for name, rows, kind in (
+        ("documents", [(500 + i, "a b", "en") for i in range(3)], "doc_id long, text string, lang string"),
+        ("benchmark", [(7, "b c")], "item_id long, text string"),
+        ("embeddings", vectors_ + [(9, [1.0, 0.1 + rng.random() / 1000])], "vec_id long, embedding array<double>"),
+    ):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entry.queries()["hybrid_rrf"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").collect())
+    assert got == sorted(con.execute(entry.oracle_sql()["hybrid_rrf"]).fetchall()) and (0, 9, 1) in {(q, d, r) for q, d, _, r in got}
